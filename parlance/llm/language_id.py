@@ -7,14 +7,14 @@ forward transitions, so many stretches of text are walked side by side with arra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import bounded_sample, chunks, map_docs, texts_of
+from parlance.llm.common import bounded_sample, chunks
 
 #: Labelled rows drawn for each language, and characters of them that go into its automaton.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 40_000
@@ -165,17 +165,22 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     ``und`` with score 0 for null texts and texts without a letter, or if the model knows no language. The score is one
     less the ratio of the best to the second best rate; ties go to the first name in order. Extra columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = language_column(docs.sparkSession, model)(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), found.alias("found"))
+    return rows.select("doc_id", "found.lang_pred", "found.score")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, found = texts_of(batch), []
-            for first, last, _ in chunks(texts, 16 << 20):
-                found += shared.value.predict([t or "" for t in texts[first:last]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_docs(rows, run, "lang_pred string, score double")
+def language_column(spark: SparkSession, model: LanguageModel) -> Callable[[Column], Column]:
+    """The prediction as a Column function, for frames whose other columns are to stay."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        plain = [t if isinstance(t, str) else "" for t in texts]
+        found = [x for first, last, _ in chunks(plain, 16 << 20) for x in shared.value.predict(plain[first:last])]
+        return pd.DataFrame(found, columns=["lang_pred", "score"])
+
+    return predict
 
 
 def fold(doc_id: Column, of: int) -> Column:
