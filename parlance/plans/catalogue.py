@@ -1,0 +1,6 @@
+"""All queries of the conversation engine, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
