@@ -1,15 +1,16 @@
 """N-gram Jaccard join as a blocked sparse matrix product of the document by n-gram incidence.
 
-Equal sets of shingles are one row of the matrix. Size bounds say that two rows can only reach the threshold if they
-share one of the first few shingles of each in a common order (rarest first), so only these columns are multiplied.
-Columns with the same rows are one column. Long columns are cut into blocks, and each pair of blocks is a task of its
-own: it accumulates overlap counts stripe by stripe, drops pairs that can no longer reach the bound, and returns a
-spanning forest of the links it finds instead of all pairs. Components come from star contraction of these links.
+Equal sets of shingles are one row of the matrix. Rows are classed by size. Two rows of a class that reach the
+threshold differ in at most H n-grams, H following from their sizes; so if the n-grams are dealt into more than H
+groups, two such rows agree on some whole group. Only rows that agree on a group are multiplied; groups on which the
+same rows agree are one block column. Rows that any block columns join are one block if they fit into it; else their
+long columns are cut into blocks of rows, and each pair of blocks is a task. A task accumulates overlap counts stripe by stripe over the n-grams, and returns a spanning forest of the links it
+finds instead of all pairs. Components come from star contraction of these links.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,12 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import bounded_sample, chunks, keyed, map_docs, prefix_hashes, span_hashes, stored, texts_of, with_decisions, words_of
+from parlance.llm.common import U64, chunks, keyed, map_docs, mix, prefix_hashes, span_hashes, stored, texts_of, with_decisions, words_of
 
 #: Rows of a block of a column, columns of a dense stripe.
 BLOCK_ROWS, STRIPE = 768, 4096
-#: Documents and shingles of the sample that tells common shingles from rare ones; it orders columns, no more.
-SAMPLE_ROWS, SAMPLE_SHINGLES = 2000, 50_000
+#: Group signatures that a task gathers before it sends them on, and documents' classes of size (powers of 1.414).
+RUN_CELLS = 1 << 20
+SIZE_BOUNDS = sorted({int(2 ** (k / 2)) for k in range(80)})
 
 _CLASS = np.zeros(256, dtype=np.uint16)
 for _b in range(256):
@@ -46,45 +48,110 @@ def shingle_sets(raws: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def prefix_size(n: int, percent: int) -> int:
-    """How many of n shingles, first in any common order, must hold one that a linked set has among its first."""
-    return n - (percent * n + 99) // 100 + 1
+def groups_of_class(k: int, percent: int) -> tuple[int, int]:
+    """Number of groups for size class k, and on how many groups linked rows of it agree beyond one."""
+    most = SIZE_BOUNDS[k + 1] - 1
+    differ = (100 - percent) * 2 * most // (100 + percent)
+    slack = 2 + differ // 16 if differ else 0
+    return differ + 1 + slack, slack
 
 
-def _first(values: np.ndarray, common: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    """The n rarest values by (count in the sample, hash)."""
-    if not len(common) or n >= len(values):
-        return values[:n]
-    at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-    seen = np.where(common[at] == values, counts[at], 0)
-    return values[np.argsort(seen, kind="stable")[:n]]
+def group_signatures(values: np.ndarray, percent: int) -> np.ndarray:
+    """48-bit signatures of a row's groups, for its size class and those of larger rows it may link with.
 
+    Empty groups are left out unless there are so many that two linked rows might agree on no other.
+    """
+    n, out = len(values), []
+    k = bisect.bisect_right(SIZE_BOUNDS, n) - 1
+    spread = mix(values)
+    while k + 1 < len(SIZE_BOUNDS) and 100 * n >= percent * SIZE_BOUNDS[k]:
+        groups, slack = groups_of_class(k, percent)
+        own = (values % U64(groups)).astype(np.int64)
+        sums, held = np.zeros(groups, dtype=U64), np.bincount(own, minlength=groups)
+        np.add.at(sums, own, spread)
+        sums = mix(sums + np.arange(groups, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(k + 1)) >> U64(16)
+        out.append(sums if np.count_nonzero(held == 0) > slack else sums[held > 0])
+        k += 1
+    return np.concatenate(out)
+
+
+def _class_key(values: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(values.tobytes())
 
-def _rows(shared, width: int, percent: int) -> Callable:
+
+def _rows(width: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, counts = shared.value
         for batch in batches:
-            sizes, sigs, firsts = [], [], []
-            for _, _, raws in chunks(texts_of(batch)):
-                for s in shingle_sets(raws, width):
-                    sizes.append(len(s))
-                    sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    firsts.append(_first(s, common, counts, prefix_size(len(s), percent) if len(s) else 0).view(np.int64))
-            yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "n": sizes, "sig": sigs, "first": firsts})
+            sets = [s for _, _, raws in chunks(texts_of(batch)) for s in shingle_sets(raws, width)]
+            keys = np.array([_class_key(s) for s in sets], dtype=U64).view(np.int64)
+            yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "n": [len(s) for s in sets], "class": keys})
 
     return run
 
 
-def _sample_shingles(width: int) -> Callable:
+def _signature_runs(width: int, percent: int, buckets: int) -> Callable:
+    """Sorted runs of (signature, class) by bucket of signatures, packed; equal rows of a task count once."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            keys = np.fromiter(held.keys(), dtype=U64, count=len(held))
+            cells = np.concatenate(list(held.values())) if held else np.zeros(0, dtype=U64)
+            index = np.repeat(np.arange(len(keys)), [len(v) for v in held.values()]).astype(np.int64)
+            order = np.argsort(cells, kind="stable")
+            cells, index = cells[order], index[order]
+            bucket = (cells * U64(buckets) >> U64(48)).astype(np.int64)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                own, at = cells[cuts[b] : cuts[b + 1]], index[cuts[b] : cuts[b + 1]]
+                used, place = np.unique(at, return_inverse=True)
+                rows.append((b, (own & U64(0xFFFFFFFF)).astype("<u4").tobytes(), (own >> U64(32)).astype("<u2").tobytes(), place.astype("<u4").tobytes(), keys[used].tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "low", "high", "place", "classes"])
+
         for batch in batches:
             for _, _, raws in chunks(texts_of(batch)):
-                seen = Counter(x for s in shingle_sets(raws, width) for x in s.view(np.int64).tolist())
-                yield pd.DataFrame({"h": list(seen.keys()), "n": list(seen.values())})
+                for s in shingle_sets(raws, width):
+                    key = _class_key(s)
+                    if len(s) and key not in held:
+                        held[key] = group_signatures(s, percent)
+                        size += len(held[key])
+            if size > RUN_CELLS:
+                yield flush()
+                held, size = {}, 0
+        yield flush()
 
     return run
 
 
+def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From the runs of each bucket the signatures that two classes or more have."""
+
+    def live(rows: list) -> pd.DataFrame:
+        cells = np.concatenate([np.frombuffer(r[0], "<u4").astype(U64) | np.frombuffer(r[1], "<u2").astype(U64) << U64(32) for r in rows])
+        classes = np.concatenate([np.frombuffer(r[3], U64)[np.frombuffer(r[2], "<u4")] for r in rows])
+        order = np.lexsort((classes, cells))
+        cells, classes = cells[order], classes[order]
+        new = np.concatenate([[True], (cells[1:] != cells[:-1]) | (classes[1:] != classes[:-1])])
+        cells, classes = cells[new], classes[new]
+        same = cells[1:] == cells[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        return pd.DataFrame({"h": cells[keep].view(np.int64), "class": classes[keep].view(np.int64)})
+
+    bucket, held = None, []
+    for batch in batches:
+        for b, *row in zip(batch["bucket"], batch["low"], batch["high"], batch["place"], batch["classes"], strict=True):
+            if b != bucket and held:
+                yield live(held)
+                held = []
+            bucket = b
+            held.append(row)
+    if held:
+        yield live(held)
+
+
 def _full_sets(width: int) -> Callable:
     """A row for each task that a matrix row takes part in, with the row's whole set."""
 
@@ -222,37 +289,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
-    seen = map_docs_free(bounded_sample(rows, SAMPLE_ROWS, F.col("row_key")), _sample_shingles(width), "h long, n long")
-    top = seen.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > 2).orderBy(F.desc("n"), "h").limit(SAMPLE_SHINGLES).collect()
-    top.sort(key=lambda r: r["h"] & ((1 << 64) - 1))
-    common = np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in top], dtype=np.int64)
-    matrix = stored(map_docs(rows, _rows(spark.sparkContext.broadcast(common), width, percent), "row_key long, n long, sig binary, first array<long>"), "shingle-rows")
+    if not 50 < percent <= 100:
+        raise ValueError("percent has to be 51 to 100")
+    matrix = stored(map_docs(rows, _rows(width), "row_key long, n long, class long"), "shingle-rows")
     id_type = rows.schema["doc_id"].dataType
     known = matrix.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    best = F.min(F.struct("doc_id", "row_key", "n"))
-    classes = known.groupBy("sig").agg(best.alias("best"), F.any_value("first").alias("first"))
-    classes = stored(classes.select("sig", F.col("best.doc_id").alias("rep"), F.col("best.row_key").alias("rep_key"), "first"), "shingle-classes")
-    cells = classes.select("rep", "rep_key", F.explode("first").alias("h"))
+    classes = known.groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("best"))
+    classes = stored(classes.select("class", F.col("best.doc_id").alias("rep"), F.col("best.row_key").alias("rep_key")), "shingle-classes")
+    buckets = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = rows.where(F.col("doc_id").isNotNull()).select("text").mapInPandas(_signature_runs(width, percent, buckets), "bucket long, low binary, high binary, place binary, classes binary")
+    live = runs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_agreeing, "h long, class long")
+    cells = stored(stored(live, "agreeing").join(classes, "class").select("rep", "rep_key", "h"), "agreeing-rows")
     columns = cells.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep_key")).alias("x"), F.bit_xor(F.xxhash64("rep_key", F.lit(1))).alias("y"))
     columns = columns.where(F.col("m") > 1).groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h", "m")
-    live = cells.join(stored(columns, "shingle-columns"), "h")
+    live = stored(cells.join(stored(columns, "columns"), "h"), "live-cells")
+    # Rows joined by any columns: where they fit into one block, that block is their only task.
+    hubs = stored(live.groupBy("h").agg(F.min("rep").alias("hub")), "hubs")
+    parties = stored(connected_components(live.join(hubs, "h").select(F.col("rep").alias("u"), F.col("hub").alias("v"))), "parties")
+    sizes = stored(parties.groupBy(F.col("component").alias("party")).agg(F.count("*").alias("size")), "party-sizes")
+    live = live.join(parties, F.col("rep") == F.col("node")).join(sizes, F.col("component") == F.col("party"))
+    live = live.select("rep", "rep_key", "party", "h", "m", (F.col("size") <= block_rows).alias("whole"))
     parts = F.ceil(F.col("m") / block_rows).cast("int")
-    live = live.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep_key"), F.col("parts")).cast("int"))
-    tasks = live.select("rep", "rep_key", "h", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    wide = live.where(~F.col("whole")).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep_key"), F.col("parts")).cast("int"))
+    wide = wide.select("rep", "rep_key", "h", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     task = F.struct("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side"))
-    tasks = tasks.groupBy(F.col("rep").alias("doc_id"), F.col("rep_key").alias("row_key")).agg(F.collect_list(task).alias("tasks"))
+    whole = live.where("whole").select("rep", "rep_key", F.struct(F.xxhash64("party").alias("h"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("side")).alias("task"))
+    tasks = wide.select("rep", "rep_key", task.alias("task")).unionByName(whole)
+    tasks = tasks.groupBy(F.col("rep").alias("doc_id"), F.col("rep_key").alias("row_key")).agg(F.collect_set("task").alias("tasks"))
     sets = map_docs(with_decisions(rows, tasks, "inner").select("doc_id", "text", "tasks"), _full_sets(width), "shingles binary, h long, a int, b int, side int")
     order = ["h", "a", "b"]
     sets = sets.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(*order).sortWithinPartitions(*order, "doc_id")
     links = sets.mapInPandas(_products(percent), "u string, v string").select(F.col("u").cast(id_type).alias("u"), F.col("v").cast(id_type).alias("v"))
     nodes = connected_components(links)
-    labels = classes.select("sig", "rep").join(nodes, F.col("rep") == F.col("node"), "left")
-    labels = stored(labels.select("sig", F.coalesce("component", "rep").alias("component")), "components")
-    joined = matrix.select("doc_id", "n", "sig").join(labels, "sig", "left")
+    labels = classes.select("class", "rep").join(nodes, F.col("rep") == F.col("node"), "left")
+    labels = stored(labels.select("class", F.coalesce("component", "rep").alias("component")), "components")
+    joined = matrix.select("doc_id", "n", "class").join(labels, "class", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
-
-def map_docs_free(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInPandas`` over the texts alone."""
-    return rows.select("text").mapInPandas(function, schema)
