@@ -1,0 +1,35 @@
+"""Separate activity lines and artefact labels from the text of assistant messages."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from parlance.functions.text import bind, compact_whitespace, trim_all
+
+# Activity lines and document chips, in two languages.
+ACTIVITY_LINE = "(?i)^(?:dachte\\s+.{1,20}\\s*nach|thought(?:\\s+for\\s+.*)?|web[- ]?durchsucht|web ?search(?:ed)?(?: the web)?|searched the web|datei (?:erstellt|gelesen|bearbeitet|angesehen)[^.]*|[0-9]+\\s+dateien? (?:bearbeitet|erstellt|angesehen)[^.]*)\\.?\\s*\\z"
+ARTIFACT_CHIP = "(?i)^dokument(\\s*·\\s*\\S+)?\\z"
+
+
+def split_activity(text: Column) -> Column:
+    """``text`` without activity, and ``activity`` in order. Artefact labels are listed once, activity lines each time."""
+
+    def walk(parts: Column) -> Column:
+        none = F.array().cast("array<string>")
+        start = F.struct(F.lit(False).alias("skip"), none.alias("kept"), none.alias("activity"))
+
+        def step(acc: Column, i: Column) -> Column:
+            own, following = compact_whitespace(F.get(parts, i)), compact_whitespace(F.coalesce(F.get(parts, i + 1), F.lit("")))
+            line, chip = own.rlike(ACTIVITY_LINE), (own != "") & following.rlike(ARTIFACT_CHIP)
+            label = F.concat(F.lit("Artefakt: "), own)
+            added = F.when(line, F.array(F.regexp_replace(own, "\\.\\z", ""))).when(chip & ~F.array_contains(acc["activity"], label), F.array(label)).otherwise(none)
+            kept = F.when(line | chip, none).otherwise(F.array(F.get(parts, i)))
+            return F.when(acc["skip"], F.struct(F.lit(False).alias("skip"), acc["kept"].alias("kept"), acc["activity"].alias("activity"))).otherwise(
+                F.struct((chip & ~line).alias("skip"), F.concat(acc["kept"], kept).alias("kept"), F.concat(acc["activity"], added).alias("activity"))
+            )
+
+        finish = lambda acc: F.struct(trim_all(F.array_join(acc["kept"], "\n\n")).alias("text"), acc["activity"].alias("activity"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, step, finish)
+
+    return bind(F.split(text, "\n{2,}"), walk)

@@ -2,5 +2,177 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from parlance.functions import redaction, text
+from parlance.operators import activity, evidence, filtering, merging, rendering, report, routing
+from parlance.schema import ExportOptions
+from parlance.sources.conversations import messages_from_clipboard, messages_from_turns, read_table
+
+VERSION, CAPTURED_AT = "1.0.0", "2026-01-01T00:00:00.000Z"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "conversations")
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_from_turns(_turns(spark, sf_dir))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations without every second user turn, so that assistant turns follow each other."""
+    turns = _turns(spark, sf_dir)
+    return messages_from_turns(turns.where(~((F.col("role") == "user") & (F.col("turn") % 4 == 2))))
+
+
+def _headers(messages: DataFrame) -> DataFrame:
+    null = F.lit(None).cast("string")
+    return messages.select("conv_id").distinct().select(
+        "conv_id", F.lit("generic").alias("provider"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"), F.lit("").alias("url"),
+        F.lit(CAPTURED_AT).alias("captured_at"), null.alias("model"), null.alias("status"), F.lit(None).cast("array<string>").alias("reasons"),
+    )
+
+
+def message_text_hash(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.sha2("text", 256).alias("text_hash"))
+
+
+def stable_id(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", text.fnv1a(F.col("text")).alias("id_number"))
+
+
+def compact_ws(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", text.compact_whitespace(F.col("text")).alias("text"))
+
+
+def slugify_titles(spark, sf_dir):
+    return read_table(spark, sf_dir, "part").select("p_partkey", text.slugify(F.col("p_name")).alias("slug"))
+
+
+def anonymize_url(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select("page_id", text.anonymous_url(F.col("url")).alias("url"))
+
+
+def describe_page(spark, sf_dir):
+    kind = routing.page_kind(F.col("url"))
+    return read_table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), routing.page_state(kind).alias("state"), routing.provider(F.col("url")).alias("provider"))
+
+
+def redact_email(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", redaction.redact_email(F.col("text")).alias("text"))
+
+
+def redact_keys(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", redaction.redact_keys(F.col("text")).alias("text"))
+
+
+def redact_all(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", redaction.redact_text(F.col("text")).alias("text"))
+
+
+def interim_flags(spark, sf_dir):
+    return _runs(spark, sf_dir).select("conv_id", "msg_idx", filtering.interim_flag().alias("interim"))
+
+
+def drop_interim(spark, sf_dir):
+    kept = filtering.apply_export_options(_runs(spark, sf_dir), ExportOptions(collapse_intermediate=False, redact_secrets=False))
+    return kept.select("conv_id", "msg_idx", "role")
+
+
+def export_markdown(spark, sf_dir):
+    messages = filtering.apply_export_options(_runs(spark, sf_dir))
+    return rendering.export_markdown(messages, _headers(messages), VERSION)
+
+
+def export_json(spark, sf_dir):
+    messages = filtering.apply_export_options(_messages(spark, sf_dir))
+    return rendering.export_json(messages, _headers(messages), VERSION)
+
+
+def clipboard_split(spark, sf_dir):
+    line = F.concat_ws(": ", "role", "text")
+    whole = _turns(spark, sf_dir).where(F.col("role") != "system").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("t")))).alias("x"))
+    found = messages_from_clipboard(whole.select("conv_id", F.array_join(F.transform("x", lambda i: i["t"]), "\n").alias("text")))
+    return found.select("conv_id", "msg_idx", "role", F.col("content")[0]["text"].alias("text"))
+
+
+def activity_split(spark, sf_dir):
+    made = F.concat(F.lit("Thought for 3s.\n\n"), F.col("text"), F.lit("\n\nPlan\n\nDokument · MD"))
+    split = activity.split_activity(made)
+    return _turns(spark, sf_dir).where(F.col("role") == "assistant").select("conv_id", "turn", split["text"].alias("text"), F.array_join(split["activity"], "|").alias("activity"))
+
+
+def capture_report(spark, sf_dir):
+    return report.capture_report(_messages(spark, sf_dir))
+
+
+def select_and_edit(spark, sf_dir):
+    messages = _messages(spark, sf_dir)
+    selection = messages.where(F.col("msg_idx") % 2 == 0).select("conv_id", F.col("id").alias("msg_id"))
+    edits = messages.where(F.col("msg_idx") == 0).select("conv_id", F.col("id").alias("msg_id"), F.lit("edited").alias("markdown"))
+    out = filtering.apply_edits(filtering.select_messages(messages, selection), edits)
+    return out.select("conv_id", "msg_idx", F.col("content")[0]["text"].alias("text"))
+
+
+def merge_windows(spark, sf_dir):
+    """Conversations cut into windows of four turns that overlap by two, then merged again."""
+    turns = _turns(spark, sf_dir)
+    seqs = F.sequence(F.greatest(F.floor(F.col("turn") / 2) - 1, F.lit(0)), F.floor(F.col("turn") / 2))
+    rows = turns.withColumn("snapshot_seq", F.explode(seqs.cast("array<int>")))
+    place = F.row_number().over(Window.partitionBy("conv_id", "snapshot_seq").orderBy("turn"))
+    identity = F.concat(F.lit("p"), F.col("turn").cast("string"))
+    null = F.lit(None)
+    snapshots = rows.select("conv_id", "snapshot_seq", place.alias("msg_idx"), "role", null.cast("string").alias("kind"), identity.alias("provider_id"), F.concat_ws(":", F.lit("message"), "role", identity).alias("key"), "text", null.cast("double").alias("top"))
+    return merging.merge_snapshots(snapshots).select("conv_id", "msg_idx", "role", "text")
+
+
+def evidence_manifest(spark, sf_dir):
+    messages = filtering.apply_export_options(_runs(spark, sf_dir))
+    found = evidence.manifest(evidence.evidence_files(messages, _headers(messages), VERSION))
+    return found.select("conv_id", F.col("hashes")["transcript.md"].alias("markdown_sha256"), F.size("hashes").alias("n_files"))
+
+
+_RUNS = "SELECT conv_id, turn, role, text FROM conversations WHERE NOT (role = 'user' AND turn % 4 = 2)"
+_FLAGS = f"SELECT *, role = 'assistant' AND coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant', false) AS interim FROM ({_RUNS})"
+_MARKDOWN = rf"""
+WITH f AS ({_FLAGS}), r AS (SELECT *, coalesce(sum((NOT interim)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM f),
+q AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN trim(x) = '' THEN '>' ELSE '> ' || x END), chr(10)) END AS shown FROM r),
+g AS (SELECT conv_id, run, count(*) FILTER (WHERE interim AND text <> '') AS n, string_agg(text || chr(10), chr(10) ORDER BY turn) FILTER (WHERE interim AND text <> '') AS folded,
+  max(shown || chr(10)) FILTER (WHERE NOT interim AND text <> '') AS shown, count(*) AS c FROM q GROUP BY 1, 2),
+p AS (SELECT conv_id, run, c, concat_ws(chr(10), CASE WHEN n > 0 THEN '<details><summary>' || n || ' previous message' || CASE WHEN n = 1 THEN '' ELSE 's' END || '</summary>' || chr(10) || chr(10) || folded || chr(10) || '</details>' || chr(10) END, shown) AS t FROM g),
+w AS (SELECT conv_id, sum(c) AS c, string_agg(t, chr(10) ORDER BY run) FILTER (WHERE t <> '') AS body FROM p GROUP BY 1)
+SELECT conv_id, 'conversation-' || conv_id || '.md' AS filename,
+  regexp_replace(regexp_replace(concat_ws(chr(10), '---', 'schema_version: "1.0"', 'provider: "generic"', 'title: "Conversation ' || conv_id || '"', 'captured_at: "{CAPTURED_AT}"', 'message_count: "' || c || '"', 'extension_version: "{VERSION}"', '---' || chr(10), '# Conversation ' || conv_id, '', body), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '\s+$', '') || chr(10) AS content FROM w
+"""
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1))"
+
+QUERIES = {f.__name__: f for f in (
+    message_text_hash, stable_id, compact_ws, slugify_titles, anonymize_url, describe_page, redact_email, redact_keys, redact_all, interim_flags, drop_interim,
+    export_markdown, export_json, clipboard_split, activity_split, capture_report, select_and_edit, merge_windows, evidence_manifest,
+)}
+
+ORACLES = {
+    "message_text_hash": "SELECT conv_id, turn, sha256(text) AS text_hash FROM conversations",
+    "stable_id": "SELECT conv_id, turn, list_reduce(list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619::BIGINT) & 4294967295, 2166136261::BIGINT) AS id_number FROM conversations",
+    "compact_ws": r"SELECT doc_id, trim(regexp_replace(text, '[\x09-\x0D \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')) AS text FROM documents",
+    "slugify_titles": r"SELECT p_partkey, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(lower(p_name), 'https?://', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 72), ''), 'conversation') AS slug FROM part",
+    "anonymize_url": rf"SELECT page_id, CASE WHEN url ~ '^https?://.*' THEN regexp_extract(url, '^(https?)://', 1) || '://' || {_HOST} || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), ''), '/') ELSE '' END AS url FROM pages",
+    "describe_page": rf"SELECT page_id, 'web' AS kind, 'warning' AS state, 'generic' AS provider FROM pages WHERE {_HOST} LIKE '%example.%'",
+    "redact_email": r"SELECT doc_id, regexp_replace(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[redacted-email]', 'g') AS text FROM documents",
+    "redact_keys": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(?:AKIA|ASIA)[0-9A-Z]{16}\b', '[redacted-aws-key]', 'g'),
+        '\b(?:sk|rk|pk|xox[baprs]|ghp|github_pat)_[A-Za-z0-9_-]{16,}\b', '[redacted-token]', 'g'), '\b[A-Za-z0-9_-]{32,}\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\b', '[redacted-token]', 'g'),
+        '(?i)\b(api[_-]?key|token|secret|password)\s*[:=]\s*["'']?[^"''\s,;]{8,}', '\1=[redacted-secret]', 'g') AS text FROM documents""",
+    "interim_flags": f"SELECT conv_id, turn::INT AS msg_idx, interim FROM ({_FLAGS})",
+    "drop_interim": f"SELECT conv_id, turn::INT AS msg_idx, role FROM ({_FLAGS}) WHERE NOT interim",
+    "export_markdown": _MARKDOWN,
+    "clipboard_split": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS msg_idx, CASE WHEN count(*) OVER (PARTITION BY conv_id) = 1 THEN 'user' ELSE role END AS role, CASE WHEN count(*) OVER (PARTITION BY conv_id) = 1 THEN role || ': ' ELSE '' END || trim(text) AS text FROM conversations WHERE role <> 'system'",
+    "activity_split": "SELECT conv_id, turn, text, 'Thought for 3s|Artefakt: Plan' AS activity FROM conversations WHERE role = 'assistant'",
+    "capture_report": """SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant,
+        count(*) - count(DISTINCT (role, text)) AS n_duplicates, count(*) FILTER (WHERE text = '') AS n_empty, min(turn)::INT AS first_idx, max(turn)::INT AS last_idx,
+        count(*) = max(turn) - min(turn) + 1 AS contiguous, left(arg_min(text, turn), 50) AS first_text, left(arg_max(text, turn), 50) AS last_text FROM conversations GROUP BY conv_id""",
+    "select_and_edit": "SELECT conv_id, turn::INT AS msg_idx, CASE WHEN turn = 0 THEN 'edited' ELSE text END AS text FROM conversations WHERE turn % 2 = 0",
+    "merge_windows": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS msg_idx, role, text FROM conversations",
+    "evidence_manifest": f"SELECT conv_id, sha256(content) AS markdown_sha256, 2 AS n_files FROM ({_MARKDOWN})",
+}
