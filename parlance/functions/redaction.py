@@ -104,6 +104,14 @@ def redact_text(c: Column) -> Column:
 
 def redact_block(b: Column) -> Column:
     """Text of text, code and quote blocks, Markdown of tables, alt text and file name of images."""
-    for field, kinds in (("text", ("text", "code", "quote")), ("markdown", ("table",)), ("alt", ("image",)), ("filename", ("image",))):
-        b = b.withField(field, F.when(b["type"].isin(*kinds), redact_text(b[field])).otherwise(b[field]))
-    return b
+    fields = {"text": ("text", "code", "quote"), "markdown": ("table",), "alt": ("image",), "filename": ("image",)}
+    # One array, so that the rules are compiled once and not for each field.
+    values = F.array(*(F.when(b["type"].isin(*kinds), b[field]) for field, kinds in fields.items()))
+
+    def put(redacted: Column) -> Column:
+        out = b
+        for i, (field, kinds) in enumerate(fields.items()):
+            out = out.withField(field, F.when(b["type"].isin(*kinds), redacted[i]).otherwise(b[field]))
+        return out
+
+    return bind(F.transform(values, redact_text), put)
