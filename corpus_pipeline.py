@@ -6,11 +6,14 @@ return the columns of ``documents``; the last returns the pieces of packed seque
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import decontamination, language_id, line_dedup, ngram_join, packing
-from parlance.llm.common import stored
+from parlance.llm.common import new_path, stage_tables
 from parlance.llm.queries import table, tokenizer_path
 
 
@@ -53,12 +56,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path())
 
 
+def _stage(function: Callable) -> Callable:
+    """The stage, with the tables its operators store held until the next stage begins."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage_tables(spark):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", drop_common_lines),
-    ("ngram_join", drop_near_copies),
-    ("decontamination", drop_contaminated),
-    ("packing", pack),
+    ("language_id", _stage(identify_language)),
+    ("line_dedup", _stage(drop_common_lines)),
+    ("ngram_join", _stage(drop_near_copies)),
+    ("decontamination", _stage(drop_contaminated)),
+    ("packing", _stage(pack)),
 ]
 
 #: SQL can express neither the language model nor the tokenizer; the stages are tested against brute force.
@@ -68,5 +82,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 U64 = np.uint64
+#: Strata of a sample whose limits are broadcast; more are joined by a shuffle.
+MOST_STRATA = 1000
 
 _own_folder: list[str] = []
 
@@ -33,13 +36,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables stored by the operators of the last pipeline stage, while one is being built.
+_held: list[str] | None = None
+_done: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again; this cuts its lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _held is not None:
+        _held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """What operators store inside is deleted when the next stage enters, as its input has been written by then.
+
+    One pipeline may run in a process at a time.
+    """
+    global _held
+    for path in _done:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _done.clear()
+    _held = []
+    try:
+        yield
+    finally:
+        _done.extend(_held)
+        _held = None
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text, row_key``: equal rows share a key, which is never null even if the id is."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -57,7 +86,7 @@ def bounded_sample(df: DataFrame, bound: int, key: Column, strata: str | None =
     """About ``bound`` rows (of each stratum, if one is named), the same ones on every run.
 
     Rows are taken by a hash of ``key`` below a threshold set from a full count, so the draw is spread over the
-    whole table; tables within the bound are taken whole. The number of strata has to be small (languages).
+    whole table; tables within the bound are taken whole.
     """
     spread = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_003))
     if strata is None:
@@ -66,7 +95,8 @@ def bounded_sample(df: DataFrame, bound: int, key: Column, strata: str | None =
     counts = df.groupBy(strata).count()
     share = F.least(F.lit(1.0), F.lit(float(bound)) / F.col("count"))
     limits = counts.select(F.col(strata).alias("_stratum"), (share * 1_000_003).cast("long").alias("_limit"))
-    joined = df.join(limits, F.col(strata).eqNullSafe(F.col("_stratum")))
+    few = limits.limit(MOST_STRATA + 1).count() <= MOST_STRATA
+    joined = df.join(F.broadcast(limits) if few else limits, F.col(strata).eqNullSafe(F.col("_stratum")))
     return joined.where(spread < F.col("_limit")).drop("_stratum", "_limit")
 
 
