@@ -177,7 +177,7 @@ def language_column(spark: SparkSession, model: LanguageModel) -> Callable[[Colu
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         plain = [t if isinstance(t, str) else "" for t in texts]
-        found = [x for first, last, _ in chunks(plain, 16 << 20) for x in shared.value.predict(plain[first:last])]
+        found = [x for first, last, _ in chunks(plain, 4 << 20) for x in shared.value.predict(plain[first:last])]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return predict

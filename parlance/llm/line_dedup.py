@@ -107,7 +107,8 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for b in range(batches):
         distinct = keys.where(F.col("batch") == b).select(F.explode(F.array_distinct("keys")).alias("key"))
         runs.add(distinct.where(F.length("key") > 0))
-    common = runs.common_keys(min_docs)
+    # Stored, so that both sides of the join below are plain exchanges and a very common line can be split.
+    common = stored(runs.common_keys(min_docs), "common-lines")
     lines = keys.select("row_key", "doc_id", F.posexplode("keys").alias("line", "key")).where(F.length("key") > 0)
     gone = lines.join(common, "key", "left_semi").groupBy("row_key", "doc_id").agg(F.collect_set("line").alias("gone"))
     joined = with_decisions(rows, gone)

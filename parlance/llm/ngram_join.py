@@ -2,10 +2,10 @@
 
 Equal sets of shingles are one row of the matrix. Rows are classed by size. Two rows of a class that reach the
 threshold differ in at most H n-grams, H following from their sizes; so if the n-grams are dealt into more than H
-groups, two such rows agree on some whole group. Only rows that agree on a group are multiplied; groups on which the
-same rows agree are one block column. Rows that any block columns join are one block if they fit into it; else their
-long columns are cut into blocks of rows, and each pair of blocks is a task. A task accumulates overlap counts stripe by stripe over the n-grams, and returns a spanning forest of the links it
-finds instead of all pairs. Components come from star contraction of these links.
+groups, two such rows agree on some whole group. Only rows that agree on a group are multiplied; groups whose rows share
+their least row (by hash) make one block column together. Long block columns are cut into blocks of rows, and each pair
+of blocks is a task. A task accumulates overlap counts stripe by stripe over the n-grams, and returns a spanning forest
+of the links it finds instead of all pairs. Components come from star contraction of these links.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from parlance.llm.common import U64, chunks, keyed, map_docs, mix, prefix_hashes
 #: Rows of a block of a column, columns of a dense stripe.
 BLOCK_ROWS, STRIPE = 768, 4096
 #: Group signatures that a task gathers before it sends them on, and documents' classes of size (powers of 1.414).
-RUN_CELLS = 1 << 20
+RUN_CELLS = 1 << 19
+PRUNING_ROUNDS = 3
 SIZE_BOUNDS = sorted({int(2 ** (k / 2)) for k in range(80)})
 
 _CLASS = np.zeros(256, dtype=np.uint16)
@@ -52,14 +53,20 @@ def groups_of_class(k: int, percent: int) -> tuple[int, int]:
     """Number of groups for size class k, and on how many groups linked rows of it agree beyond one."""
     most = SIZE_BOUNDS[k + 1] - 1
     differ = (100 - percent) * 2 * most // (100 + percent)
-    slack = 2 + differ // 16 if differ else 0
+    slack = 2 + differ // 4 if differ else 0
     return differ + 1 + slack, slack
 
 
+def agreeing_groups(k: int, percent: int) -> int:
+    """On how many emitted groups of class k linked rows agree at least."""
+    slack = groups_of_class(k, percent)[1]
+    return slack + 1 - slack // 2
+
+
 def group_signatures(values: np.ndarray, percent: int) -> np.ndarray:
     """48-bit signatures of a row's groups, for its size class and those of larger rows it may link with.
 
-    Empty groups are left out unless there are so many that two linked rows might agree on no other.
+    The lowest two bits tell the class. Empty groups are left out unless there are so many that two linked rows might agree on no other.
     """
     n, out = len(values), []
     k = bisect.bisect_right(SIZE_BOUNDS, n) - 1
@@ -70,7 +77,8 @@ def group_signatures(values: np.ndarray, percent: int) -> np.ndarray:
         sums, held = np.zeros(groups, dtype=U64), np.bincount(own, minlength=groups)
         np.add.at(sums, own, spread)
         sums = mix(sums + np.arange(groups, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(k + 1)) >> U64(16)
-        out.append(sums if np.count_nonzero(held == 0) > slack else sums[held > 0])
+        sums = (sums & ~U64(3)) | U64(k & 3)
+        out.append(sums if np.count_nonzero(held == 0) > slack // 2 else sums[held > 0])
         k += 1
     return np.concatenate(out)
 
@@ -84,7 +92,7 @@ def _rows(width: int) -> Callable:
         for batch in batches:
             sets = [s for _, _, raws in chunks(texts_of(batch)) for s in shingle_sets(raws, width)]
             keys = np.array([_class_key(s) for s in sets], dtype=U64).view(np.int64)
-            yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "n": [len(s) for s in sets], "class": keys})
+            yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "n": [len(s) for s in sets], "size_class": [bisect.bisect_right(SIZE_BOUNDS, len(s)) - 1 for s in sets], "class": keys})
 
     return run
 
@@ -118,9 +126,9 @@ def _signature_runs(width: int, percent: int, buckets: int) -> Callable:
                     if len(s) and key not in held:
                         held[key] = group_signatures(s, percent)
                         size += len(held[key])
-            if size > RUN_CELLS:
-                yield flush()
-                held, size = {}, 0
+                if size > RUN_CELLS:
+                    yield flush()
+                    held, size = {}, 0
         yield flush()
 
     return run
@@ -291,30 +299,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = keyed(docs, id_col, text_col)
     if not 50 < percent <= 100:
         raise ValueError("percent has to be 51 to 100")
-    matrix = stored(map_docs(rows, _rows(width), "row_key long, n long, class long"), "shingle-rows")
+    matrix = stored(map_docs(rows, _rows(width), "row_key long, n long, size_class int, class long"), "shingle-rows")
     id_type = rows.schema["doc_id"].dataType
     known = matrix.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = known.groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("best"))
-    classes = stored(classes.select("class", F.col("best.doc_id").alias("rep"), F.col("best.row_key").alias("rep_key")), "shingle-classes")
+    classes = known.groupBy("class").agg(F.min(F.struct("doc_id", "row_key", "size_class")).alias("best"))
+    classes = stored(classes.select("class", F.col("best.doc_id").alias("rep"), F.col("best.row_key").alias("rep_key"), F.col("best.size_class").alias("size_class")), "shingle-classes")
     buckets = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = rows.where(F.col("doc_id").isNotNull()).select("text").mapInPandas(_signature_runs(width, percent, buckets), "bucket long, low binary, high binary, place binary, classes binary")
     live = runs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_agreeing, "h long, class long")
-    cells = stored(stored(live, "agreeing").join(classes, "class").select("rep", "rep_key", "h"), "agreeing-rows")
-    columns = cells.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep_key")).alias("x"), F.bit_xor(F.xxhash64("rep_key", F.lit(1))).alias("y"))
-    columns = columns.where(F.col("m") > 1).groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h", "m")
-    live = stored(cells.join(stored(columns, "columns"), "h"), "live-cells")
-    # Rows joined by any columns: where they fit into one block, that block is their only task.
-    hubs = stored(live.groupBy("h").agg(F.min("rep").alias("hub")), "hubs")
-    parties = stored(connected_components(live.join(hubs, "h").select(F.col("rep").alias("u"), F.col("hub").alias("v"))), "parties")
-    sizes = stored(parties.groupBy(F.col("component").alias("party")).agg(F.count("*").alias("size")), "party-sizes")
-    live = live.join(parties, F.col("rep") == F.col("node")).join(sizes, F.col("component") == F.col("party"))
-    live = live.select("rep", "rep_key", "party", "h", "m", (F.col("size") <= block_rows).alias("whole"))
+    cells = stored(stored(live, "agreeing").join(classes, "class").select("rep", "rep_key", "h", "size_class"), "agreeing-rows")
+    # A row that is linked agrees with its partner on several groups; rows short of that leave, and what only they held.
+    least = F.array(*(F.lit(agreeing_groups(k, percent)) for k in range(len(SIZE_BOUNDS) - 1)))
+    size_class = F.col("size_class") + F.pmod(F.col("h") - F.col("size_class"), F.lit(4)).cast("int")
+    for _ in range(PRUNING_ROUNDS):
+        enough = cells.withColumn("k", size_class).groupBy("rep_key", "k").agg(F.count("*").alias("held")).where(F.col("held") >= F.get(least, F.col("k")))
+        cells = stored(cells.withColumn("k", size_class).join(enough.select("rep_key", "k"), ["rep_key", "k"], "left_semi").drop("k"), "pruned")
+        shared = stored(cells.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("h"), "shared-groups")
+        cells = stored(cells.join(shared, "h", "left_semi"), "pruned")
+    # Groups whose rows have the same hub (their least row by hash) become one block column: near copies share few hubs.
+    hubs = stored(cells.groupBy("h").agg(F.min(F.xxhash64("rep_key", F.lit(1))).alias("hub")), "hubs")
+    live = stored(cells.join(hubs, "h").select("rep", "rep_key", F.col("hub").alias("h")).distinct(), "live-cells")
+    columns = stored(live.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > 1), "columns")
+    live = live.join(columns, "h")
     parts = F.ceil(F.col("m") / block_rows).cast("int")
-    wide = live.where(~F.col("whole")).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep_key"), F.col("parts")).cast("int"))
-    wide = wide.select("rep", "rep_key", "h", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    live = live.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep_key"), F.col("parts")).cast("int"))
+    tasks = live.select("rep", "rep_key", "h", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     task = F.struct("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side"))
-    whole = live.where("whole").select("rep", "rep_key", F.struct(F.xxhash64("party").alias("h"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("side")).alias("task"))
-    tasks = wide.select("rep", "rep_key", task.alias("task")).unionByName(whole)
+    tasks = tasks.select("rep", "rep_key", task.alias("task"))
     tasks = tasks.groupBy(F.col("rep").alias("doc_id"), F.col("rep_key").alias("row_key")).agg(F.collect_set("task").alias("tasks"))
     sets = map_docs(with_decisions(rows, tasks, "inner").select("doc_id", "text", "tasks"), _full_sets(width), "shingles binary, h long, a int, b int, side int")
     order = ["h", "a", "b"]
