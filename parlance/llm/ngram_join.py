@@ -2,10 +2,11 @@
 
 Equal sets of shingles are one row of the matrix. Rows are classed by size. Two rows of a class that reach the
 threshold differ in at most H n-grams, H following from their sizes; so if the n-grams are dealt into more than H
-groups, two such rows agree on some whole group. Only rows that agree on a group are multiplied; groups whose rows share
-their least row (by hash) make one block column together. Long block columns are cut into blocks of rows, and each pair
-of blocks is a task. A task accumulates overlap counts stripe by stripe over the n-grams, and returns a spanning forest
-of the links it finds instead of all pairs. Components come from star contraction of these links.
+groups, two such rows agree on some whole group. More groups are dealt, so they agree on several, and a row needs only
+its rarest ones. Only rows that agree on such a group are multiplied; groups whose rows share their least row (by hash)
+make one block column together. Long block columns are cut into blocks of rows, and each pair of blocks is a task. A
+task accumulates overlap counts stripe by stripe over the n-grams, and returns a spanning forest of the links it finds
+instead of all pairs. Components come from star contraction of these links.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import U64, chunks, keyed, map_docs, mix, prefix_hashes, span_hashes, stored, texts_of, with_decisions, words_of
@@ -314,8 +315,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for _ in range(PRUNING_ROUNDS):
         enough = cells.withColumn("k", size_class).groupBy("rep_key", "k").agg(F.count("*").alias("held")).where(F.col("held") >= F.get(least, F.col("k")))
         cells = stored(cells.withColumn("k", size_class).join(enough.select("rep_key", "k"), ["rep_key", "k"], "left_semi").drop("k"), "pruned")
-        shared = stored(cells.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("h"), "shared-groups")
-        cells = stored(cells.join(shared, "h", "left_semi"), "pruned")
+        shared = stored(cells.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > 1), "shared-groups")
+        cells = stored(cells.drop("m").join(shared, "h"), "pruned")
+    # Two linked rows agree on ``least`` groups or more. If each leaves out one fewer of its most common ones, in one
+    # order for all, the rarest group that they agree on stays.
+    order = Window.partitionBy("rep_key", "k").orderBy(F.desc("m"), "h")
+    cells = cells.withColumn("k", size_class).withColumn("place", F.row_number().over(order)).where(F.col("place") >= F.get(least, F.col("k")))
+    cells = stored(cells.select("rep", "rep_key", "h"), "rarest-groups")
     # Groups whose rows have the same hub (their least row by hash) become one block column: near copies share few hubs.
     hubs = stored(cells.groupBy("h").agg(F.min(F.xxhash64("rep_key", F.lit(1))).alias("hub")), "hubs")
     live = stored(cells.join(hubs, "h").select("rep", "rep_key", F.col("hub").alias("h")).distinct(), "live-cells")
