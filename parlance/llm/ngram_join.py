@@ -179,6 +179,64 @@ def _full_sets(width: int) -> Callable:
     return run
 
 
+def overlaps(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """Product of an n-row incidence matrix with its transpose, stripe by stripe; cells come sorted by column."""
+    out = np.zeros((n, n), dtype=np.float32)
+    width = int(columns[-1]) + 1 if len(columns) else 0
+    for lo in range(0, width, STRIPE):
+        a, b = np.searchsorted(columns, [lo, lo + STRIPE])
+        stripe = np.zeros((n, min(STRIPE, width - lo)), dtype=np.float32)
+        stripe[rows[a:b], columns[a:b] - lo] = 1
+        out += stripe @ stripe.T
+    return out
+
+
+def rows_in_agreement(groups: list[np.ndarray], classes: list[np.ndarray], sides: list[int], least: list[int]) -> np.ndarray:
+    """Which rows agree with another one (of the other side, if there are two) on ``least`` groups of a class or more."""
+    flat, kinds, side = np.concatenate(groups), np.concatenate(classes), np.array(sides)
+    owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    found = np.zeros(len(groups), dtype=bool)
+    for k in np.unique(kinds).tolist():
+        _, inverse, counts = np.unique(flat[kinds == k], return_inverse=True, return_counts=True)
+        keep = counts[inverse] > 1
+        rows, place = np.unique(owner[kinds == k][keep], return_inverse=True)
+        at = (np.cumsum(counts > 1) - 1)[inverse[keep]]
+        if not len(rows):
+            continue
+        order = np.argsort(at, kind="stable")
+        common = overlaps(place[order], at[order], len(rows))
+        np.fill_diagonal(common, 0)
+        if side.min() != side.max():
+            common[side[rows][:, None] == side[rows][None, :]] = 0
+        found[rows[common.max(axis=1) >= least[k]]] = True
+    return found
+
+
+def _agreeing_rows(least: list[int]) -> Callable:
+    """Walk a partition sorted by task; emit the rows that may have a partner in the task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, rows, groups, classes = None, [], [], []
+        columns = ["doc_id", "row_key", "h", "a", "b", "side"]
+
+        def done() -> list[tuple]:
+            return [rows[i] for i in np.flatnonzero(rows_in_agreement(groups, classes, [r[5] for r in rows], least)).tolist()] if len(rows) > 1 else []
+
+        for batch in batches:
+            out = []
+            for *row, size_class, own in zip(*(batch[c] for c in columns), batch["size_class"], batch["groups"], strict=True):
+                if tuple(row[2:5]) != task:
+                    out += done()
+                    task, rows, groups, classes = tuple(row[2:5]), [], [], []
+                rows.append(tuple(row))
+                groups.append(own)
+                classes.append(size_class + (own - size_class) % 4)
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(done(), columns=columns)
+
+    return run
+
+
 def linked_pairs(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between rows (of different sides, if there are two)."""
     m, sizes = len(sets), np.array([len(s) for s in sets])
@@ -225,13 +283,8 @@ def linked_pairs(sets: list[np.ndarray], sides: list[int], percent: int) -> list
         return forest
     place = np.full(m, -1)
     place[rows] = np.arange(len(rows))
-    overlap = np.zeros((len(rows), len(rows)), dtype=np.float32)
-    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, STRIPE):
-        a, b = np.searchsorted(at, [lo, lo + STRIPE])
-        own = place[owner[a:b]]
-        stripe = np.zeros((len(rows), STRIPE), dtype=np.float32)
-        stripe[own[own >= 0], at[a:b][own >= 0] - lo] = 1
-        overlap += stripe @ stripe.T
+    own = place[owner]
+    overlap = overlaps(own[own >= 0], at[own >= 0], len(rows))
     n = sizes[rows].astype(np.float64)
     ok = np.triu(100 * overlap >= percent * (n[:, None] + n[None, :] - overlap), 1)
     if side.min() != side.max():
@@ -310,7 +363,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     live = runs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_agreeing, "h long, class long")
     cells = stored(stored(live, "agreeing").join(classes, "class").select("rep", "rep_key", "h", "size_class"), "agreeing-rows")
     # A row that is linked agrees with its partner on several groups; rows short of that leave, and what only they held.
-    least = F.array(*(F.lit(agreeing_groups(k, percent)) for k in range(len(SIZE_BOUNDS) - 1)))
+    agreeing = [agreeing_groups(k, percent) for k in range(len(SIZE_BOUNDS) - 1)]
+    least = F.array(*(F.lit(n) for n in agreeing))
     size_class = F.col("size_class") + F.pmod(F.col("h") - F.col("size_class"), F.lit(4)).cast("int")
     for _ in range(PRUNING_ROUNDS):
         enough = cells.withColumn("k", size_class).groupBy("rep_key", "k").agg(F.count("*").alias("held")).where(F.col("held") >= F.get(least, F.col("k")))
@@ -320,19 +374,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Two linked rows agree on ``least`` groups or more. If each leaves out one fewer of its most common ones, in one
     # order for all, the rarest group that they agree on stays.
     order = Window.partitionBy("rep_key", "k").orderBy(F.desc("m"), "h")
-    cells = cells.withColumn("k", size_class).withColumn("place", F.row_number().over(order)).where(F.col("place") >= F.get(least, F.col("k")))
-    cells = stored(cells.select("rep", "rep_key", "h"), "rarest-groups")
+    rarest = cells.withColumn("k", size_class).withColumn("place", F.row_number().over(order)).where(F.col("place") >= F.get(least, F.col("k")))
+    rarest = stored(rarest.select("rep", "rep_key", "h"), "rarest-groups")
     # Groups whose rows have the same hub (their least row by hash) become one block column: near copies share few hubs.
-    hubs = stored(cells.groupBy("h").agg(F.min(F.xxhash64("rep_key", F.lit(1))).alias("hub")), "hubs")
-    live = stored(cells.join(hubs, "h").select("rep", "rep_key", F.col("hub").alias("h")).distinct(), "live-cells")
+    hubs = stored(rarest.groupBy("h").agg(F.min(F.xxhash64("rep_key", F.lit(1))).alias("hub")), "hubs")
+    live = stored(rarest.join(hubs, "h").select("rep", "rep_key", F.col("hub").alias("h")).distinct(), "live-cells")
     columns = stored(live.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > 1), "columns")
     live = live.join(columns, "h")
     parts = F.ceil(F.col("m") / block_rows).cast("int")
     live = live.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep_key"), F.col("parts")).cast("int"))
     tasks = live.select("rep", "rep_key", "h", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     task = F.struct("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side"))
-    tasks = tasks.select("rep", "rep_key", task.alias("task"))
-    tasks = tasks.groupBy(F.col("rep").alias("doc_id"), F.col("rep_key").alias("row_key")).agg(F.collect_set("task").alias("tasks"))
+    # The groups, far smaller than the sets, are multiplied first; rows without a partner that agrees on enough leave.
+    held = cells.groupBy("rep_key").agg(F.first("size_class").alias("size_class"), F.collect_list("h").alias("groups"))
+    tasks = tasks.select("rep", "rep_key", task.alias("task")).join(held, "rep_key")
+    tasks = tasks.select(F.col("rep").alias("doc_id"), F.col("rep_key").alias("row_key"), "task.*", "size_class", "groups")
+    tasks = tasks.repartition("h", "a", "b").sortWithinPartitions("h", "a", "b")
+    tasks = stored(map_docs(tasks, _agreeing_rows(agreeing), "row_key long, h long, a int, b int, side int"), "agreeing-tasks")
+    tasks = tasks.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("h", "a", "b", "side")).alias("tasks"))
     sets = map_docs(with_decisions(rows, tasks, "inner").select("doc_id", "text", "tasks"), _full_sets(width), "shingles binary, h long, a int, b int, side int")
     order = ["h", "a", "b"]
     sets = sets.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(*order).sortWithinPartitions(*order, "doc_id")
