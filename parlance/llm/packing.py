@@ -8,6 +8,7 @@ length, so pieces find their sequence by their rank, which comes from one range
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import defaultdict
@@ -20,10 +21,14 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import map_docs, stored, texts_of
 
-#: Words kept by a task's memo of tokenised words; it is emptied when full.
+#: Words of each of the two generations of a worker's memo of tokenised words.
 MEMO_WORDS = 250_000
 
 
+def _bytes_of(ids: list[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer whose pre-tokenizer never joins across spaces, word by word with a memo.
 
@@ -35,14 +40,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model, self.memo, self.bound = self.tok.model, {}, memo_words
+        self.model, self.memo, self.older, self.bound = self.tok.model, {}, {}, memo_words
         letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if c != 0xF7]
         self.table = {ord(c): "".join(x for x, _ in self.tok.pre_tokenizer.pre_tokenize_str(c)) for c in letters}
         self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
         self.marks = {m: self._slow(m) for m in (".", ",")}
 
     def _slow(self, word: str) -> bytes:
-        return np.array(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes_of(self.tok.encode(word, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
         end = self.marks.get(word[-1:], None)
@@ -51,20 +56,27 @@ class WordTokenizer:
             return self._slow(word)
         ids = self.memo.get(stem) if end else None
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(stem.lower().translate(self.table))], dtype="<u4").tobytes()
+            ids = _bytes_of([t.id for t in self.model.tokenize(stem.lower().translate(self.table))])
         return ids + (end or b"")
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         words = text.replace("\n", " ").split(" ")
-        memo = self.memo
-        if len(memo) > self.bound:
-            memo.clear()
+        if len(self.memo) > self.bound:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         for w in set(words).difference(memo):
-            memo[w] = self._word(w)
+            known = older.get(w)
+            memo[w] = self._word(w) if known is None else known
         return b"".join([memo[w] for w in words])
 
 
+@functools.lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of a Python worker, with its memo, for all tasks that the worker runs."""
+    return WordTokenizer(path)
+
+
 def spfhp(histogram: dict[int, int], max_length: int) -> list[tuple[int, tuple[int, ...]]]:
     """Shortest-pack-first histogram packing: (count, piece lengths) patterns, from {length: count}."""
     free: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
@@ -101,7 +113,7 @@ def slots_of(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, np.ndarra
 
 def _pieces(path: str, max_length: int, end_id: int, separator: bytes = b"") -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = WordTokenizer(path)
+        tok = worker_tokenizer(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         step = max_length * 4
         for batch in batches:
