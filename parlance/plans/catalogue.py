@@ -81,11 +81,20 @@ def drop_interim(spark, sf_dir):
     return kept.select("conv_id", "msg_idx", "role")
 
 
-def export_markdown(spark, sf_dir):
-    messages = filtering.apply_export_options(_runs(spark, sf_dir))
+def _markdown(messages: DataFrame) -> DataFrame:
+    messages = filtering.apply_export_options(messages)
     return rendering.export_markdown(messages, _headers(messages), VERSION)
 
 
+def export_markdown(spark, sf_dir):
+    return _markdown(_runs(spark, sf_dir))
+
+
+def export_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown export of every turn of the table."""
+    return _markdown(_messages(spark, sf_dir))
+
+
 def export_json(spark, sf_dir):
     messages = filtering.apply_export_options(_messages(spark, sf_dir))
     return rendering.export_json(messages, _headers(messages), VERSION)
