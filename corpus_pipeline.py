@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import decontamination, language_id, line_dedup, ngram_join, packing
-from parlance.llm.common import new_path, stage_tables
+from parlance.llm.common import new_path, stage_tables, stored
 from parlance.llm.queries import table, tokenizer_path
 
 
-def _rejoined(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
-    renamed = decisions.withColumnRenamed("doc_id", "_id")
-    return docs.join(renamed, docs["doc_id"].eqNullSafe(renamed["_id"]), how)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, ``_row``; stored, as the key has to be the same each time the rows are read."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,23 +32,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten documents or more go from all of them; documents of which nothing is left go too."""
-    kept = line_dedup.drop_common_lines(docs, min_docs=10).select("doc_id", F.col("text").alias("_text"), "n_dropped")
-    kept = kept.where((F.col("n_dropped") == 0) | (F.trim("_text") != "")).select("doc_id", "_text").dropDuplicates(["doc_id"])
-    joined = _rejoined(docs.drop("text"), kept).withColumn("text", F.col("_text")).withColumn("n_chars", F.length("_text").cast("long"))
+    rows = _numbered(docs)
+    found = line_dedup.drop_common_lines(rows, id_col="_row", min_docs=10)
+    kept = found.where((F.col("n_dropped") == 0) | (F.trim("text") != "")).select(F.col("doc_id").alias("_row"), "text")
+    joined = rows.drop("text").join(kept, "_row").withColumn("n_chars", F.length("text").cast("long"))
     return joined.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a five-word shingle similarity of 0.8 or more, the least id stays."""
-    found = ngram_join.jaccard_components(docs, width=5, percent=80)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return _rejoined(docs, gone, "left_anti").select(*docs.columns)
+    """Of each group of rows linked by a five-word shingle similarity of 0.8 or more, one of the least id stays; rows without an id come last."""
+    rows = _numbered(docs)
+    found = ngram_join.jaccard_components(rows, id_col="_row", width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    first = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(place).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _rejoined(docs, found.where("contaminated").select("doc_id").distinct(), "left_anti").select(*docs.columns)
+    """Rows that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
+    rows = _numbered(docs)
+    found = decontamination.find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
