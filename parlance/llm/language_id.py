@@ -18,14 +18,14 @@ from parlance.llm.common import bounded_sample, chunks
 
 #: Labelled rows drawn for each language, and characters of them that go into its automaton.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 40_000
-#: Letters told apart; rarer ones count as unknown.
+#: Letters that have a column in the dense table of transitions; those of all others are looked up in a sorted list.
 LETTERS = 62
 #: Stretches of a text that are parsed on their own.
 STRETCH = 1024
 
 
-def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``codes`` (1..width-1): states x width, -1 where there is none."""
+def transitions(codes: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of ``codes``."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes.tolist():
@@ -51,6 +51,12 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    return nxt
+
+
+def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
+    """Transitions of the suffix automaton of ``codes`` (1..width-1): states x width, -1 where there is none."""
+    nxt = transitions(codes)
     table = np.full((len(nxt), width), -1, dtype=np.int32)
     for state, out in enumerate(nxt):
         for c, to in out.items():
@@ -64,7 +70,11 @@ def letters_of(text: str) -> str:
 
 
 class LanguageModel:
-    """Automata of all languages in one transition table. State 0 is 'no transition'."""
+    """Automata of all languages in one transition table. State 0 is 'no transition'.
+
+    Every letter of the texts has a code. The most common ones have a column of the table; the transitions of all others
+    are in ``rare``, sorted by state and letter.
+    """
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
@@ -72,27 +82,49 @@ class LanguageModel:
         for t in texts.values():
             for c in t:
                 counts[c] = counts.get(c, 0) + 1
-        known = sorted((c for c in counts if c != " "), key=lambda c: (-counts[c], c))[:LETTERS]
+        known = sorted((c for c in counts if c != " "), key=lambda c: (-counts[c], c))
         self.codes = {c: i + 2 for i, c in enumerate(known)}  # 0: unknown letter, 1: space
-        self.width = len(known) + 2
-        tables, roots, base = [np.zeros((1, self.width), np.int32)], [], 1
+        self.letters, self.width = len(known) + 2, min(len(known), LETTERS) + 2
+        tables, roots, rare, base = [np.zeros((1, self.width), np.int32)], [], [], 1
         for name in self.names:
-            codes = np.array([1 if c == " " else self.codes.get(c, 0) for c in texts[name]], dtype=np.int64)
-            own = suffix_automaton(codes[codes > 0], self.width)
+            own = transitions(np.array([1 if c == " " else self.codes[c] for c in texts[name]], dtype=np.int64))
+            table = np.zeros((len(own), self.width), np.int32)
+            for state, out in enumerate(own):
+                for c, to in out.items():
+                    if c < self.width:
+                        table[state, c] = base + to
+                    else:
+                        rare.append(((base + state) * self.letters + c, base + to))
             roots.append(base)
-            tables.append(np.where(own >= 0, own + base, 0).astype(np.int32))
+            tables.append(table)
             base += len(own)
-        table = np.concatenate(tables)
+        rare.sort()
+        self.rare = np.array([k for k, _ in rare], dtype=np.int64)
+        self.rare_to = np.array([to for _, to in rare], dtype=np.int32)
+        self.table = np.concatenate(tables).ravel()
         self.roots = np.array(roots, dtype=np.int32)
         # After a failed step the phrase starts anew with this character, or at the root if no phrase begins with it.
-        again = np.where(table[self.roots] > 0, table[self.roots], self.roots[:, None]) if roots else np.zeros((0, self.width), np.int32)
-        self.again, self.table = np.ascontiguousarray(again.T), table.ravel()
+        every = np.arange(self.letters, dtype=np.int32)
+        first = self._step(np.repeat(self.roots[None, :], self.letters, axis=0), every)
+        self.again = np.where(first > 0, first, self.roots[None, :]).astype(np.int32)
+
+    def _step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states after the characters ``c``, one for each row of ``state``; 0 where there is no transition."""
+        if self.letters == self.width:
+            return self.table[state * self.width + c[:, None]]
+        step = self.table[state * self.width + np.where(c < self.width, c, 0)[:, None]]
+        rows = np.flatnonzero(c >= self.width)
+        if len(rows):
+            keys = state[rows].astype(np.int64) * self.letters + c[rows, None]
+            at = np.minimum(np.searchsorted(self.rare, keys), len(self.rare) - 1)
+            step[rows] = np.where(self.rare[at] == keys, self.rare_to[at], 0)
+        return step
 
     def classes(self, text: str) -> np.ndarray:
         """Character classes of a text: letters by their code, runs of other characters as one space."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         distinct, inverse = np.unique(points, return_inverse=True)
-        kind = np.fromiter((self.codes.get(c, 0) if (c := chr(p)).isalpha() else 1 for p in distinct), np.uint8, len(distinct))
+        kind = np.fromiter((self.codes.get(c, 0) if (c := chr(p)).isalpha() else 1 for p in distinct), np.min_scalar_type(self.letters), len(distinct))
         out = kind[inverse]
         return out[~((out == 1) & (np.concatenate([[1], out[:-1]]) == 1))] if len(out) else out
 
@@ -116,7 +148,7 @@ class LanguageModel:
             while length[alive - 1] <= t:
                 alive -= 1
             c = flat[at[:alive] + t].astype(np.int32)
-            step = self.table[state[:alive] * self.width + c[:, None]]
+            step = self._step(state[:alive], c)
             failed = step == 0
             count[:alive] += failed
             state[:alive] = np.where(failed, self.again[c], step)
@@ -142,7 +174,8 @@ class LanguageModel:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
     """Learn from about ``rows`` labelled rows of each language, up to ``chars`` letters; null labels or texts teach nothing.
 
-    The model's size is at most languages x 2 x ``chars`` x 64 numbers of four bytes.
+    The model's size is at most languages x 2 x ``chars`` x 64 numbers of four bytes, and languages x 3 x ``chars``
+    transitions of twelve bytes for letters without a column.
     """
     known = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = bounded_sample(known, rows, F.col("doc_id"), "lang")

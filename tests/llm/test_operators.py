@@ -174,6 +174,29 @@ def test_language_id(spark):
     assert [r["lang_pred"] for r in language_id.identify_languages(odd, model).collect()][:3] == ["und"] * 3
 
 
+def test_language_id_knows_every_letter_of_the_sample():
+    r = np.random.default_rng(11)
+    alphabets = {"ar": (0x627, 28), "el": (0x3B1, 17), "en": (0x61, 26), "ja": (0x3041, 80), "ru": (0x430, 32), "zh": (0x4E00, 600)}
+    words = {k: ["".join(chr(first + c) for c in r.integers(0, n, 4)) for _ in range(150)] for k, (first, n) in alphabets.items()}
+    said = lambda k, n: " ".join(words[k][i] for i in r.integers(0, 150, n))
+    texts = {k: said(k, 600 if k == "en" else 200) for k in alphabets}
+    model = language_id.LanguageModel(texts)
+    tests = [said(k, 12) for k in alphabets] + ["漢 \u9fa0", said("zh", 3) + " \u9fa0 " + said("en", 3)]
+
+    def phrases(text, known):
+        count, held = 1, ""
+        for c in text:
+            if held + c not in known:
+                count, held = count + 1, ""
+                c = c if c in known else ""
+            held += c
+        return count
+
+    assert model.phrases([model.classes(t) for t in tests]).tolist() == [[phrases(t, texts[k]) for k in model.names] for t in tests]
+    found = model.predict(tests[: len(alphabets)])
+    assert [x[0] for x in found] == list(alphabets) and all(x[1] > 0 for x in found)
+
+
 def test_suffix_automaton_knows_exactly_the_substrings():
     text = np.array([1, 2, 1, 2, 2, 1])
     table = language_id.suffix_automaton(text, 3)
