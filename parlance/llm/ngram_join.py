@@ -172,7 +172,7 @@ def _full_sets(width: int) -> Callable:
                 take = part["tasks"].map(len).to_numpy()
                 tasks = [t for ts in part["tasks"] for t in ts]
                 yield pd.DataFrame({
-                    "doc_id": np.repeat(part["doc_id"].to_numpy(), take), "shingles": [s for s, k in zip(sets, take, strict=True) for _ in range(k)],
+                    "doc_id": np.repeat(part["doc_id"].to_numpy(), take), "row_key": np.repeat(part["row_key"].to_numpy(), take), "shingles": [s for s, k in zip(sets, take, strict=True) for _ in range(k)],
                     "h": [t["h"] for t in tasks], "a": [t["a"] for t in tasks], "b": [t["b"] for t in tasks], "side": [t["side"] for t in tasks],
                 })
 
@@ -298,18 +298,19 @@ def _products(percent: int) -> Callable:
     """Walk a partition sorted by task; emit the links of each task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, ids, sets, sides = None, [], [], []
+        task, last, ids, sets, sides = None, None, [], [], []
 
         def done() -> list[tuple[str, str]]:
             return [(ids[i], ids[j]) for i, j in linked_pairs(sets, sides, percent)] if len(ids) > 1 else []
 
         for batch in batches:
             out = []
-            for h, a, b, side, doc_id, raw in zip(batch["h"], batch["a"], batch["b"], batch["side"], batch["doc_id"], batch["shingles"], strict=True):
+            for h, a, b, side, doc_id, row_key, raw in zip(*(batch[c] for c in ("h", "a", "b", "side", "doc_id", "row_key", "shingles")), strict=True):
                 if (h, a, b) != task:
                     out += done()
-                    task, ids, sets, sides = (h, a, b), [], [], []
-                if not ids or ids[-1] != doc_id:  # rows of a task come sorted by id; a repeated row counts once
+                    task, last, ids, sets, sides = (h, a, b), None, [], [], []
+                if (doc_id, row_key) != last:  # rows of a task come sorted by id and key; a repeated row counts once
+                    last = doc_id, row_key
                     ids.append(doc_id)
                     sets.append(np.frombuffer(raw, dtype=np.uint64))
                     sides.append(side)
@@ -392,10 +393,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tasks = tasks.repartition("h", "a", "b").sortWithinPartitions("h", "a", "b")
     tasks = stored(map_docs(tasks, _agreeing_rows(agreeing), "row_key long, h long, a int, b int, side int"), "agreeing-tasks")
     tasks = tasks.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("h", "a", "b", "side")).alias("tasks"))
-    sets = map_docs(with_decisions(rows, tasks, "inner").select("doc_id", "text", "tasks"), _full_sets(width), "shingles binary, h long, a int, b int, side int")
+    sets = map_docs(with_decisions(rows, tasks, "inner").select("doc_id", "row_key", "text", "tasks"), _full_sets(width), "row_key long, shingles binary, h long, a int, b int, side int")
     order = ["h", "a", "b"]
-    sets = sets.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(*order).sortWithinPartitions(*order, "doc_id")
+    sets = sets.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(*order).sortWithinPartitions(*order, "doc_id", "row_key")
     links = sets.mapInPandas(_products(percent), "u string, v string").select(F.col("u").cast(id_type).alias("u"), F.col("v").cast(id_type).alias("v"))
+    # An id whose rows differ links the classes of these rows.
+    several = known.groupBy("doc_id").agg(F.min("class").alias("one"), F.max("class").alias("two")).where(F.col("one") != F.col("two")).select("doc_id")
+    own = known.join(several, "doc_id", "left_semi").select("doc_id", "class").join(classes, "class")
+    links = links.unionByName(own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     nodes = connected_components(links)
     labels = classes.select("class", "rep").join(nodes, F.col("rep") == F.col("node"), "left")
     labels = stored(labels.select("class", F.coalesce("component", "rep").alias("component")), "components")

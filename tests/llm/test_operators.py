@@ -56,6 +56,30 @@ def test_ngram_join(docs, width, percent, block):
         assert r["component_id"] == want.get(r["doc_id"])
 
 
+@pytest.mark.parametrize("block", [768, 4])
+def test_ngram_join_of_ids_with_several_texts(spark, block):
+    r = np.random.default_rng(4)
+    rows = []
+    for k in range(0, 160, 10):  # the first two share an id, and each of them has a partner that is too far from the other
+        w = [f"w{x}" for x in r.integers(0, 10**6, 120)]
+        rows += [(k + 9, w), (k + 9, ["zz", *w[8:]]), (k + 5, ["zz", "zz", *w[16:]]), (k + 3, [*w[:-8], "yy"])]
+    one, two, three = ([f"w{x}" for x in r.integers(0, 10**6, 60)] for _ in range(3))
+    rows += [(301, one), (300, one), (301, two), (400, three)]  # the class of ``one`` stands for 300, that of ``two`` for 301
+    rows = [(i, " ".join(w)) for i, w in rows]
+    keys = list(range(len(rows)))
+    parent = fx.components([(k, x) for k, (_, x) in zip(keys, rows, strict=True)], 3, 90)
+    group = [parent[k] for k in keys]
+    for _ in rows:  # rows that share an id, too
+        for i, (a, _) in enumerate(rows):
+            for j, (b, _) in enumerate(rows):
+                if a == b and group[i] != group[j]:
+                    group = [min(group[i], group[j]) if g == max(group[i], group[j]) else g for g in group]
+    want = [(i, min(rows[j][0] for j in keys if group[j] == group[k])) for k, (i, _) in zip(keys, rows, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.jaccard_components(docs, width=3, percent=90, block_rows=block).select("doc_id", "component_id").collect()
+    assert many(found) == many(want)
+
+
 def test_dense_product_agrees_with_pairs():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 60, 50).astype(np.uint64)) for _ in range(40)]
