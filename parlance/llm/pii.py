@@ -9,41 +9,77 @@ and a logistic span classifier is trained on its posteriors. Its weights become
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import stored
 
-# Formats of the base kinds, in the order in which spans of one start are listed.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-CARD = r"[0-9]([\x20-]?[0-9])+"
+# Formats of the base kinds, in the order in which spans of one start are listed. Repetition is possessive
+# wherever nothing could follow that it would have to give back, so that matching takes no stack and linear time; for
+# the same reason a run of characters is tried from its start only.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
+CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "account", "secret")
-CANDIDATE = r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{2,6}(?:[ -][0-9]{2,6}){2,6}|[0-9]{9,34}|(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}"
-
-# Word lists of the labelers.
-PHONE_WORDS = "phone|tel|call|mobile|cell|fax|telefon|handy|móvil|teléfono|téléphone|portable"
-ACCOUNT_WORDS = "card|visa|account|iban|konto|karte|cuenta|tarjeta|compte|carte|ssn|passport|id"
-SECRET_WORDS = "password|passwd|token|secret|api|key|auth|bearer|credential"
-PHONE_STARTS, ACCOUNT_STARTS, SECRET_STARTS = r"^(\(|0|1[ .-])", r"^(4|5[1-5]|34|37|6011)", r"^(sk_|pk_|rk_|ghp_|github_pat_|xox|AKIA|ASIA|eyJ)"
+CANDIDATE = (
+    r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{2,6}(?:[ -][0-9]{2,6}){2,6}|[0-9]{9,34}"
+    r"|(?:(?<![A-Za-z0-9_-])|\G)(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+"
+)
+
+# Word lists of the labelers, in the languages of the corpus.
+PHONE_WORDS = "phone|tel|telephone|call|mobile|cell|fax|whatsapp|sms|telefon|handy|mobil|anruf|rufnummer|móvil|teléfono|celular|llame|llamar|téléphone|portable|appelez"
+ACCOUNT_WORDS = "card|visa|mastercard|amex|account|iban|bic|swift|konto|kontonummer|karte|cuenta|tarjeta|compte|carte|ssn|passport|reisepass|pasaporte|passeport|dni|nif|id"
+SECRET_WORDS = "password|passwd|pwd|passwort|contraseña|token|secret|api|apikey|key|auth|bearer|credential|credentials|signature"
+# Gazetteers of how numbers and keys of the kinds begin.
+PHONE_STARTS = r"^(\(|0|1[ .-])"
+ACCOUNT_STARTS = r"^(4|5[1-5]|34|35|36|37|6011|62|65)"
+SECRET_STARTS = r"^(sk_|sk-|pk_|rk_|ghp_|gho_|ghs_|github_pat_|glpat-|xox|AKIA|ASIA|AIza|ya29|eyJ|npm_|hf_|SG)"
 LABELERS = ("format", "list", "context", "edges")
+#: Matches that are folded at once; a text's blocks are then put behind each other, so long texts take linear time.
+BLOCK = 256
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once per row and use it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+def in_blocks(values: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` items; an empty array has no blocks."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(values, i, F.lit(BLOCK)))
 
 
 def find_spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, match), counted in code points."""
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    """Leftmost non-overlapping matches as (start, end, match, before, after), counted in code points.
+
+    ``before`` is what precedes a match as far as the match before it, 24 characters at most; ``after`` is the character
+    that follows.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        item = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"))
+        item = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["gap"], F.lit(24)).alias("before"), x["after"].alias("after"))
         return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(item))).alias("found"))
 
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    def placed(blocks: Column) -> Column:
+        ends = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        moved = lambda b, at: F.transform(b["found"], lambda f: f.withField("start", f["start"] + at).withField("end", f["end"] + at))
+        return _bind(ends, lambda e: F.flatten(F.transform(blocks, lambda b, i: moved(b, F.get(e, i)))))
+
+    def walked(gaps: Column, matches: Column) -> Column:
+        follow = F.transform(gaps, lambda g, i: F.substring(F.concat(F.coalesce(F.get(gaps, i + 1), F.lit("")), F.coalesce(F.get(matches, i + 1), F.lit(""))), 1, 1))
+        pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("match"), follow.alias("after"))
+        blocks = F.transform(in_blocks(pairs), lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), empty.alias("found")), step))
+        return _bind(blocks, placed)
+
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
+    return F.when(text.rlike(pattern), _bind(both, lambda x: walked(x["gaps"], x["matches"]))).otherwise(empty)
 
 
 def _digits(match: Column) -> Column:
@@ -85,19 +121,19 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
 
 
-def _judged(text: Column, span: Column) -> Column:
+def _judged(span: Column) -> Column:
     """Kind, votes and features of a candidate."""
     m, d = span["match"], _digits(span["match"])
     secret, local = m.rlike("[A-Za-z_]"), m.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$")
     phone = ~secret & (local | (m.rlike("[ .-]") & F.length(d).between(7, 11)))
-    before = F.lower(F.substr(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24))))
-    after = F.substr(text, span["end"] + 1, F.lit(1))
+    before, after = F.lower(span["before"]), span["after"]
     words = lambda w: before.rlike(rf"(?:^|[^\p{{L}}])(?:{w})[^\p{{L}}]*$")
     by_kind = lambda p, a, s: F.when(secret, s).when(phone, p).otherwise(a)
     own = by_kind(words(PHONE_WORDS), words(ACCOUNT_WORDS), words(SECRET_WORDS))
     other = words(f"{PHONE_WORDS}|{ACCOUNT_WORDS}|{SECRET_WORDS}")
-    mixed = m.rlike("[0-9].*[A-Za-z].*[0-9]|[A-Za-z].*[0-9].*[A-Za-z]")
-    loose = (before == "") | before.rlike(r"[\s(\"'=:]$")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[0-9]++", "0"), "[A-Za-z]++", "a"), "[^0a]", "")
+    mixed = kinds.rlike("0a+0|a0+a")
+    loose = (span["start"] == 0) | before.rlike(r"[\s(\"'=:]$")
     return F.struct(
         span["start"].alias("start"),
         span["end"].alias("end"),
@@ -117,8 +153,11 @@ def spans_and_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = F.col("text")
     found = F.concat(*(base_spans(text, k, p) for k, p in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE))))
     rows = rows.withColumn("base", F.array_sort(found))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    others = F.transform(F.filter(find_spans(text, CANDIDATE), apart), lambda s: _judged(text, s))
+    # Blocks of base spans with their extent, so that a candidate is compared with few of them.
+    blocks = F.transform(in_blocks(F.col("base")), lambda b: F.struct(F.array_min(F.transform(b, lambda s: s["start"])).alias("start"), F.array_max(F.transform(b, lambda s: s["end"])).alias("end"), b.alias("spans")))
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    apart = lambda s, held: ~F.exists(held, lambda b: meets(b, s) & F.exists(b["spans"], lambda x: meets(x, s)))
+    others = _bind(blocks, lambda held: F.transform(F.filter(find_spans(text, CANDIDATE), lambda s: apart(s, held)), _judged))
     hint = text.rlike("[0-9]")
     return rows.select("doc_id", "base", F.when(hint, others).alias("candidates"))
 
