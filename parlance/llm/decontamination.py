@@ -1,26 +1,25 @@
 """Benchmark decontamination by winnowing.
 
-Of every ``window`` consecutive words the minimum ``k``-gram hash is a fingerprint, so a shared span of ``window``
-words always shares one. Document fingerprints are looked up in those of the benchmark; each hit is extended to the
-windows it stands for, whose words are then compared one by one. Benchmark items come in blocks of bounded size;
-documents pass all blocks in one stage, without a shuffle.
+Of every ``window`` consecutive words the minimum ``K``-gram hash is a fingerprint, so a shared span of ``window`` words
+always shares one. The fingerprints of the benchmark are a table made in tasks. Document fingerprints are joined with
+it: while the table is small, as counted, by a lookup in each task; beyond that bound by an exchange of both sides.
+Fingerprints that meet are extended to the windows they stand for, and these are joined word by word with the windows of
+the items. Neither documents nor items pass the driver.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import U64, chunks, map_docs, prefix_hashes, span_hashes, texts_of, words_of
+from parlance.llm.common import U64, chunks, keyed, map_docs, mix, prefix_hashes, span_hashes, stored, texts_of, with_decisions, words_of
 
-#: Windows of a benchmark block that is sent to the executors; more items make more blocks.
-BLOCK_WINDOWS = 100_000
+#: Benchmark fingerprints that are sent to all executors, at 8 bytes each; more are joined by an exchange.
+MOST_PRINTS = 1 << 20
 K = 5
 
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -50,22 +49,43 @@ def _minima(grams: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def _block(items: list[tuple[str, list[bytes]]], window: int) -> dict:
-    """Lookup tables of some benchmark items: fingerprints, windows and, for short items, hashes by width."""
-    prints, short = set(), defaultdict(set)
-    owners: dict[bytes, set[str]] = defaultdict(set)
-    for item, words in items:
-        width = min(window, len(words))
-        for i in range(len(words) - width + 1):
-            owners[b" ".join(words[i : i + width])].add(item)
-        hashes = words_of([b" ".join(words)], _CLASS)[0]
-        prefix = prefix_hashes(hashes)
-        if width < window:
-            short[width].update(_grams(prefix, len(hashes), width).tolist())
-        else:
-            prints.update(_minima(_grams(prefix, len(hashes), K), window - K + 1).tolist())
-    sort = lambda s: np.array(sorted(s), dtype=U64)
-    return {"prints": sort(prints), "short": {w: sort(s) for w, s in short.items()}, "owners": dict(owners)}
+def prints_of(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The fingerprint of each window of ``width`` words: its minimum ``K``-gram hash; of shorter windows their hash."""
+    k = min(K, width)
+    low = _minima(_grams(prefix_hashes(hashes), len(hashes), k), width - k + 1)
+    return mix(low + U64(width))  # windows of different widths never meet
+
+
+def _windows(window: int) -> Callable:
+    """A row for each window of each item; an item of fewer words than ``window`` is one window."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item, text in zip(batch["item_id"], texts_of(batch), strict=True):
+                words = item_words(text)
+                if not words:
+                    continue
+                width = min(window, len(words))
+                prints = prints_of(words_of([b" ".join(words)], _CLASS)[0], width)
+                yield pd.DataFrame({"item_id": item, "width": width, "print": prints.view(np.int64), "words": [b" ".join(words[i : i + width]) for i in range(len(prints))]})
+
+    return run
+
+
+def _document_prints(widths: list[int]) -> Callable:
+    """The distinct fingerprints of each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for _, _, raws in chunks(texts_of(batch)):
+                hashes, bounds = words_of(raws, _CLASS)
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    own = [prints_of(hashes[a:b], w) for w in widths if b - a >= w]
+                    out.append(np.unique(np.concatenate(own)).view(np.int64) if own else np.zeros(0, np.int64))
+            yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "prints": out})
+
+    return run
 
 
 def _found(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -76,99 +96,82 @@ def _found(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _hits(raws: list[bytes], block: dict, window: int) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
-    """Of each text: the number of words, hit spans [first word, last) and the items found."""
-    hashes, bounds = words_of(raws, _CLASS)
-    n = len(hashes)
-    spans: list[list[tuple[int, int]]] = [[] for _ in raws]
-    items: list[set[str]] = [set() for _ in raws]
-    prefix = prefix_hashes(hashes)
-    found = []
-    if len(block["prints"]) and n >= window:
-        low = _minima(_grams(prefix, n, K), window - K + 1)
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        hit = _found(low[first], block["prints"])
-        ends = np.append(first[1:], len(low))
-        found += [(s, window) for a, b in zip(first[hit], ends[hit], strict=True) for s in range(a, b)]
-    for width, table in block["short"].items():
-        found += [(s, width) for s in np.flatnonzero(_found(_grams(prefix, n, width), table))]
-    words: dict[int, list[bytes]] = {}
-    for s, width in found:
-        d = int(np.searchsorted(bounds, s, side="right")) - 1
-        at = int(s - bounds[d])
-        if s + width > bounds[d + 1]:
-            continue
-        if d not in words:
-            words[d] = raws[d].translate(_TABLE).split()
-        owners = block["owners"].get(b" ".join(words[d][at : at + width]))
-        if owners:
-            spans[d].append((at, at + width))
-            items[d] |= owners
-    return np.diff(bounds), spans, items
-
-
-def _scan(block, window: int) -> Callable:
+def _extended(widths: list[int], lookup) -> Callable:
+    """The number of words of each text, and the windows whose fingerprint is wanted: first word, width, words.
+
+    The wanted fingerprints are those of ``lookup``, a broadcast sorted array, or else those in the row's ``wanted``.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n_words, spans, items = [], [], []
-            for first, last, raws in chunks(texts_of(batch)):
-                n, s, i = _hits(raws, block.value, window)
-                n_words += n.tolist()
-                spans += [[*old, *(x for pair in new for x in pair)] for old, new in zip(batch["spans"].iloc[first:last], s, strict=True)]
-                items += [sorted({*old, *new}) for old, new in zip(batch["items"].iloc[first:last], i, strict=True)]
-            yield batch.assign(n_words=n_words, spans=spans, items=items)
+            n_words, hits = [], []
+            wanted = None if lookup else batch["wanted"].tolist()
+            for first, _, raws in chunks(texts_of(batch)):
+                hashes, bounds = words_of(raws, _CLASS)
+                n_words += np.diff(bounds).tolist()
+                found: list[list[tuple[int, int]]] = [[] for _ in raws]
+                for width in widths:
+                    prints = prints_of(hashes, width)
+                    if lookup:
+                        at = np.flatnonzero(_found(prints, lookup.value))
+                    else:
+                        own = [np.flatnonzero(np.isin(prints[a:b].view(np.int64), w)) + a for a, b, w in zip(bounds[:-1], bounds[1:], wanted[first : first + len(raws)], strict=True) if w is not None and len(w)]
+                        at = np.concatenate(own) if own else np.zeros(0, np.int64)
+                    docs = np.searchsorted(bounds, at, side="right") - 1
+                    inside = at + width <= bounds[docs + 1]
+                    for d, i in zip(docs[inside].tolist(), at[inside].tolist(), strict=True):
+                        found[d].append((i - int(bounds[d]), width))
+                for raw, own in zip(raws, found, strict=True):
+                    words = raw.translate(_TABLE).split() if own else []
+                    hits.append([{"first": i, "width": w, "words": b" ".join(words[i : i + w])} for i, w in own])
+            yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "n_words": n_words, "hits": hits})
 
     return run
 
 
-def covered(spans: list[int]) -> int:
-    """Words covered by flat [first, last) pairs."""
-    total, end = 0, 0
-    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
-
-
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = batch[["doc_id", "n_words"]].assign(n_hit=[covered(list(x)) for x in batch["spans"]])
-        out["items"] = [list(x) for x in batch["items"]]
-        out["n_items"] = [len(x) for x in batch["items"]]
-        out["items_sha256"] = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in batch["items"]]
-        yield out
-
-
-def _blocks(benchmark: DataFrame, window: int, limit: int) -> Iterator[dict]:
-    items, size = [], 0
-    for row in benchmark.toLocalIterator():
-        words = item_words(row["text"])
-        if not words:
-            continue
-        items.append((row["item_id"], words))
-        size += max(1, len(words) - window + 1)
-        if size >= limit:
-            yield _block(items, window)
-            items, size = [], 0
-    if items:
-        yield _block(items, window)
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def covered(spans: Column) -> Column:
+    """Words covered by spans (first, width) in order of their first word."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+
+    def step(acc: Column, s: Column) -> Column:
+        end = s["first"] + s["width"]
+        return F.struct((acc["n"] + F.greatest(end - F.greatest(s["first"], acc["end"]), F.lit(0))).alias("n"), F.greatest(end, acc["end"]).alias("end"))
+
+    return F.aggregate(spans, start, step, lambda acc: acc["n"])
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, most_prints: int = MOST_PRINTS) -> DataFrame:
     """``doc_id, n_words, n_hit, items, n_items, items_sha256, contaminated`` for every document.
 
     A document word is hit if it lies in an occurrence of a benchmark window. Null and empty texts have no words and no
     hits. Items without words or without an id are left out; items of one id count once. Repeated rows each get their
-    row; extra columns are ignored; an empty table on either side gives no rows or no hits.
+    row; extra columns are ignored; an empty table on either side gives no rows or no hits. ``most_prints`` decides how
+    the fingerprints are joined, never what is found.
     """
     if window < K:
         raise ValueError(f"a window takes {K} words at least")
     spark = docs.sparkSession
-    state = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    rows = keyed(docs, id_col, text_col)
     tests = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where(F.col("item_id").isNotNull())
-    blocks = list(_blocks(tests, window, block_windows)) or [_block([], window)]
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-        state = map_docs(state, _scan(shared, window), "text string, n_words long, spans array<long>, items array<string>")
-    out = map_docs(state.drop("text"), _digest, "n_words long, n_hit long, items array<string>, n_items long, items_sha256 string")
+    windows = stored(tests.mapInPandas(_windows(window), "item_id string, width int, print long, words binary"), "item-windows")
+    prints = stored(windows.select("width", "print").distinct(), "item-prints")
+    counts = {r["width"]: r["count"] for r in prints.groupBy("width").count().collect()}  # ``window`` rows at most
+    widths = sorted(counts)
+    extended = "row_key long, n_words long, hits array<struct<first:long,width:int,words:binary>>"
+    if sum(counts.values()) <= most_prints:
+        few = np.sort(np.array([r["print"] for r in prints.select("print").collect()], dtype=np.int64).view(U64))
+        found = map_docs(rows, _extended(widths, spark.sparkContext.broadcast(few)), extended)
+    else:
+        each = map_docs(rows, _document_prints(widths), "row_key long, prints array<long>").select("row_key", "doc_id", F.explode("prints").alias("print"))
+        wanted = each.join(prints.select("print"), "print", "left_semi").groupBy("row_key", "doc_id").agg(F.collect_set("print").alias("wanted"))
+        found = map_docs(with_decisions(rows, wanted).select("row_key", "doc_id", "text", "wanted"), _extended(widths, None), extended)
+    found = stored(found, "extended-hits")
+    hits = found.where(F.size("hits") > 0).dropDuplicates(["row_key", "doc_id"]).select("row_key", "doc_id", F.explode("hits").alias("hit"))
+    hits = hits.select("row_key", "doc_id", F.col("hit.first").alias("first"), F.col("hit.width").alias("width"), F.col("hit.words").alias("words"))
+    met = hits.join(windows.select("words", "item_id").distinct(), "words")
+    per_row = met.groupBy("row_key", "doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "width"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    none = F.array().cast("array<string>")
+    out = with_decisions(found.select("row_key", "doc_id", "n_words"), per_row).withColumn("items", F.coalesce("items", none))
+    n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
+    out = out.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)

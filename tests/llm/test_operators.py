@@ -96,11 +96,11 @@ def test_dense_product_agrees_with_pairs():
     assert all((label[i] == label[j]) == (own[i] == own[j]) for i in range(40) for j in range(40))
 
 
-@pytest.mark.parametrize("block_windows", [100_000, 20])
-def test_decontamination(spark, docs, block_windows):
+@pytest.mark.parametrize("most_prints", [1 << 20, 3])
+def test_decontamination(spark, docs, most_prints):
     t = fx.texts()
     items = [(1, " ".join(t[8].split()[20:45])), (2, "One TWO"), (3, None), (None, "one"), (4, t[30]), (5, "nowhere to be found at all in any of these short texts")]
-    found = decontamination.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_windows=block_windows)
+    found = decontamination.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), most_prints=most_prints)
     words = lambda x: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (x or "").translate(fx.LOWER))
     windows = collections.defaultdict(set)
     for i, x in items:
