@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parlance.functions.text import prefix_lines
+from parlance.functions.text import prefix_lines, trim_all
 from parlance.schema import BLOCK
 
 _FIELDS = ("type", "text", "language", "markdown", "url", "alt", "src", "filename", "data_url", "mime_type")
@@ -41,6 +41,13 @@ def plain_form(b: Column) -> Column:
     return F.when(b["type"] == "table", b["markdown"]).when(b["type"] == "image", image).otherwise(b["text"])
 
 
+def plain_text(content: Column) -> Column:
+    """All blocks as plain text, blank lines between them; images by what of alt, file name and source they have."""
+    some = lambda c: F.when(c != "", c)
+    shown = lambda b: F.when(b["type"] == "table", b["markdown"]).when(b["type"] == "image", F.concat_ws(" ", some(b["alt"]), some(b["filename"]), some(b["src"]))).otherwise(b["text"])
+    return trim_all(F.array_join(F.transform(content, shown), "\n\n"))
+
+
 def merge_adjacent_text(content: Column) -> Column:
     """Runs of text blocks become one, joined by blank lines; blocks without text go."""
 

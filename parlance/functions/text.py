@@ -73,6 +73,41 @@ def json_string(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(c)), "(?s)^\\[(.*)\\]\\z", 1)
 
 
+def json_object(fields: dict[str, Column], level: int = 0) -> Column:
+    """A JSON object with two spaces of indent a level, from values that are JSON already; null values are left out."""
+    pad = "  " * (level + 1)
+    lines = F.array_compact(F.array(*(F.concat(F.lit(f'{pad}"{k}": '), v) for k, v in fields.items())))
+    return F.when(F.size(lines) == 0, F.lit("{}")).otherwise(F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n" + "  " * level + "}")))
+
+
+def json_array(values: Column, level: int = 0) -> Column:
+    """A JSON array with a line for each value, which is JSON already."""
+    pad = "  " * (level + 1)
+    lines = F.array_join(F.transform(values, lambda v: F.concat(F.lit(pad), v)), ",\n")
+    return F.when(F.size(values) == 0, F.lit("[]")).when(values.isNotNull(), F.concat(F.lit("[\n"), lines, F.lit("\n" + "  " * level + "]")))
+
+
+def safe_url(c: Column) -> Column:
+    """Whether a link may be shown: http(s), mail, an anchor or a path."""
+    return F.coalesce(c.rlike("(?i)^(https?:|mailto:|#|/)"), F.lit(False))
+
+
+def hostname(c: Column) -> Column:
+    """Host of a URL, else the text itself."""
+    return F.coalesce(F.lower(F.try_parse_url(c, F.lit("HOST"))), c)
+
+
+def mime_of_data_url(c: Column) -> Column:
+    """MIME type of a base64 data URL, else null."""
+    found = F.regexp_extract(c, "^data:([^;]+);base64,", 1)
+    return F.when(found != "", found)
+
+
+def crc32(c: Column) -> Column:
+    """IEEE CRC-32 of the UTF-8 bytes of a text or of a binary value."""
+    return F.crc32(c.cast("binary"))
+
+
 def data_url_bytes(c: Column) -> Column:
     return F.unbase64(F.coalesce(F.get(F.split(c, ","), F.lit(1)), F.lit("")))
 

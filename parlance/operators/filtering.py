@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.blocks import editor_form, text_block
+from parlance.functions.blocks import editor_form, plain_form, text_block
 from parlance.functions.redaction import redact_block
+from parlance.functions.text import anonymous_url, looks_like_full_message
 from parlance.schema import ExportOptions
 
 
@@ -32,6 +35,35 @@ def apply_export_options(messages: DataFrame, options: ExportOptions = ExportOpt
     return out
 
 
+def apply_header_options(conversations: DataFrame, options: ExportOptions = ExportOptions()) -> DataFrame:
+    """What the options change in the header: the URL without its private parts, no model without metadata."""
+    out = conversations
+    if options.anonymize_url:
+        out = out.withColumn("url", anonymous_url(F.col("url")))
+    if not options.metadata:
+        out = out.withColumn("model", F.lit(None).cast("string"))
+    return out
+
+
+def preview(messages: DataFrame, selection: DataFrame, options: ExportOptions = ExportOptions()) -> DataFrame:
+    """The selected messages as an export with these options would show them, without touching metadata."""
+    return apply_export_options(select_messages(messages, selection), replace(options, metadata=True))
+
+
+def apply_provider_copy(messages: DataFrame, copies: DataFrame, options: ExportOptions = ExportOptions()) -> DataFrame:
+    """Assistant messages get the provider's own copy (``conv_id, msg_id, copied_text``) where it plausibly is the whole message."""
+    if not options.use_provider_copy:
+        return messages
+    copied = copies.groupBy("conv_id", F.col("msg_id").alias("id")).agg(F.max("copied_text").alias("_copy"))
+    joined = messages.join(copied, ["conv_id", "id"], "left")
+    visible = F.array_join(F.transform("content", plain_form), "\n\n")
+    fits = (F.col("role") == "assistant") & (F.coalesce("_copy", F.lit("")) != "") & F.coalesce(looks_like_full_message(F.col("_copy"), visible), F.lit(False))
+    out = joined.withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    out = out.withColumn("content", F.when(F.col("_fits"), F.array(text_block(F.col("_copy")))).otherwise(F.col("content")))
+    marked = F.coalesce(F.col("metadata"), F.from_json(F.lit("{}"), messages.schema["metadata"].dataType)).withField("extractionMethod", F.lit("provider-copy"))
+    return out.withColumn("metadata", F.when(F.col("_fits"), marked).otherwise(F.col("metadata"))).select(*messages.columns)
+
+
 def select_messages(messages: DataFrame, selection: DataFrame) -> DataFrame:
     """Messages whose (conv_id, msg_id) is selected."""
     chosen = selection.select("conv_id", F.col("msg_id").alias("id"))

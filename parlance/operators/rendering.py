@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.blocks import editor_form, export_form
-from parlance.functions.text import compact_whitespace, escape_html, json_string, prefix_lines, slugify
-from parlance.operators.filtering import interim_flag
-from parlance.schema import SCHEMA_VERSION
+from parlance.functions.text import compact_whitespace, escape_html, json_array, json_object, json_string, prefix_lines, slugify
+from parlance.operators.filtering import apply_export_options, apply_header_options, interim_flag
+from parlance.schema import SCHEMA_VERSION, ExportOptions
 
 LABEL_LENGTH, LABELS_SHOWN = 80, 4
 
@@ -67,13 +67,55 @@ def export_markdown(messages: DataFrame, conversations: DataFrame, version: str)
     return joined.select("conv_id", F.concat(slugify(F.col("title")), F.lit(".md")).alias("filename"), F.concat(F.regexp_replace(content, "\\s+\\z", ""), F.lit("\n")).alias("content"))
 
 
+def _quoted(c: Column) -> Column:
+    return F.when(c.isNotNull(), json_string(c))
+
+
 def export_json(messages: DataFrame, conversations: DataFrame, version: str) -> DataFrame:
-    """``conv_id, filename, content`` with compact JSON; absent keys are left out."""
-    content = F.array_join(F.transform("content", editor_form), "\n\n")
-    item = F.struct("msg_idx", F.struct("role", content.alias("content"), "kind", "metadata").alias("m"))
-    whole = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    """``conv_id, filename, content``: JSON with two spaces of indent; absent keys are left out, and metadata without any key."""
+    meta = F.col("metadata")
+    names = [f.name for f in messages.schema["metadata"].dataType.fields]
+    known = {n: F.col(f"metadata.{n}").cast("string") if n == "index" else _quoted(F.col(f"metadata.{n}")) for n in names}
+    some = F.coalesce(*(meta[n].cast("string") for n in names)).isNotNull()
+    message = json_object({
+        "role": _quoted(F.col("role")), "content": _quoted(F.array_join(F.transform("content", editor_form), "\n\n")),
+        "kind": F.when(F.col("kind") != "", json_string(F.col("kind"))), "metadata": F.when(some, json_object(known, 3)),
+    }, 2)
+    whole = messages.select("conv_id", F.struct("msg_idx", message.alias("m")).alias("item")).groupBy("conv_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     joined = conversations.join(whole, "conv_id", "left")
     listed = F.transform(F.coalesce("items", F.array()), lambda x: x["m"])
-    capture = F.when(F.col("status").isNotNull(), F.struct("status", "reasons"))
-    body = F.struct("title", "provider", "model", "url", "captured_at", F.lit(version).alias("extension_version"), capture.alias("capture"), F.size(listed).alias("message_count"), listed.alias("messages"))
-    return joined.select("conv_id", F.concat(slugify(F.col("title")), F.lit(".json")).alias("filename"), F.to_json(body).alias("content"))
+    reasons = json_array(F.transform("reasons", json_string), 2)
+    body = json_object({
+        **{k: _quoted(F.col(k)) for k in ("title", "provider", "model", "url", "captured_at")}, "extension_version": json_string(F.lit(version)),
+        "capture": F.when(F.col("status").isNotNull(), json_object({"status": _quoted(F.col("status")), "reasons": reasons}, 1)),
+        "message_count": F.size(listed).cast("string"), "messages": json_array(listed, 1),
+    })
+    return joined.select("conv_id", F.concat(slugify(F.col("title")), F.lit(".json")).alias("filename"), body.alias("content"))
+
+
+def meta_line(count: Column, total: Column, all_documents: Column, conversation: dict[str, Column]) -> Column:
+    """``n of m messages``, provider, model, time and URL, joined by middle dots; documents have sections."""
+    unit = F.when((total > 0) & all_documents, "sections").otherwise("messages")
+    number = F.when(count == total, total.cast("string")).otherwise(F.concat(count.cast("string"), F.lit(" of "), total.cast("string")))
+    some = lambda k: F.when(conversation[k] != "", conversation[k])
+    return F.concat_ws(" · ", F.concat_ws(" ", number, unit), some("provider"), some("model"), F.concat(F.lit("captured "), some("captured_at")), some("url"))
+
+
+FORMATS = {"md": export_markdown, "json": export_json}
+
+
+def export(messages: DataFrame, conversations: DataFrame, kind: str = "md", options: ExportOptions = ExportOptions(), version: str = "1.0.0") -> DataFrame:
+    """``conv_id, filename, content`` of messages and headers with the options applied; ``kind`` is ``md`` or ``json``."""
+    if kind not in FORMATS:
+        raise ValueError(f"formats are {', '.join(FORMATS)}")
+    return FORMATS[kind](apply_export_options(messages, options), apply_header_options(conversations, options), version)
+
+
+def quick_markdown(messages: DataFrame, conversations: DataFrame, version: str = "1.0.0") -> DataFrame:
+    """Markdown with the default options."""
+    return export(messages, conversations, "md", ExportOptions(), version)
+
+
+def save_exports(exports: DataFrame, path: str) -> None:
+    """Write exports as Parquet, dealt by conversation; a file of the table holds many conversations."""
+    exports.write.mode("errorifexists").parquet(path)

