@@ -213,7 +213,8 @@ def language_column(spark: SparkSession, model: LanguageModel) -> Callable[[Colu
         found = [x for first, last, _ in chunks(plain, 4 << 20) for x in shared.value.predict(plain[first:last])]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return predict
+    # Else a filter on the prediction makes the optimiser predict once for the filter and once for the result.
+    return predict.asNondeterministic()
 
 
 def fold(doc_id: Column, of: int) -> Column:
