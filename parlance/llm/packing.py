@@ -3,7 +3,7 @@
 Documents are tokenised where they lie; only piece records (a few numbers each) move. A piece is a full sequence or
 what is left of a document after its full sequences. The histogram of piece lengths, at most ``max_length`` numbers,
 is packed on the driver into patterns with counts. Each pattern slot takes a range of ranks among the pieces of its
-length, so pieces find their sequence by their rank, which comes from one range partitioning by length and key.
+length, so pieces find their sequence by their rank, which comes from one range partitioning by length and number.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import map_docs, stored, texts_of
 
-#: Words of each of the two generations of a worker's memo of tokenised words.
-MEMO_WORDS = 250_000
+#: Words of each of the two generations of a worker's memo of tokenised words, and characters of a word in it at most.
+MEMO_WORDS, MEMO_CHARS = 100_000, 40
+#: Words of a text that are tokenised at once, so that the memo stays near its bound whatever a text's length.
+STRETCH_WORDS = 50_000
 
 
 def _bytes_of(ids: list[int]) -> bytes:
@@ -62,13 +64,22 @@ class WordTokenizer:
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         words = text.replace("\n", " ").split(" ")
+        out, at = [], 0
+        while at < len(words):
+            out.append(self._joined(words[at : at + STRETCH_WORDS]))
+            at += STRETCH_WORDS
+        return b"".join(out)
+
+    def _joined(self, words: list[str]) -> bytes:
         if len(self.memo) > self.bound:
             self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
+        memo, older, long = self.memo, self.older, {}
         for w in set(words).difference(memo):
             known = older.get(w)
-            memo[w] = self._word(w) if known is None else known
-        return b"".join([memo[w] for w in words])
+            (memo if len(w) <= MEMO_CHARS else long)[w] = self._word(w) if known is None else known
+        if not long:
+            return b"".join([memo[w] for w in words])
+        return b"".join([memo[w] if w in memo else long[w] for w in words])
 
 
 @functools.lru_cache(maxsize=1)
@@ -118,11 +129,11 @@ def _pieces(path: str, max_length: int, end_id: int, separator: bytes = b"") ->
         step = max_length * 4
         for batch in batches:
             rows = []
-            for doc_id, key, text in zip(batch["doc_id"], batch["row_key"], texts_of(batch), strict=True):
+            for doc_id, text in zip(batch["doc_id"], texts_of(batch), strict=True):
                 raw = tok.ids(text or "") + end
                 total = len(raw) // 4
-                rows += [(doc_id, key, at // 4, min(step, len(raw) - at) // 4, zlib.crc32(raw[at : at + step]), total) for at in range(0, len(raw), step)]
-            yield pd.DataFrame(rows, columns=["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens"])
+                rows += [(doc_id, at // 4, min(step, len(raw) - at) // 4, zlib.crc32(raw[at : at + step]), total) for at in range(0, len(raw), step)]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
@@ -152,25 +163,22 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     no rows give no rows. ``tokenizer_path`` has to be readable on the executors.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id").alias("row_key"), "text")
-    base = "row_key long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = stored(map_docs(rows, _pieces(tokenizer_path, max_length, end_id), base), "pieces")
+    base = "start long, length long, ids_crc32 long, doc_tokens long"
+    # A number of its own for each piece, stored, spreads pieces of one length however many share an id.
+    pieces = stored(map_docs(rows, _pieces(tokenizer_path, max_length, end_id), base).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # max_length rows at most
     slots = slots_of(spfhp(histogram, max_length))
-    order = ["length", "row_key", "start"]
-    ranged = map_docs(pieces.repartitionByRange(*order).sortWithinPartitions(*order), _numbered, base + ", local long")
+    order = ["length", "piece"]
+    ranged = map_docs(pieces.repartitionByRange(*order).sortWithinPartitions(*order), _numbered, f"{base}, piece long, local long")
     ranged = stored(ranged.withColumn("part", F.spark_partition_id()), "ranked-pieces")
-    begins: dict[tuple[int, int], int] = {}
-    seen: dict[int, int] = defaultdict(int)
-    for r in ranged.groupBy("length", "part").count().orderBy("length", "part").collect():  # lengths + partitions rows at most
-        begins[r["part"], r["length"]] = seen[r["length"]]
-        seen[r["length"]] += r["count"]
+    counts = ranged.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = stored(counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")), "rank-begins")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lengths = batch["length"].to_numpy()
+            lengths, rank = batch["length"].to_numpy(), (batch["begin"] + batch["local"]).to_numpy()
             sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-            rank = batch["local"].to_numpy() + np.fromiter((begins[k] for k in zip(batch["part"], lengths, strict=True)), np.int64, len(lengths))
             for length in np.unique(lengths):
                 own, table = lengths == length, slots[int(length)]
                 slot = table[np.searchsorted(table[:, 0], rank[own], side="right") - 1]
@@ -178,4 +186,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 offset[own] = slot[:, 2]
             yield batch[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].assign(sequence_id=sequence, offset=offset)
 
-    return map_docs(ranged, place, "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    ranked = ranged.join(begins, ["length", "part"]).drop("piece", "part")
+    return map_docs(ranked, place, "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
