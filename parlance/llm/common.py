@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,13 +24,19 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _own_folder:
-            _own_folder.append("file://" + tempfile.mkdtemp(prefix="parlance-"))
-        folder = _own_folder[0]
-    return folder
+    """The folder all executors share: ``spark.checkpoint.dir``, else the checkpoint folder set on the context.
+
+    Without either, a local session (as in tests) gets a temporary folder, and a cluster an error: what its executors
+    wrote to folders of their own would be lost.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="parlance-"))
+    return _own_folder[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -41,12 +48,17 @@ _held: list[str] | None = None
 _done: list[str] = []
 
 
+def hold(path: str) -> None:
+    """Note that a path of the shared folder goes when the pipeline stage that is being built is over."""
+    if _held is not None:
+        _held.append(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again; this cuts its lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _held is not None:
-        _held.append(path)
+    hold(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,9 +81,12 @@ def stage_tables(spark: SparkSession) -> Iterator[None]:
         _held = None
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text, row_key``: equal rows share a key, which is never null even if the id is."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text, row_key``: equal rows share a key, which is never null even if the id is.
+
+    Columns of ``carry`` come along as ``_0, _1, ...``.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
     return rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
@@ -82,6 +97,34 @@ def with_decisions(rows: DataFrame, decisions: DataFrame, how: str = "left") ->
     return joined.drop("_k", "_i")
 
 
+#: Bits of a filter of keys that is sent to all executors: 8 for each key, within these bounds (64 MB at most).
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 29
+
+
+def split_by(rows: DataFrame, keys: DataFrame, key: str = "row_key") -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may stand in ``keys``, and those for which it surely doesn't.
+
+    A filter of one hash bit for each key is built as bitmaps in tasks. It is bounded by ``MOST_BITS``, so it can be sent
+    to all executors whatever the number of keys; a row that it lets pass in vain costs bytes in the join that follows,
+    never a result. So wide rows need an exchange only where they have something to be joined with.
+    """
+    n = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * n).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(key), F.lit("filter")), F.lit(bits))
+    maps = keys.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_at"))
+    maps = maps.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    joined = rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_at": F.bitmap_bit_position(place)}).join(F.broadcast(maps), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("_at") % 8)), F.lit(2)) == 1, F.lit(False))
+    return joined.where(held).select(*rows.columns), joined.where(~held).select(*rows.columns)
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` isn't in ``keys``; only rows that may be in it are exchanged. Null keys stay."""
+    maybe, surely_not = split_by(rows, keys, key)
+    return surely_not.unionByName(maybe.join(keys.select(key), key, "left_anti"))
+
+
 def bounded_sample(df: DataFrame, bound: int, key: Column, strata: str | None = None) -> DataFrame:
     """About ``bound`` rows (of each stratum, if one is named), the same ones on every run.
 

@@ -1,80 +1,125 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Every batch of documents becomes one sorted run of (line key, number of documents). Runs live in levels; when a level
-holds ``fanout`` runs they are merged into one run of the next level. A new batch can be anti-joined with the runs
-(``seen_before``), and after the last batch the runs tell which keys are common (``common_keys``).
+Documents arrive in batches. A batch's distinct line keys, with the number of its documents that hold each, are
+merge-anti-joined with the runs: keys that the runs know as common are dropped, keys that they hold with fewer documents
+carry the count on, unseen keys start anew. What is left becomes a sorted run of its own. Runs live in levels; when a
+level holds ``fanout`` runs they are compacted into one run of the next level.
+
+All runs, and the batches' counts, are dealt by one hash of the key into the same buckets when they are written, so
+neither anti-joins nor compactions move a row: only the first aggregation by key has an exchange, after partial sums.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import BLANKS, UPPER, keyed, map_docs, new_path, stored, texts_of, with_decisions
+from parlance.llm.common import BLANKS, UPPER, hold, keyed, map_docs, new_path, split_by, stored, texts_of, with_decisions
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _BLANK_BYTES = BLANKS.encode()
-RUN_SCHEMA = "key binary, n long"
+#: Documents of a batch, and batches of a table; a larger table has larger batches.
+BATCH_DOCS, LEAST_BATCHES, MOST_BATCHES = 50_000_000, 4, 64
 
 
 class LineRuns:
-    """Levelled runs in the shared folder. Each run is a folder of files sorted by key, no key twice."""
+    """Levelled runs in the shared folder: tables of (key, n) with ``buckets`` buckets, each sorted by key.
+
+    ``n`` counts documents from the first batch on, so of several entries of a key the latest holds. A key that has
+    reached ``min_docs`` is common and gets no further entry.
+    """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, buckets: int, min_docs: int, fanout: int = 4):
+        self.spark, self.buckets, self.min_docs, self.fanout = spark, buckets, min_docs, fanout
         self.levels: list[list[str]] = []
+        self._tables: list[str] = []
+
+    def bucketed(self, df: DataFrame, name: str) -> str:
+        """Write ``df`` into buckets by key, sorted; returns the table's name."""
+        table, path = f"{name.replace('-', '_')}_{uuid.uuid4().hex}", new_path(self.spark, name)
+        df.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).format("parquet").saveAsTable(table)
+        hold(path)
+        self._tables.append(table)
+        return table
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(t) for level in self.levels for t in level]
 
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = new_path(self.spark, f"lines-run{level}")
-        counts.sortWithinPartitions("key").write.parquet(path)
+    def _store(self, entries: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(self.bucketed(entries, f"lines-run{level}"))
         if len(self.levels[level]) >= self.fanout:
-            merged = self._merged(self.levels[level])
+            runs = [self.spark.table(t) for t in reversed(self.levels[level])]
             self.levels[level] = []
-            self._write(merged, level + 1)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        runs = self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
-        return runs.groupBy("key").agg(F.sum("n").alias("n"))
-
-    def add(self, keys: DataFrame) -> None:
-        """Add a batch: one row per document and distinct key."""
-        self._write(keys.groupBy("key").agg(F.count("*").alias("n")), 0)
-
-    def all(self) -> DataFrame:
-        paths = [p for level in self.levels for p in level]
-        return self._merged(paths) if paths else self.spark.createDataFrame([], RUN_SCHEMA)
-
-    def common_keys(self, min_docs: int) -> DataFrame:
-        return self.all().where(F.col("n") >= min_docs).select("key")
-
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """Merge-anti-join of a batch's lines with what the runs hold so far."""
-        return lines.join(self.all().select("key"), "key", "left_anti")
-
-
-def line_key(line: bytes) -> bytes:
-    """Key of a line: blanks stripped at both ends, A-Z lowered; empty for blank lines, else a 128-bit hash."""
+            # The latest entry of a key holds. Anti-joins, not an aggregate over the union, find it: Spark 4.1.2 takes a
+            # union of bucketed column-wise scans for dealt by key, which it isn't, and would leave keys in two groups.
+            merged = runs[0]
+            for i, run in enumerate(runs[1:], 1):
+                for later in runs[:i]:
+                    run = run.join(later.select("key"), "key", "left_anti")
+                merged = merged.unionByName(run)
+            self._store(merged, level + 1)
+
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """Merge-anti-join: the rows whose key no run holds yet."""
+        for run in self.runs():
+            keys = keys.join(run.select("key"), "key", "left_anti")
+        return keys
+
+    def not_common(self, batch: DataFrame) -> DataFrame:
+        """Merge-anti-join of (key, n) with the common keys of the runs; ``n`` of the others counts on from the runs."""
+        known: list[Column] = []
+        for i, run in enumerate(self.runs()):
+            batch = batch.join(run.select("key", F.col("n").alias(f"n{i}")), "key", "left")
+            known.append(F.coalesce(f"n{i}", F.lit(0)))
+        before = F.lit(0) if not known else known[0] if len(known) == 1 else F.greatest(*known)
+        return batch.where(before < self.min_docs).select("key", (F.col("n") + before).cast("long").alias("n"))
+
+    def add(self, batch: DataFrame) -> None:
+        """Add a batch: (key, n), no key twice."""
+        self._store(self.not_common(batch), 0)
+
+    def common_keys(self) -> DataFrame:
+        """The keys of ``min_docs`` documents or more; each stands in one run only, as it got no entry after that."""
+        none = self.spark.createDataFrame([], "key binary")
+        out = None
+        for run in self.runs():
+            own = run.where(F.col("n") >= self.min_docs).select("key")
+            out = own if out is None else out.unionByName(own)
+        return none if out is None else out
+
+    def forget(self) -> None:
+        """Drop the tables' names; their files stay with the other tables of the shared folder."""
+        for t in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self._tables, self.levels = [], []
+
+
+def line_key(line: bytes, min_chars: int = 1) -> bytes:
+    """Key of a line: blanks stripped at both ends, A-Z lowered; empty if shorter than ``min_chars``, else a 128-bit hash."""
     bare = line.strip(_BLANK_BYTES).translate(_LOWER)
-    return xxhash.xxh3_128_digest(bare) if bare else b""
+    if len(bare) < min_chars or (min_chars > 1 and len(bare.decode()) < min_chars):
+        return b""
+    return xxhash.xxh3_128_digest(bare)
 
 
-def _keys_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        keys = [[line_key(x) for x in (t or "").encode().split(b"\n")] for t in texts_of(batch)]
-        yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "keys": keys})
+def line_keys(rows: DataFrame, min_chars: int = 1) -> DataFrame:
+    """One row per document with the keys of all its lines, in order."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [[line_key(x, min_chars) for x in (t or "").encode().split(b"\n")] for t in texts_of(batch)]
+            yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "keys": keys})
 
-def line_keys(rows: DataFrame) -> DataFrame:
-    """One row per document with the keys of all its lines, in order."""
-    return map_docs(rows, _keys_of_batches, "row_key long, keys array<binary>")
+    return map_docs(rows, run, "row_key long, keys array<binary>")
 
 
 def _kept_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,30 +131,46 @@ def _kept_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text or "")
             n_lines.append(len(lines))
             n_dropped.append(len(drop))
-        out = pd.DataFrame({"doc_id": batch["doc_id"], "text": kept, "n_lines": n_lines, "n_dropped": n_dropped})
+        out = batch.drop(columns=["gone"]).assign(text=kept, n_lines=n_lines, n_dropped=n_dropped)
         out["sha"] = [hashlib.sha256(x.encode()).hexdigest() for x in kept]
         yield out
 
 
-def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
+def common_lines(keys: DataFrame, min_docs: int, batches: int, fanout: int = 4) -> DataFrame:
+    """The keys of at least ``min_docs`` rows of (row_key, keys), by way of the runs."""
+    spark = keys.sparkSession
+    runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), min_docs, fanout)
+    each = keys.select(F.pmod("row_key", F.lit(batches)).alias("batch"), F.explode(F.array_distinct("keys")).alias("key")).where(F.length("key") > 0)
+    # One row for each key, with its documents in every batch: dealt into buckets once, read by columns.
+    counts = each.groupBy("key").agg(*(F.count_if(F.col("batch") == b).alias(f"n{b}") for b in range(batches)))
+    counts = spark.table(runs.bucketed(counts, "line-counts"))
+    for b in range(batches):
+        runs.add(counts.where(F.col(f"n{b}") > 0).select("key", F.col(f"n{b}").alias("n")))
+    # Stored, so that both sides of the later join are plain exchanges and a very common line can be split.
+    out = stored(runs.common_keys(), "common-lines")
+    runs.forget()
+    return out
+
+
+def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop every line whose key stands in at least ``min_docs`` documents: ``doc_id, text, n_lines, n_dropped, sha``.
 
-    Keys of blank lines never count (``min_chars`` is 1 at least). The text of a null or empty document is one empty
-    line, kept. A repeated row counts as a document of its own. Extra columns are ignored; no rows give no rows. The
-    documents arrive in ``batches`` parts, each a run of its own; the runs are compacted as they come.
+    Keys of fewer than ``min_chars`` code points (1 at least) never count. The text of a null or empty document is one
+    empty line, kept. A repeated row counts as a document of its own. Extra columns are ignored; no rows give no rows.
+    The documents come in ``batches`` parts, by default as many as their number asks for; neither their number nor the
+    order of batches changes the result. Columns named in ``carry`` come along as ``_0, _1, ...``.
     """
-    if min_chars != 1:
-        raise ValueError("keys of at least one code point count; other minima are not supported")
-    spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col)
-    keys = stored(line_keys(rows).withColumn("batch", F.pmod("row_key", F.lit(batches)).cast("int")), "line-keys")
-    runs = LineRuns(spark)
-    for b in range(batches):
-        distinct = keys.where(F.col("batch") == b).select(F.explode(F.array_distinct("keys")).alias("key"))
-        runs.add(distinct.where(F.length("key") > 0))
-    # Stored, so that both sides of the join below are plain exchanges and a very common line can be split.
-    common = stored(runs.common_keys(min_docs), "common-lines")
+    if min_chars < 1 or min_docs < 1:
+        raise ValueError("min_chars and min_docs are 1 at least")
+    rows = keyed(docs, id_col, text_col, carry)
+    keys = stored(line_keys(rows.select("doc_id", "text", "row_key"), min_chars), "line-keys")
+    if batches is None:
+        batches = min(MOST_BATCHES, max(LEAST_BATCHES, math.ceil(keys.count() / BATCH_DOCS)))
+    common = common_lines(keys, min_docs, batches)
     lines = keys.select("row_key", "doc_id", F.posexplode("keys").alias("line", "key")).where(F.length("key") > 0)
-    gone = lines.join(common, "key", "left_semi").groupBy("row_key", "doc_id").agg(F.collect_set("line").alias("gone"))
-    joined = with_decisions(rows, gone)
-    return map_docs(joined.select("doc_id", "text", "gone"), _kept_of_batches, "text string, n_lines long, n_dropped long, sha string")
+    gone = stored(lines.join(common, "key", "left_semi").groupBy("row_key", "doc_id").agg(F.collect_set("line").alias("gone")), "common-places")
+    # Only texts that may have a common line move; the others are judged where they lie.
+    maybe, whole = split_by(rows, gone)
+    joined = with_decisions(maybe, gone).unionByName(whole.withColumn("gone", F.lit(None).cast("array<int>"))).drop("row_key")
+    kinds = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    return map_docs(joined, _kept_of_batches, f"text string, n_lines long, n_dropped long, sha string{kinds}")

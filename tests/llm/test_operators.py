@@ -29,8 +29,9 @@ def many(rows):
     return collections.Counter(tuple(map(str, r)) for r in rows)
 
 
-def test_suffix_dedup(docs):
-    found = suffix_dedup.remove_repeats(docs, length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_dedup(docs, hot):
+    found = suffix_dedup.remove_repeats(docs, length=200, hot_anchors=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     want = [(i, *x) for (i, _), x in zip(pairs(), fx.repeats([t for _, t in pairs()], 200), strict=True)]
     assert many(found) == many(want)
 
@@ -135,14 +136,35 @@ def test_line_dedup(spark, docs):
     assert sum(x[2] for x in want) >= 20
 
 
+def test_line_dedup_of_longer_keys(spark):
+    rows = [(i, t) for i in range(3) for t in ("ab\nüü\nabc",)]
+    found = line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2, min_chars=3, batches=2).select("doc_id", "text", "n_dropped")
+    assert many(found.collect()) == many((i, "ab\nüü", 1) for i in range(3))
+
+
 def test_line_runs_compact_and_anti_join(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
-    batch = lambda *x: spark.createDataFrame([(k.encode(),) for k in x], "key binary")
-    for keys in ("ab", "bc", "cd", "de"):
+    runs = line_dedup.LineRuns(spark, buckets=3, min_docs=3, fanout=2)
+    batch = lambda *x: spark.createDataFrame([(k.encode(), 1) for k in x], "key binary, n long")
+    for keys in ("abx", "bcx", "cdx", "bex"):
         runs.add(batch(*keys))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
-    assert {r["key"] for r in runs.common_keys(2).collect()} == {b"b", b"c", b"d"}
+    assert {(r["key"], r["n"]) for r in runs.runs()[0].collect()} == {(b"a", 1), (b"b", 3), (b"c", 2), (b"d", 1), (b"e", 1), (b"x", 3)}
+    assert {r["key"] for r in runs.common_keys().collect()} == {b"b", b"x"}
     assert [r["key"] for r in runs.unseen(batch("a", "z")).collect()] == [b"z"]
+    assert {(r["key"], r["n"]) for r in runs.not_common(batch("b", "c", "z")).collect()} == {(b"c", 3), (b"z", 1)}
+    runs.forget()
+
+
+def test_line_runs_move_no_rows_after_the_first_exchange(spark):
+    runs = line_dedup.LineRuns(spark, buckets=3, min_docs=3, fanout=8)
+    counts = spark.table(runs.bucketed(spark.createDataFrame([(b"a", 1), (b"b", 2)], "key binary, n long"), "counts"))
+    runs.add(counts)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = runs.not_common(counts)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.forget()
 
 
 def test_packing(docs):
@@ -181,7 +203,7 @@ def test_quality_rules(docs):
 def test_cascade_order_never_changes_the_verdict(docs):
     stats = quality_rules.text_statistics(docs)
     rules = [quality_rules.base_rule(), *quality_rules.default_rules()]
-    planned = quality_rules.plan_cascade(stats, rules)
+    planned = quality_rules.plan_cascade(docs, rules)
     assert {r.name for r in planned} == {r.name for r in rules}
     one, two = (quality_rules.first_rejection(x).isNull() for x in (planned, rules[::-1]))
     assert stats.where(one != two).count() == 0
@@ -282,6 +304,69 @@ def test_url_reputation(spark):
     assert got[9] == [("bad.net", "", None, "block")] * 2 and got[100][0][3] == "allow"
 
 
+def reputation_twin(pages, outcomes):
+    """Posterior upper bounds of all hosts, level by level in plain Python."""
+    host = lambda u: re.match("[^/?#]*", u.split("://", 1)[1]).group().translate(fx.LOWER) if u and "://" in u else ""
+
+    def levels(h):
+        name = re.sub(r"\.?(:[0-9]*)?$", "", h.rpartition("@")[2])
+        if re.match(r"[0-9]+(\.[0-9]+){3}$|\[", name):
+            return name, "#address"
+        parts = name.split(".")
+        n = 2 if ".".join(parts[-2:]) in url_reputation.SUFFIXES else 1
+        return ".".join(parts[-n - 1 :]), ".".join(parts[-n:])
+
+    def strength(members):
+        if len(members) < 2:
+            return 2.0
+        rates = [((k + 0.5) / (n + 1), n) for n, k in members]
+        mean = sum(r for r, _ in rates) / len(rates)
+        spread = sum((r - mean) ** 2 for r, _ in rates) / len(rates) - sum(r * (1 - r) / (n + 1) for r, n in rates) / len(rates)
+        return min(200.0, max(2.0, mean * (1 - mean) / max(spread, 1e-6) - 1))
+
+    best = {}
+    for i, y in outcomes:
+        if i is not None and y is not None:
+            best[i] = max(best.get(i, 0), y)
+    count = collections.defaultdict(lambda: [0, 0])
+    for i, u in pages:
+        if i in best:
+            count[host(u)][0] += 1
+            count[host(u)][1] += best[i]
+    total = lambda rows: (sum(n for n, _ in rows), sum(k for _, k in rows))
+    by_domain, by_suffix = collections.defaultdict(list), collections.defaultdict(list)
+    for h, c in count.items():
+        by_domain[levels(h)].append(c)
+    for (d, s), rows in by_domain.items():
+        by_suffix[s].append(total(rows))
+    n, k = total([total(r) for r in by_suffix.values()])
+    whole = (k + 1) / (n + 2), strength([total(r) for r in by_suffix.values()])
+    suffix = {s: ((total(r)[1] + whole[0] * whole[1]) / (total(r)[0] + whole[1]), strength(r)) for s, r in by_suffix.items()}
+    domain = {d: ((total(r)[1] + suffix[s][0] * suffix[s][1]) / (total(r)[0] + suffix[s][1]), strength(r)) for (d, s), r in by_domain.items()}
+    out = {}
+    for _, u in pages:
+        d, s = levels(host(u))
+        m, w = domain.get(d) or suffix.get(s) or whole
+        n, k = count[host(u)] if host(u) in count else (0, 0)
+        mean = (k + m * w) / (n + w)
+        out[host(u)] = mean + 1.645 * (mean * (1 - mean) / (n + w + 1)) ** 0.5
+    return out, host
+
+
+def test_reputation_of_hosts_without_labels(spark):
+    r = np.random.default_rng(8)
+    hosts = [f"h{k}.bad.net" for k in range(6)] + [f"h{k}.good.net" for k in range(6)] + ["a.shop.co.uk", "b.shop.co.uk", "u@x.org:80", "10.0.0.1:8080", "10.0.0.2"]
+    pages = [(k, f"http://{hosts[k % len(hosts)]}/p") for k in range(300)]
+    outcomes = [(k, 0 if "bad" in u or "shop" in u else int(r.random() < 0.9)) for k, u in pages]
+    pages += [(1000, "http://new.bad.net/"), (1001, "http://new.good.net"), (1002, "http://c.shop.co.uk:1"), (1003, "http://other.co.uk"), (1004, "http://x.unknown"), (1005, None), (1006, "http://10.0.0.1")]
+    extra = [(*p, "h", 1, 2.0) for p in pages]
+    frame = spark.createDataFrame(extra, "page_id long, url string, host string, n long, mean double")
+    found = {x["page_id"]: x["verdict"] for x in url_reputation.judge_urls(frame, spark.createDataFrame(outcomes, "doc_id long, quality int"), rules=()).collect()}
+    upper, host = reputation_twin(pages, outcomes)
+    assert found == {i: "block" if upper[host(u)] < 0.5 else "allow" for i, u in pages}
+    assert [found[k] for k in (1000, 1001, 1002, 1004, 1005)] == ["block", "allow", "block", "allow", "allow"]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], fx.SCHEMA)
     model = language_id.train(none)
