@@ -8,6 +8,10 @@ front-coded (common prefix with the suffix before, then the rest), and collapses
 combined by a loser tree that carries the prefix length each head is known to share with the last output and compares
 bytes only beyond it. Among neighbours that share the k-gram, the lengths shared to the right (from the merge) and to
 the left decide for each window whether it also starts elsewhere.
+
+A k-gram of very many anchors would make one task's group grow with the corpus. Windows of different offsets from the
+anchor never equal each other, so the contexts of such a k-gram are split by offset and window: each context, collapsed
+within its task, gives the hashes of its windows, which Spark counts like any other key.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,8 @@ from parlance.llm.common import U64, keyed, map_docs, mix, powers, stored, texts
 GRAM = 64
 #: Bytes of text hashed at once, and contexts gathered before a task writes its runs.
 STRETCH, RUN_BYTES = 1 << 20, 24 << 20
+#: Anchors of a k-gram beyond which its contexts are split by window.
+HOT_ANCHORS = 4096
 
 
 def _gram_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -248,14 +255,38 @@ def repeated_offsets(group: list[tuple[int, bytes, bytes, int, int]], length: in
     return [_union(x) for x in found]
 
 
+#: Stands for the bucket of the contexts that are split by window.
+HOT = -1
+
+
+def window_hashes(suffix: bytes, left: bytes, low: int, length: int) -> list[bytes]:
+    """128-bit hashes of a context's windows with their offset, from offset ``low`` to the length of ``left``."""
+    whole, anchor = left + suffix, len(left)
+    return [xxhash.xxh3_128_digest(whole[anchor - d : anchor - d + length], seed=d) for d in range(low, anchor + 1)]
+
+
 def _runs(length: int, buckets: int) -> Callable:
-    """Sort a task's candidate suffixes into runs. Rows: a run (bucket, payload), or a place (entry of a run, text, anchor)."""
+    """Sort a task's candidate suffixes into runs.
+
+    Rows: a run (bucket, payload), a place (entry of a run, text, anchor), or the windows of an entry of a hot k-gram
+    (entry, least offset as anchor, windows; bucket -1 if the entry stands for several places, else -2).
+    """
 
     def flush(contexts: dict) -> Iterator[pd.DataFrame]:
         run = uuid.uuid4().hex
         by_bucket: dict[int, list] = {}
         for (suffix, left, low), (bucket, places) in contexts.items():
             by_bucket.setdefault(bucket, []).append((suffix, left, low, places))
+        for first in range(0, len(hot := by_bucket.pop(HOT, [])), 2000):
+            part = hot[first : first + 2000]
+            flat = [(first + i, *p) for i, e in enumerate(part) for p in e[3]]
+            n, m = len(part), len(flat)
+            yield pd.DataFrame({
+                "doc_id": [*[None] * n, *(x[1] for x in flat)], "row_key": pd.array([*[None] * n, *(x[2] for x in flat)], dtype="Int64"), "run": [f"{run}-hot"] * (n + m),
+                "bucket": pd.array([*(-1 if len(e[3]) > 1 else -2 for e in part), *[None] * m], dtype="Int64"), "payload": [None] * (n + m),
+                "entry": pd.array([*range(first, first + n), *(x[0] for x in flat)], dtype="Int64"), "anchor": pd.array([*(e[2] for e in part), *(x[3] for x in flat)], dtype="Int64"),
+                "windows": [*(window_hashes(e[0], e[1], e[2], length) for e in part), *[None] * m],
+            })
         for bucket, entries in by_bucket.items():
             entries.sort(key=lambda e: e[0])
             payload = front_code([(s, left, low << 1 | (len(places) > 1)) for s, left, low, places in entries])
@@ -264,7 +295,7 @@ def _runs(length: int, buckets: int) -> Callable:
             yield pd.DataFrame({
                 "doc_id": [None, *(x[1] for x in flat)], "row_key": pd.array([None, *(x[2] for x in flat)], dtype="Int64"), "run": [f"{run}-{bucket}"] * (n + 1),
                 "bucket": pd.array([bucket, *[None] * n], dtype="Int64"), "payload": [payload, *[None] * n],
-                "entry": pd.array([None, *(x[0] for x in flat)], dtype="Int64"), "anchor": pd.array([None, *(x[3] for x in flat)], dtype="Int64"),
+                "entry": pd.array([None, *(x[0] for x in flat)], dtype="Int64"), "anchor": pd.array([None, *(x[3] for x in flat)], dtype="Int64"), "windows": [None] * (n + 1),
             })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,6 +304,7 @@ def _runs(length: int, buckets: int) -> Callable:
         for batch in batches:
             texts, ids, keys = texts_of(batch), batch["doc_id"].tolist(), batch["row_key"].tolist()
             wanted = [np.sort(np.asarray(w, dtype=np.int64).view(U64)) for w in batch["wanted"]]
+            hot = [{int(h) for h in np.asarray(w, dtype=np.int64).view(U64)} for w in batch["hot"]]
             for first in range(0, len(texts), 200):
                 raws = [(t or "").encode() for t in texts[first : first + 200]]
                 for arrays in anchors_of(raws, length):
@@ -285,8 +317,8 @@ def _runs(length: int, buckets: int) -> Callable:
                         key = raw[at : at + length - at + s1], raw[s0:at], at - s1
                         held = contexts.get(key)
                         if held is None:
-                            contexts[key] = held = (h % buckets, [])
-                            size += len(key[0]) + len(key[1]) + 200
+                            contexts[key] = held = (HOT if h in hot[first + d] else h % buckets, [])
+                            size += len(key[0]) + len(key[1]) + (200 if held[0] != HOT else 16 * length)
                         held[1].append((ids[first + d], keys[first + d], at))
                         size += 50
                 if size > RUN_BYTES:
@@ -352,12 +384,12 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.assign(doc_id=batch["doc_id"].to_numpy(), kept=texts)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot_anchors: int = HOT_ANCHORS) -> DataFrame:
     """``doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256``: each text without the bytes that are repeated.
 
     A byte goes if a ``length``-byte string over it also starts anywhere else; all copies go. ``kept`` is binary, as a
     cut may fall inside a character. Null texts count as empty; texts shorter than ``length`` stay; a repeated row is a
-    copy like any other. Extra columns are ignored; no rows give no rows. ``length`` is 65 to 255.
+    copy like any other. Extra columns are ignored; no rows give no rows. ``length`` is 65 to 255. ``hot_anchors`` decides how k-grams are split over tasks, never what goes.
     """
     if not GRAM < length <= 255:
         raise ValueError(f"length has to be {GRAM + 1} to 255")
@@ -365,17 +397,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     hashes = stored(map_docs(rows, _anchor_hashes(length), "row_key long, hashes array<long>"), "anchors")
     each = hashes.select("row_key", "doc_id", F.explode("hashes").alias("h"))
-    twice = stored(each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"), "repeated-grams")
-    wanted = each.join(twice, "h", "left_semi").groupBy("row_key", "doc_id").agg(F.collect_set("h").alias("wanted"))
+    twice = stored(each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h", (F.col("n") > hot_anchors).alias("is_hot")), "repeated-grams")
+    wanted = each.join(twice, "h").groupBy("row_key", "doc_id").agg(F.collect_set("h").alias("wanted"), F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("hot"))
     buckets = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     candidates = with_decisions(rows, wanted, "inner")
-    columns = "row_key long, run string, bucket long, payload binary, entry long, anchor long"
+    columns = "row_key long, run string, bucket long, payload binary, entry long, anchor long, windows array<binary>"
     both = stored(map_docs(candidates, _runs(length, buckets), columns), "suffix-runs")
-    runs = both.where(F.col("bucket").isNotNull()).select("bucket", "run", "payload")
+    runs = both.where(F.col("bucket") >= 0).select("bucket", "run", "payload")
     runs = runs.repartition("bucket").sortWithinPartitions("bucket", "run")
     verdicts = stored(runs.mapInPandas(_merged(length), "run string, entry long, offsets array<int>"), "verdicts")
+    windows = both.where(F.col("bucket") < 0).select("run", "entry", F.when(F.col("bucket") == -1, 2).otherwise(1).alias("copies"), "anchor", F.posexplode("windows").alias("nth", "window"))
+    repeated = windows.groupBy("window").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("window")
+    offset = (F.col("anchor") + F.col("nth")).cast("int")
+    split = windows.join(repeated, "window", "left_semi").groupBy("run", "entry").agg(F.flatten(F.collect_list(F.array(offset, offset))).alias("offsets"))
     places = both.where(F.col("bucket").isNull()).select("run", "entry", "doc_id", "row_key", "anchor")
-    hit = places.join(verdicts, ["run", "entry"])
+    hit = places.join(stored(verdicts.unionByName(split), "all-verdicts"), ["run", "entry"])
     # Offsets come in pairs (least, most): their windows cover anchor - most to anchor - least + length.
     pairs = F.transform(F.sequence(F.lit(0), F.size("offsets") - 2, F.lit(2)), lambda i: F.struct((F.col("anchor") - F.col("offsets")[i + 1]).alias("first"), (F.col("anchor") - F.col("offsets")[i] + length).alias("last")))
     spans = hit.select("row_key", "doc_id", F.explode(pairs).alias("span")).groupBy("row_key", "doc_id").agg(F.collect_set("span").alias("spans"))
