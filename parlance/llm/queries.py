@@ -75,6 +75,13 @@ QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_lang
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS_LOWER = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SUFFIXES = f"({', '.join(repr(x) for x in url_reputation.SUFFIXES)})"
+_RATE = "((k + 0.5::DOUBLE) / (n + 1))"
+_STRENGTH = f"CASE WHEN count(*) > 1 THEN least(greatest(avg({_RATE}) * (1 - avg({_RATE})) / greatest(var_pop({_RATE}) - avg({_RATE} * (1 - {_RATE}) / (n + 1)), 1e-6) - 1, 2.0), 200.0) ELSE 2.0 END"
+
 ORACLES = {
     "op1_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
@@ -92,6 +99,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR n_dup_lines * 100 > 30 * (length(text) - length(replace(text, chr(10), '')) + 1)
     OR (length(text) - length(replace(text, '!', ''))) * 5 > n_words
     OR length(regexp_replace(text, '[^A-Z]', '', 'g')) > length(regexp_replace(text, '[^a-z]', '', 'g'))) AS kept FROM b
+""",
+    "op4_ngram_join": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_LOWER} AS w FROM documents),
+x AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i+2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT r, doc_id, count(*) AS n FROM x GROUP BY 1, 2),
+s AS (SELECT r, doc_id, n, sha256(string_agg(g, ' | ' ORDER BY g)) AS c FROM x JOIN n USING (r, doc_id) GROUP BY 1, 2, 3),
+c AS (SELECT c, min(r) AS r, any_value(n) AS n FROM s WHERE doc_id IS NOT NULL GROUP BY c),
+g AS (SELECT c.c, c.n, x.g FROM c JOIN x USING (r)),
+m AS (SELECT a.c AS a, b.c AS b FROM g AS a JOIN g AS b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM m UNION SELECT b, a FROM m UNION SELECT s.c, t.c FROM s JOIN s AS t ON s.doc_id = t.doc_id AND s.c <> t.c),
+k AS (SELECT c AS a, c AS b FROM c UNION SELECT k.a, e.b FROM k JOIN e ON k.b = e.a),
+l AS (SELECT k.a AS c, min(s.doc_id) AS component_id FROM k JOIN s ON s.c = k.b GROUP BY 1)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, CASE WHEN d.doc_id IS NULL OR s.n IS NULL THEN d.doc_id ELSE l.component_id END AS component_id
+FROM d LEFT JOIN s USING (r) LEFT JOIN l ON l.c = s.c
+""",
+    "op5_decontamination": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT DISTINCT item_id::VARCHAR AS item, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+q AS (SELECT DISTINCT item, least(10, len(w)) AS k, array_to_string(w[i:i+least(10, len(w))-1], ' ') AS g FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+x AS (SELECT r, i, k, array_to_string(w[i:i+k-1], ' ') AS g FROM d, (SELECT DISTINCT k FROM q) AS z, unnest(range(1, len(w) - k + 2)) AS u(i)),
+h AS (SELECT r, i, k, item FROM x JOIN q USING (k, g)),
+n AS (SELECT r, count(DISTINCT i + j) AS n FROM h, unnest(range(0, k)) AS v(j) GROUP BY r),
+o AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(o.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN o USING (r)
 """,
     "op6_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -102,22 +135,25 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(c.k)::BIG
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
 FROM x LEFT JOIN c USING (k) GROUP BY r
 """,
-    "op8_url_reputation": r"""
+    "op8_url_reputation": rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN url[instr(url, '://') + 3:] ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 g AS (SELECT doc_id AS page_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
-h AS (SELECT host, count(*) AS n, sum(good) AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM p JOIN g USING (page_id) WHERE good IS NOT NULL GROUP BY host),
-d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k,
-  least(greatest(avg((k + 0.5::DOUBLE) / (n + 1)) * (1 - avg((k + 0.5::DOUBLE) / (n + 1))) / greatest(var_pop((k + 0.5::DOUBLE) / (n + 1)), 1e-6) - 1, 2), 200) AS s FROM h GROUP BY 1, 2),
-f AS (SELECT suffix, sum(n) AS n, sum(k) AS k,
-  least(greatest(avg((k + 0.5::DOUBLE) / (n + 1)) * (1 - avg((k + 0.5::DOUBLE) / (n + 1))) / greatest(var_pop((k + 0.5::DOUBLE) / (n + 1)), 1e-6) - 1, 2), 200) AS s FROM d GROUP BY 1),
-o AS (SELECT (sum(k) + 1::DOUBLE) / (sum(n) + 2) AS m FROM f),
-fm AS (SELECT suffix, s, (k + (SELECT m FROM o) * 2) / (n + 2) AS m FROM f),
+x AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS name FROM p),
+z AS (SELECT host, name, string_split(name, '.') AS l, regexp_matches(name, '^([0-9]+(\.[0-9]+){{3}}|\[.*)$') AS address FROM x),
+y AS (SELECT host, CASE WHEN address THEN name WHEN array_to_string(l[-2:], '.') IN {_SUFFIXES} THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+  CASE WHEN address THEN '#address' WHEN array_to_string(l[-2:], '.') IN {_SUFFIXES} THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM z),
+h AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(good) AS k FROM p JOIN g USING (page_id) JOIN y USING (host) WHERE good IS NOT NULL GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, {_STRENGTH} AS s FROM h GROUP BY 1, 2),
+f AS (SELECT suffix, sum(n) AS n, sum(k) AS k, {_STRENGTH} AS s FROM d GROUP BY 1),
+o AS (SELECT (coalesce(sum(k), 0) + 1::DOUBLE) / (coalesce(sum(n), 0) + 2) AS m, {_STRENGTH} AS s FROM f),
+fm AS (SELECT suffix, f.s, (f.k + o.m * o.s) / (f.n + o.s) AS m FROM f, o),
 dm AS (SELECT domain, d.s, (d.k + fm.m * fm.s) / (d.n + fm.s) AS m FROM d JOIN fm USING (suffix)),
-hm AS (SELECT host, n, dm.s, (k + dm.m * dm.s) / (n + dm.s) AS mean FROM h JOIN dm USING (domain)),
-b AS (SELECT host FROM hm WHERE mean - 1.645 * sqrt(mean * (1 - mean) / (n + s + 1)) < 0.5),
+e AS (SELECT host, coalesce(n, 0) AS n, coalesce(k, 0) AS k, coalesce(dm.m, fm.m, o.m) AS m, coalesce(dm.s, fm.s, o.s) AS s
+  FROM y LEFT JOIN (SELECT host, n, k FROM h) USING (host) LEFT JOIN dm USING (domain) LEFT JOIN fm USING (suffix), o),
+q AS (SELECT host, n, s, (k + m * s) / (n + s) AS mean FROM e),
+b AS (SELECT host FROM q WHERE mean + 1.645 * sqrt(mean * (1 - mean) / (n + s + 1)) < 0.5),
 r AS (SELECT page_id, host, path, CASE
   WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
   WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
