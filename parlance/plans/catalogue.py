@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import redaction, text
 from parlance.operators import activity, evidence, filtering, merging, rendering, report, routing
 from parlance.schema import ExportOptions
-from parlance.sources.conversations import SPEAKERS, base_conversations, messages_from_clipboard, messages_from_turns, read_table
+from parlance.sources.conversations import SPEAKERS, base_conversations, messages_from_clipboard, messages_from_turns, read_table, spread
 
 VERSION, CAPTURED_AT = "1.0.0", "2026-01-01T00:00:00.000Z"
 
@@ -35,7 +35,7 @@ def stable_id(spark, sf_dir):
 
 
 def compact_ws(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", text.compact_whitespace(F.col("text")).alias("text"))
+    return spread(read_table(spark, sf_dir, "documents")).select("doc_id", text.compact_whitespace(F.col("text")).alias("text"))
 
 
 def slugify_titles(spark, sf_dir):
@@ -52,15 +52,15 @@ def describe_page(spark, sf_dir):
 
 
 def redact_email(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", redaction.redact_email(F.col("text")).alias("text"))
+    return spread(read_table(spark, sf_dir, "documents")).select("doc_id", redaction.redact_email(F.col("text")).alias("text"))
 
 
 def redact_keys(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", redaction.redact_keys(F.col("text")).alias("text"))
+    return spread(read_table(spark, sf_dir, "documents")).select("doc_id", redaction.redact_keys(F.col("text")).alias("text"))
 
 
 def redact_all(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", redaction.redact_text(F.col("text")).alias("text"))
+    return spread(read_table(spark, sf_dir, "documents")).select("doc_id", redaction.redact_text(F.col("text")).alias("text"))
 
 
 def interim_flags(spark, sf_dir):

@@ -17,6 +17,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """The table over all cores, if its files have fewer parts than that; larger tables stay as they are, unmoved.
+
+    For costly work row by row: a small table in one row group would keep one core busy and all others idle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def _metadata(index: Column, text: Column) -> Column:
     fields = {"index": index.cast("int"), "visibleTextHash": F.sha2(text, 256)}
     names = [f.split(":")[0] for f in METADATA[len("struct<") : -1].split(",")]
