@@ -4,9 +4,11 @@ Equal sets of shingles are one row of the matrix. Rows are classed by size. Two
 threshold differ in at most H n-grams, H following from their sizes; so if the n-grams are dealt into more than H
 groups, two such rows agree on some whole group. More groups are dealt, so they agree on several, and a row needs only
 its rarest ones. Only rows that agree on such a group are multiplied; groups whose rows share their least row (by hash)
-make one block column together. Long block columns are cut into blocks of rows, and each pair of blocks is a task. A
-task accumulates overlap counts stripe by stripe over the n-grams, and returns a spanning forest of the links it finds
-instead of all pairs. Components come from star contraction of these links.
+make one block column together. Long block columns are cut into blocks of rows. First each block is multiplied with
+itself and with the column's hub; rows that this puts into the hub's component need no product with each other, so only
+the rows left over are multiplied with all blocks. A task accumulates overlap counts stripe by stripe over the n-grams,
+and returns a spanning forest of the links it finds instead of all pairs. Components come from star contraction of
+these links.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import U64, chunks, keyed, map_docs, mix, prefix_hashes, span_hashes, stored, texts_of, with_decisions, words_of
+from parlance.llm.common import U64, chunks, keyed, map_docs, mix, prefix_hashes, span_hashes, split_by, stored, texts_of, with_decisions, words_of
 
 #: Rows of a block of a column, columns of a dense stripe.
 BLOCK_ROWS, STRIPE = 768, 4096
@@ -309,8 +311,8 @@ def _products(percent: int) -> Callable:
                 if (h, a, b) != task:
                     out += done()
                     task, last, ids, sets, sides = (h, a, b), None, [], [], []
-                if (doc_id, row_key) != last:  # rows of a task come sorted by id and key; a repeated row counts once
-                    last = doc_id, row_key
+                if (doc_id, row_key, side) != last:  # rows of a task come sorted by id, key and side; a repeated row counts once
+                    last = doc_id, row_key, side
                     ids.append(doc_id)
                     sets.append(np.frombuffer(raw, dtype=np.uint64))
                     sides.append(side)
@@ -380,23 +382,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Groups whose rows have the same hub (their least row by hash) become one block column: near copies share few hubs.
     hubs = stored(rarest.groupBy("h").agg(F.min(F.xxhash64("rep_key", F.lit(1))).alias("hub")), "hubs")
     live = stored(rarest.join(hubs, "h").select("rep", "rep_key", F.col("hub").alias("h")).distinct(), "live-cells")
-    columns = stored(live.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > 1), "columns")
-    live = live.join(columns, "h")
-    parts = F.ceil(F.col("m") / block_rows).cast("int")
-    live = live.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep_key"), F.col("parts")).cast("int"))
-    tasks = live.select("rep", "rep_key", "h", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    task = F.struct("h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side"))
-    # The groups, far smaller than the sets, are multiplied first; rows without a partner that agrees on enough leave.
+    columns = live.groupBy("h").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "rep_key"), F.xxhash64("rep_key", F.lit(1))).alias("first")).where(F.col("m") > 1)
+    columns = stored(columns.withColumn("parts", F.ceil(F.col("m") / block_rows).cast("int")), "columns")
+    live = live.join(columns.select("h", "parts"), "h").withColumn("own", F.pmod(F.xxhash64("rep_key"), F.col("parts")).cast("int"))
+    # The groups, far smaller than the sets, are multiplied before the sets; rows without a partner that agrees on enough leave.
     held = cells.groupBy("rep_key").agg(F.first("size_class").alias("size_class"), F.collect_list("h").alias("groups"))
-    tasks = tasks.select("rep", "rep_key", task.alias("task")).join(held, "rep_key")
-    tasks = tasks.select(F.col("rep").alias("doc_id"), F.col("rep_key").alias("row_key"), "task.*", "size_class", "groups")
-    tasks = tasks.repartition("h", "a", "b").sortWithinPartitions("h", "a", "b")
-    tasks = stored(map_docs(tasks, _agreeing_rows(agreeing), "row_key long, h long, a int, b int, side int"), "agreeing-tasks")
-    tasks = tasks.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("h", "a", "b", "side")).alias("tasks"))
-    sets = map_docs(with_decisions(rows, tasks, "inner").select("doc_id", "row_key", "text", "tasks"), _full_sets(width), "row_key long, shingles binary, h long, a int, b int, side int")
-    order = ["h", "a", "b"]
-    sets = sets.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(*order).sortWithinPartitions(*order, "doc_id", "row_key")
-    links = sets.mapInPandas(_products(percent), "u string, v string").select(F.col("u").cast(id_type).alias("u"), F.col("v").cast(id_type).alias("v"))
+
+    def products(tasks: DataFrame) -> DataFrame:
+        """Links of tasks (rep, rep_key, h, a, b, side)."""
+        whole = tasks.join(held, "rep_key").select(F.col("rep").alias("doc_id"), F.col("rep_key").alias("row_key"), "h", "a", "b", "side", "size_class", "groups")
+        whole = whole.repartition("h", "a", "b").sortWithinPartitions("h", "a", "b")
+        kept = map_docs(whole, _agreeing_rows(agreeing), "row_key long, h long, a int, b int, side int")
+        kept = stored(kept.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("h", "a", "b", "side")).alias("tasks")), "agreeing-tasks")
+        wanted = with_decisions(split_by(rows, kept)[0], kept, "inner").select("doc_id", "row_key", "text", "tasks")
+        sets = map_docs(wanted, _full_sets(width), "row_key long, shingles binary, h long, a int, b int, side int")
+        sets = sets.withColumn("doc_id", F.col("doc_id").cast("string")).repartition("h", "a", "b").sortWithinPartitions("h", "a", "b", "doc_id", "row_key", "side")
+        return sets.mapInPandas(_products(percent), "u string, v string").select(F.col("u").cast(id_type).alias("u"), F.col("v").cast(id_type).alias("v"))
+
+    part, none = F.col("own"), F.lit(0)
+    own = live.select("rep", "rep_key", "h", part.alias("a"), part.alias("b"), none.alias("side"))
+    long = columns.where(F.col("parts") > 1)
+    with_hub = long.select("first.rep", "first.rep_key", "h", F.explode(F.sequence(none, F.col("parts") - 1)).alias("a")).select("rep", "rep_key", "h", "a", F.col("a").alias("b"), none.alias("side"))
+    links = stored(products(own.unionByName(with_hub).distinct()), "block-links")
+    if long.limit(1).count():
+        nodes = connected_components(links)
+        label = lambda df: df.join(nodes, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+        of_hub = label(long.select("h", "first.rep")).select("h", F.col("component").alias("hub_component"))
+        members = live.where(F.col("parts") > 1)
+        over = label(members).join(of_hub, "h").where(F.col("component") != F.col("hub_component")).select("rep", "rep_key", "h", "parts")
+        over = stored(over, "rows-left-over")
+        counts = over.groupBy("h").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("over_parts"))
+        dealt = over.join(counts, "h").withColumn("a", F.pmod(F.xxhash64("rep_key"), F.col("over_parts")).cast("int"))
+        one = dealt.select("rep", "rep_key", "h", "a", F.explode(F.sequence(none, F.col("parts") - 1)).alias("b"), none.alias("side"))
+        two = members.join(counts, "h").select("rep", "rep_key", "h", F.explode(F.sequence(none, F.col("over_parts") - 1)).alias("a"), part.alias("b"), F.lit(1).alias("side"))
+        links = links.unionByName(products(one.unionByName(two)))
     # An id whose rows differ links the classes of these rows.
     several = known.groupBy("doc_id").agg(F.min("class").alias("one"), F.max("class").alias("two")).where(F.col("one") != F.col("two")).select("doc_id")
     own = known.join(several, "doc_id", "left_semi").select("doc_id", "class").join(classes, "class")
