@@ -20,7 +20,8 @@ from parlance.llm.common import bounded_sample, chunks
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 40_000
 #: Letters that have a column in the dense table of transitions; those of all others are looked up in a sorted list.
 LETTERS = 62
-#: Stretches of a text that are parsed on their own.
+#: Letters that are parsed on their own, so that stretches of one text can be walked side by side; each cut adds at most
+#: one phrase, the same for every language.
 STRETCH = 1024
 
 
@@ -174,6 +175,9 @@ class LanguageModel:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
     """Learn from about ``rows`` labelled rows of each language, up to ``chars`` letters; null labels or texts teach nothing.
 
+    Repeated rows teach again, within the bound. A table without labelled rows gives a model that knows no language. Extra
+    columns are ignored.
+
     The model's size is at most languages x 2 x ``chars`` x 64 numbers of four bytes, and languages x 3 x ``chars``
     transitions of twelve bytes for letters without a column.
     """
@@ -196,7 +200,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     """``doc_id, lang_pred, score`` for every whole text.
 
     ``und`` with score 0 for null texts and texts without a letter, or if the model knows no language. The score is one
-    less the ratio of the best to the second best rate; ties go to the first name in order. Extra columns are ignored.
+    less the ratio of the best to the second best rate; ties go to the first name in order. Repeated rows each get their
+    row; no rows give no rows; extra columns are ignored.
     """
     found = language_column(docs.sparkSession, model)(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), found.alias("found"))
