@@ -99,7 +99,7 @@ def activity_split(spark, sf_dir):
 
 
 def capture_report(spark, sf_dir):
-    return report.capture_report(_messages(spark, sf_dir))
+    return report.capture_report(_messages(spark, sf_dir)).drop("min_id", "max_id", "ids_increase")  # turns have no provider ids
 
 
 def select_and_edit(spark, sf_dir):
@@ -194,7 +194,7 @@ ORACLES = {
         SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, n) - 1)::INT AS msg_idx, role, kind, text FROM m""",
     "capture_report": """SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant,
         count(*) - count(DISTINCT (role, text)) AS n_duplicates, count(*) FILTER (WHERE text = '') AS n_empty, min(turn)::INT AS first_idx, max(turn)::INT AS last_idx,
-        count(*) = max(turn) - min(turn) + 1 AS contiguous, 0::BIGINT AS n_activity, 0::BIGINT AS n_documents, 0::BIGINT AS n_with_id, NULL::BIGINT AS min_id, NULL::BIGINT AS max_id, NULL::BOOLEAN AS ids_increase, left(arg_min(text, turn), 50) AS first_text, left(arg_max(text, turn), 50) AS last_text FROM conversations GROUP BY conv_id""",
+        count(*) = max(turn) - min(turn) + 1 AS contiguous, 0::BIGINT AS n_activity, 0::BIGINT AS n_documents, 0::BIGINT AS n_with_id, left(arg_min(text, turn), 50) AS first_text, left(arg_max(text, turn), 50) AS last_text FROM conversations GROUP BY conv_id""",
     "select_and_edit": "SELECT conv_id, turn::INT AS msg_idx, left(text, 100) AS text FROM conversations WHERE role <> 'system'",
     "merge_windows": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS msg_idx, role, text FROM conversations",
     "merge_repeated_texts": "SELECT conv_id, (row_number() OVER w - 1)::INT AS msg_idx, 'message-' || (row_number() OVER w) AS id, role, 'continue ' || role AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
