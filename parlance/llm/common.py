@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -43,15 +44,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables stored by the operators of the last pipeline stage, while one is being built.
-_held: list[str] | None = None
-_done: list[str] = []
+#: Tables stored by the operators of the pipeline stage that this thread builds, and of the last stages of each pipeline.
+_building = threading.local()
+_built: dict[str, list[str]] = {}
 
 
 def hold(path: str) -> None:
     """Note that a path of the shared folder goes when the pipeline stage that is being built is over."""
-    if _held is not None:
-        _held.append(path)
+    if getattr(_building, "paths", None) is not None:
+        _building.paths.append(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -62,23 +63,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, pipeline: str) -> None:
+    """Delete what operators stored for the last stage of a pipeline; its result has to be written by then."""
+    for path in _built.pop(pipeline, []):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
-def stage_tables(spark: SparkSession) -> Iterator[None]:
-    """What operators store inside is deleted when the next stage enters, as its input has been written by then.
+def stage_tables(spark: SparkSession, pipeline: str) -> Iterator[None]:
+    """What operators store inside is deleted when the pipeline's next stage enters, as its input has been written by then.
 
-    One pipeline may run in a process at a time.
+    ``pipeline`` names the pipeline by its input; pipelines over different inputs don't touch each other's tables.
     """
-    global _held
-    for path in _done:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _done.clear()
-    _held = []
+    release(spark, pipeline)
+    _building.paths = []
     try:
         yield
     finally:
-        _done.extend(_held)
-        _held = None
+        _built.setdefault(pipeline, []).extend(_building.paths)
+        _building.paths = None
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
