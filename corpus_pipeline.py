@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import decontamination, language_id, line_dedup, ngram_join, packing
-from parlance.llm.common import new_path, stage_tables, stored
+from parlance.llm.common import new_path, release, stage_tables, stored, without
 from parlance.llm.queries import table, tokenizer_path
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own, ``_row``; stored, as the key has to be the same each time the rows are read."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def _text_id(docs: DataFrame) -> DataFrame:
+    """The rows with a name of their text, ``_text``, for decisions that hang on the text alone."""
+    return docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,27 +32,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten documents or more go from all of them; documents of which nothing is left go too."""
-    rows = _numbered(docs)
-    found = line_dedup.drop_common_lines(rows, id_col="_row", min_docs=10)
-    kept = found.where((F.col("n_dropped") == 0) | (F.trim("text") != "")).select(F.col("doc_id").alias("_row"), "text")
-    joined = rows.drop("text").join(kept, "_row").withColumn("n_chars", F.length("text").cast("long"))
-    return joined.select(*docs.columns)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = line_dedup.drop_common_lines(docs, min_docs=10, carry=others)
+    kept = found.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    named = {c: F.col(f"_{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.select(*(named[c].alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of rows linked by a five-word shingle similarity of 0.8 or more, one of the least id stays; rows without an id come last."""
-    rows = _numbered(docs)
-    found = ngram_join.jaccard_components(rows, id_col="_row", width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    # A key of each row's own; stored, as it has to be the same each time the rows are read.
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = stored(ngram_join.jaccard_components(rows, id_col="_row", width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id"), "row-components")
+    many = found.groupBy("component_id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    members = found.join(many, "component_id").join(rows.select("_row", "doc_id"), "_row")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
-    first = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(place).alias("first"))
-    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    first = members.groupBy("component_id").agg(F.min(place).alias("first")).select("first._row")
+    gone = stored(members.select("_row").join(first, "_row", "left_anti"), "near-copies")
+    return without(rows, gone, "_row").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
-    rows = _numbered(docs)
-    found = decontamination.find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
-    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
+    rows = _text_id(docs)
+    found = decontamination.find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_text")
+    gone = stored(found.where("contaminated").select(F.col("doc_id").alias("_text")).distinct(), "contaminated-texts")
+    return without(rows, gone, "_text").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +70,7 @@ def _stage(function: Callable) -> Callable:
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with stage_tables(spark):
+        with stage_tables(spark, sf_dir):
             return function(spark, docs, sf_dir)
 
     return run_stage
@@ -88,5 +93,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = new_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, sf_dir)
         docs = spark.read.parquet(path)
     return docs
