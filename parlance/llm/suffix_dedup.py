@@ -17,6 +17,7 @@ within its task, gives the hashes of its windows, which Spark counts like any ot
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,8 +34,11 @@ from parlance.llm.common import U64, keyed, map_docs, mix, powers, stored, texts
 GRAM = 64
 #: Bytes of text hashed at once, and contexts gathered before a task writes its runs.
 STRETCH, RUN_BYTES = 1 << 20, 24 << 20
-#: Anchors of a k-gram beyond which its contexts are split by window.
-HOT_ANCHORS = 4096
+#: Anchors of a k-gram beyond which its contexts are split by window: as many contexts, of 336 bytes at most, take about
+#: 22 MB, which a task can hold, and ten more for comparing them.
+HOT_ANCHORS = 1 << 16
+#: Rows of a frame that a task sends on.
+FRAME_ROWS = 4096
 
 
 def _gram_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -272,31 +276,30 @@ def _runs(length: int, buckets: int) -> Callable:
     (entry, least offset as anchor, windows; bucket -1 if the entry stands for several places, else -2).
     """
 
-    def flush(contexts: dict) -> Iterator[pd.DataFrame]:
-        run = uuid.uuid4().hex
+    def rows(contexts: dict) -> Iterator[tuple]:
+        """(doc_id, row_key, run, bucket, payload, entry, anchor, windows) of all runs of these contexts."""
+        name = uuid.uuid4().hex
         by_bucket: dict[int, list] = {}
         for (suffix, left, low), (bucket, places) in contexts.items():
             by_bucket.setdefault(bucket, []).append((suffix, left, low, places))
-        for first in range(0, len(hot := by_bucket.pop(HOT, [])), 2000):
-            part = hot[first : first + 2000]
-            flat = [(first + i, *p) for i, e in enumerate(part) for p in e[3]]
-            n, m = len(part), len(flat)
-            yield pd.DataFrame({
-                "doc_id": [*[None] * n, *(x[1] for x in flat)], "row_key": pd.array([*[None] * n, *(x[2] for x in flat)], dtype="Int64"), "run": [f"{run}-hot"] * (n + m),
-                "bucket": pd.array([*(-1 if len(e[3]) > 1 else -2 for e in part), *[None] * m], dtype="Int64"), "payload": [None] * (n + m),
-                "entry": pd.array([*range(first, first + n), *(x[0] for x in flat)], dtype="Int64"), "anchor": pd.array([*(e[2] for e in part), *(x[3] for x in flat)], dtype="Int64"),
-                "windows": [*(window_hashes(e[0], e[1], e[2], length) for e in part), *[None] * m],
-            })
         for bucket, entries in by_bucket.items():
-            entries.sort(key=lambda e: e[0])
-            payload = front_code([(s, left, low << 1 | (len(places) > 1)) for s, left, low, places in entries])
-            flat = [(i, *p) for i, e in enumerate(entries) for p in e[3]]
-            n = len(flat)
-            yield pd.DataFrame({
-                "doc_id": [None, *(x[1] for x in flat)], "row_key": pd.array([None, *(x[2] for x in flat)], dtype="Int64"), "run": [f"{run}-{bucket}"] * (n + 1),
-                "bucket": pd.array([bucket, *[None] * n], dtype="Int64"), "payload": [payload, *[None] * n],
-                "entry": pd.array([None, *(x[0] for x in flat)], dtype="Int64"), "anchor": pd.array([None, *(x[3] for x in flat)], dtype="Int64"), "windows": [None] * (n + 1),
-            })
+            run = f"{name}-{bucket}"
+            if bucket == HOT:
+                for i, (suffix, left, low, places) in enumerate(entries):
+                    yield None, None, run, -1 if len(places) > 1 else -2, None, i, low, window_hashes(suffix, left, low, length)
+            else:
+                entries.sort(key=lambda e: e[0])
+                yield None, None, run, bucket, front_code([(s, left, low << 1 | (len(places) > 1)) for s, left, low, places in entries]), None, None, None
+            for i, e in enumerate(entries):
+                for doc_id, key, at in e[3]:
+                    yield doc_id, key, run, None, None, i, at, None
+
+    def flush(contexts: dict) -> Iterator[pd.DataFrame]:
+        todo = rows(contexts)
+        while part := list(itertools.islice(todo, FRAME_ROWS)):
+            doc_id, key, run, bucket, payload, entry, anchor, windows = zip(*part, strict=True)
+            whole = lambda x: pd.array(x, dtype="Int64")
+            yield pd.DataFrame({"doc_id": doc_id, "row_key": whole(key), "run": run, "bucket": whole(bucket), "payload": payload, "entry": whole(entry), "anchor": whole(anchor), "windows": windows})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         contexts: dict = {}
