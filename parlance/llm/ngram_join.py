@@ -5,8 +5,8 @@ threshold differ in at most H n-grams, H following from their sizes; so if the n
 groups, two such rows agree on some whole group. More groups are dealt, so they agree on several, and a row needs only
 its rarest ones. Only rows that agree on such a group are multiplied; groups whose rows share their least row (by hash)
 make one block column together. Long block columns are cut into blocks of rows. First each block is multiplied with
-itself and with the column's hub; rows that this puts into the hub's component need no product with each other, so only
-the rows left over are multiplied with all blocks. A task accumulates overlap counts stripe by stripe over the n-grams,
+itself and with the column's hub; rows that this puts into the hub's component need no product with each other, so blocks are
+paired only where rows are left over. A task accumulates overlap counts stripe by stripe over the n-grams,
 and returns a spanning forest of the links it finds instead of all pairs. Components come from star contraction of
 these links.
 """
@@ -26,6 +26,9 @@ from parlance.llm.common import U64, chunks, keyed, map_docs, mix, prefix_hashes
 
 #: Rows of a block of a column, columns of a dense stripe.
 BLOCK_ROWS, STRIPE = 768, 4096
+#: Sides of a task: rows of one side are multiplied with those of the other, or with each other if there is but one; the
+#: hub is on the first side.
+HUB = 2
 #: Group signatures that a task gathers before it sends them on, and documents' classes of size (powers of 1.414).
 RUN_CELLS = 1 << 19
 PRUNING_ROUNDS = 3
@@ -222,7 +225,7 @@ def _agreeing_rows(least: list[int]) -> Callable:
         columns = ["doc_id", "row_key", "h", "a", "b", "side"]
 
         def done() -> list[tuple]:
-            return [rows[i] for i in np.flatnonzero(rows_in_agreement(groups, classes, [r[5] for r in rows], least)).tolist()] if len(rows) > 1 else []
+            return [rows[i] for i in np.flatnonzero(rows_in_agreement(groups, classes, [r[5] % 2 for r in rows], least)).tolist()] if len(rows) > 1 else []
 
         for batch in batches:
             out = []
@@ -296,28 +299,50 @@ def linked_pairs(sets: list[np.ndarray], sides: list[int], percent: int) -> list
     return forest
 
 
+def reached(forest: list[tuple[int, int]], start: int) -> set[int]:
+    """The rows that a forest connects with a row, itself included."""
+    near: dict[int, list[int]] = {}
+    for i, j in forest:
+        near.setdefault(i, []).append(j)
+        near.setdefault(j, []).append(i)
+    found, todo = {start}, [start]
+    while todo:
+        fresh = [j for j in near.get(todo.pop(), []) if j not in found]
+        found.update(fresh)
+        todo += fresh
+    return found
+
+
 def _products(percent: int) -> Callable:
-    """Walk a partition sorted by task; emit the links of each task."""
+    """Walk a partition sorted by task; emit the links (u, v) of each task, and the rows (h, row_key) linked with its hub."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, last, ids, sets, sides = None, None, [], [], []
+        task, last, rows, sets = None, None, [], []
 
-        def done() -> list[tuple[str, str]]:
-            return [(ids[i], ids[j]) for i, j in linked_pairs(sets, sides, percent)] if len(ids) > 1 else []
+        def done() -> list[tuple]:
+            if len(rows) < 2:
+                return []
+            forest = linked_pairs(sets, [side % 2 for *_, side in rows], percent)
+            out = [(rows[i][0], rows[j][0], None, None) for i, j in forest]
+            hub = next((i for i, r in enumerate(rows) if r[2] == HUB), None)
+            return out if hub is None else [*out, *((None, None, task[0], rows[i][1]) for i in reached(forest, hub))]
+
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            found = pd.DataFrame(out, columns=["u", "v", "h", "row_key"], dtype=object)
+            return found.assign(h=pd.array(found["h"].tolist(), dtype="Int64"), row_key=pd.array(found["row_key"].tolist(), dtype="Int64"))
 
         for batch in batches:
             out = []
             for h, a, b, side, doc_id, row_key, raw in zip(*(batch[c] for c in ("h", "a", "b", "side", "doc_id", "row_key", "shingles")), strict=True):
                 if (h, a, b) != task:
                     out += done()
-                    task, last, ids, sets, sides = (h, a, b), None, [], [], []
+                    task, last, rows, sets = (h, a, b), None, [], []
                 if (doc_id, row_key, side) != last:  # rows of a task come sorted by id, key and side; a repeated row counts once
                     last = doc_id, row_key, side
-                    ids.append(doc_id)
+                    rows.append(last)
                     sets.append(np.frombuffer(raw, dtype=np.uint64))
-                    sides.append(side)
-            yield pd.DataFrame(out, columns=["u", "v"], dtype=object)
-        yield pd.DataFrame(done(), columns=["u", "v"], dtype=object)
+            yield frame(out)
+        yield frame(done())
 
     return run
 
@@ -330,12 +355,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     u, v = F.col("u"), F.col("v")
     edges = stored(links.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "links")
-    before = None
+    one, none = F.lit(1), F.lit(0)
     while True:
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(state) == before or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = tuple(state)
+        # Done when every node points to one other that points nowhere.
+        ends = edges.select(u.alias("node"), one.alias("below"), none.alias("above")).unionByName(edges.select(v.alias("node"), none.alias("below"), one.alias("above")))
+        chained = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("above") == 1)))
+        if not chained.limit(1).count():
+            return edges.select(u.alias("node"), v.alias("component")).unionByName(edges.select(v.alias("node"), v.alias("component")).distinct())
         both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
@@ -397,25 +423,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         wanted = with_decisions(split_by(rows, kept)[0], kept, "inner").select("doc_id", "row_key", "text", "tasks")
         sets = map_docs(wanted, _full_sets(width), "row_key long, shingles binary, h long, a int, b int, side int")
         sets = sets.withColumn("doc_id", F.col("doc_id").cast("string")).repartition("h", "a", "b").sortWithinPartitions("h", "a", "b", "doc_id", "row_key", "side")
-        return sets.mapInPandas(_products(percent), "u string, v string").select(F.col("u").cast(id_type).alias("u"), F.col("v").cast(id_type).alias("v"))
+        return stored(sets.mapInPandas(_products(percent), "u string, v string, h long, row_key long"), "links-of-tasks")
+
+    def links_of(found: DataFrame) -> DataFrame:
+        return found.where(F.col("u").isNotNull()).select(F.col("u").cast(id_type).alias("u"), F.col("v").cast(id_type).alias("v"))
 
     part, none = F.col("own"), F.lit(0)
-    own = live.select("rep", "rep_key", "h", part.alias("a"), part.alias("b"), none.alias("side"))
+    tasks = live.select("rep", "rep_key", "h", part.alias("a"), part.alias("b"), none.alias("side"))
     long = columns.where(F.col("parts") > 1)
-    with_hub = long.select("first.rep", "first.rep_key", "h", F.explode(F.sequence(none, F.col("parts") - 1)).alias("a")).select("rep", "rep_key", "h", "a", F.col("a").alias("b"), none.alias("side"))
-    links = stored(products(own.unionByName(with_hub).distinct()), "block-links")
-    if long.limit(1).count():
-        nodes = connected_components(links)
-        label = lambda df: df.join(nodes, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-        of_hub = label(long.select("h", "first.rep")).select("h", F.col("component").alias("hub_component"))
+    if not long.limit(1).count():
+        links = links_of(products(tasks))
+    else:
+        with_hub = long.select("first.rep", "first.rep_key", "h", F.explode(F.sequence(none, F.col("parts") - 1)).alias("a")).select("rep", "rep_key", "h", "a", F.col("a").alias("b"), F.lit(HUB).alias("side"))
+        tasks = tasks.unionByName(with_hub).groupBy("rep", "rep_key", "h", "a", "b").agg(F.max("side").alias("side"))
+        found = products(tasks)
         members = live.where(F.col("parts") > 1)
-        over = label(members).join(of_hub, "h").where(F.col("component") != F.col("hub_component")).select("rep", "rep_key", "h", "parts")
-        over = stored(over, "rows-left-over")
-        counts = over.groupBy("h").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("over_parts"))
-        dealt = over.join(counts, "h").withColumn("a", F.pmod(F.xxhash64("rep_key"), F.col("over_parts")).cast("int"))
-        one = dealt.select("rep", "rep_key", "h", "a", F.explode(F.sequence(none, F.col("parts") - 1)).alias("b"), none.alias("side"))
-        two = members.join(counts, "h").select("rep", "rep_key", "h", F.explode(F.sequence(none, F.col("over_parts") - 1)).alias("a"), part.alias("b"), F.lit(1).alias("side"))
-        links = links.unionByName(products(one.unionByName(two)))
+        near_hub = found.where(F.col("row_key").isNotNull()).select("h", F.col("row_key").alias("rep_key")).distinct()
+        over = stored(members.join(near_hub, ["h", "rep_key"], "left_anti").select("rep", "rep_key", "h", "parts", "own"), "rows-left-over")
+        # Pairs of different blocks: a row left over goes to all of them, another only to blocks that have rows left over.
+        some = over.select("h", F.col("own").alias("other")).distinct()
+        one = over.select("rep", "rep_key", "h", "own", F.explode(F.sequence(none, F.col("parts") - 1)).alias("other"))
+        two = members.join(near_hub, ["h", "rep_key"], "left_semi").join(some, "h").select("rep", "rep_key", "h", "own", "other")
+        pairs = one.unionByName(two).where(F.col("own") != F.col("other"))
+        across = pairs.select("rep", "rep_key", "h", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        links = links_of(found).unionByName(links_of(products(across)))
     # An id whose rows differ links the classes of these rows.
     several = known.groupBy("doc_id").agg(F.min("class").alias("one"), F.max("class").alias("two")).where(F.col("one") != F.col("two")).select("doc_id")
     own = known.join(several, "doc_id", "left_semi").select("doc_id", "class").join(classes, "class")

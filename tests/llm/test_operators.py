@@ -29,7 +29,7 @@ def many(rows):
     return collections.Counter(tuple(map(str, r)) for r in rows)
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_ANCHORS, 2])
 def test_suffix_dedup(docs, hot):
     found = suffix_dedup.remove_repeats(docs, length=200, hot_anchors=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     want = [(i, *x) for (i, _), x in zip(pairs(), fx.repeats([t for _, t in pairs()], 200), strict=True)]
@@ -378,3 +378,21 @@ def test_empty_tables(spark):
         quality_model.score_quality(none, quality_model.train(none, outcomes)), url_reputation.judge_urls(spark.createDataFrame([], "page_id long, url string"), outcomes),
     ]
     assert [f.count() for f in frames] == [0] * 10
+
+
+def test_connected_components(spark):
+    r = np.random.default_rng(1)
+    links = [(k, k + 1) for k in range(50)] + [(100, 90), (90, 95), (7, 7)] + [(int(a), int(b)) for a, b in r.integers(200, 400, (150, 2))]
+    parent = {x: x for e in links for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    found = ngram_join.connected_components(spark.createDataFrame(links, "u long, v long")).collect()
+    want = {x: root(x) for x in parent if any(a != b and x in (a, b) for a, b in links)}
+    assert len(found) == len(want) and {x["node"]: x["component"] for x in found} == want
