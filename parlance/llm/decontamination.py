@@ -159,7 +159,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     widths = sorted(counts)
     extended = "row_key long, n_words long, hits array<struct<first:long,width:int,words:binary>>"
     if sum(counts.values()) <= most_prints:
-        few = np.sort(np.array([r["print"] for r in prints.select("print").collect()], dtype=np.int64).view(U64))
+        few = np.sort(prints.select("print").toArrow().column("print").to_numpy().astype(np.int64).view(U64))
         found = map_docs(rows, _extended(widths, spark.sparkContext.broadcast(few)), extended)
     else:
         each = map_docs(rows, _document_prints(widths), "row_key long, prints array<long>").select("row_key", "doc_id", F.explode("prints").alias("print"))
