@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontamination, language_id, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, suffix_dedup, url_reputation
+from parlance.llm import decontamination, exact_dedup, filter_audit, language_id, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, suffix_dedup, token_alignment, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,19 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_language_id, op4_ngram_join, op5_decontamination, op6_line_dedup, op7_packing, op8_url_reputation, op9_pii, op10_quality_model)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup_exact(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_language_id, op4_ngram_join, op5_decontamination, op6_line_dedup, op7_packing, op8_url_reputation, op9_pii, op10_quality_model, op11_token_alignment, op12_exact_dedup, op13_filter_audit)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -163,6 +175,25 @@ r AS (SELECT page_id, host, path, CASE
 SELECT page_id, coalesce(r.host, '') AS host, coalesce(path, '') AS path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN b.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM r LEFT JOIN b ON b.host = r.host
+""",
+    "op12_exact_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER} AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY t),
+k AS (SELECT t, min(r) AS r FROM (SELECT t, r, rank() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) AS place FROM d) WHERE place = 1 GROUP BY t)
+SELECT doc_id, keep_id, group_size, d.r = k.r AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g USING (t) JOIN k USING (t)
+""",
+    "op13_filter_audit": rf"""
+WITH RECURSIVE l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+   coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f FROM d LEFT JOIN l USING (doc_id)),
+o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM o, unnest(string_split('ABCDE', '')) AS u(x) WHERE instr(filter_order, x) = 0),
+s AS (SELECT filter_order, step::INT AS step, instr('ABCDE', filter_order[step]) AS own, list_transform(string_split(filter_order[1:step-1], ''), lambda x: instr('ABCDE', x)) AS past
+  FROM o, unnest(range(1, 6)) AS u(step) WHERE length(filter_order) = 5),
+x AS (SELECT part, filter_order, step, own, f[own] AS fails, step > 1 AND list_bool_or(list_transform(list_filter(past, lambda i: i > 0), lambda i: f[i])) AS gone, list_count(list_filter(f, lambda v: v)) AS k, good, toxic FROM m, s),
+r AS (SELECT part, filter_order, step, own, count(*) FILTER (WHERE NOT fails AND NOT gone) AS kept, count(*) FILTER (WHERE fails AND NOT gone) AS removed, count(*) FILTER (WHERE fails AND gone) AS redundant,
+  count(*) FILTER (WHERE fails AND k = 1) AS unique_fails, count(*) FILTER (WHERE fails AND NOT gone AND good) AS good_lost, count(*) FILTER (WHERE fails AND NOT gone AND toxic) AS toxic_lost FROM x GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
 """,
 }
-
