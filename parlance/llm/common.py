@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space: space and U+0009 to U+000D.
@@ -129,22 +129,37 @@ def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return surely_not.unionByName(maybe.join(keys.select(key), key, "left_anti"))
 
 
+#: Rows of a stratum that a sample may hold, so that each task hands on no more than that of a stratum.
+MOST_SAMPLED = 1000
+
+
 def bounded_sample(df: DataFrame, bound: int, key: Column, strata: str | None = None) -> DataFrame:
-    """About ``bound`` rows (of each stratum, if one is named), the same ones on every run.
+    """``bound`` rows (of each stratum, if one is named; at most ``MOST_SAMPLED`` then), or all if there are fewer.
 
-    Rows are taken by a hash of ``key`` below a threshold set from a full count, so the draw is spread over the
-    whole table; tables within the bound are taken whole.
+    The rows of the least 63-bit hashes of ``key`` are taken, so the draw is spread over the whole table, is the same on
+    every run, and never empty for a stratum that has rows. Rows with equal keys are interchangeable: as many of them are
+    taken as there is room for. The key should therefore tell apart all rows that differ in what is learnt from them.
     """
-    spread = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_003))
+    if strata is not None and bound > MOST_SAMPLED:
+        raise ValueError(f"{MOST_SAMPLED} rows of a stratum at most")
+    # Hashes by their number of leading zeros: with one zero more there are half as many, whatever the table's size.
+    place = F.xxhash64(key, F.lit("sample")).bitwiseAND(F.lit((1 << 63) - 1))
+    zeros = F.when(F.col("_place") == 0, 63).otherwise(62 - F.floor(F.log2(F.col("_place").cast("double")))).cast("int")
+    rows = df.withColumn("_place", place)
+    stratum = F.lit(0) if strata is None else F.col(strata)
+    levels = rows.groupBy(stratum.alias("_stratum"), zeros.alias("_zeros")).count()
+    from_top = Window.partitionBy("_stratum").orderBy(F.desc("_zeros"))  # 64 rows of a stratum
+    enough = levels.withColumn("_sum", F.sum("count").over(from_top)).where(F.col("_sum") >= bound)
+    limits = levels.groupBy("_stratum").agg(F.min("_zeros").alias("_least")).join(enough.groupBy("_stratum").agg(F.max("_zeros").alias("_most")), "_stratum", "left")
     if strata is None:
-        n = df.count()
-        return df if n <= bound else df.where(spread < int(1_000_003 * bound / n))
-    counts = df.groupBy(strata).count()
-    share = F.least(F.lit(1.0), F.lit(float(bound)) / F.col("count"))
-    limits = counts.select(F.col(strata).alias("_stratum"), (share * 1_000_003).cast("long").alias("_limit"))
+        limit = limits.agg(F.max(F.coalesce("_most", "_least"))).first()[0]
+        near = rows.where(zeros >= (limit or 0))  # about the bound to twice as many, but for rows with equal keys
+        return near.orderBy("_place").limit(bound).drop("_place")
+    limits = limits.select(F.col("_stratum"), F.coalesce("_most", "_least").alias("_limit"))
     few = limits.limit(MOST_STRATA + 1).count() <= MOST_STRATA
-    joined = df.join(F.broadcast(limits) if few else limits, F.col(strata).eqNullSafe(F.col("_stratum")))
-    return joined.where(spread < F.col("_limit")).drop("_stratum", "_limit")
+    near = rows.join(F.broadcast(limits) if few else limits, F.col(strata).eqNullSafe(F.col("_stratum"))).where(zeros >= F.col("_limit"))
+    first = F.row_number().over(Window.partitionBy("_stratum").orderBy("_place"))
+    return near.withColumn("_first", first).where(F.col("_first") <= bound).drop("_stratum", "_limit", "_place", "_first")
 
 
 def chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:

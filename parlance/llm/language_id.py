@@ -173,7 +173,7 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Learn from about ``rows`` labelled rows of each language, up to ``chars`` letters; null labels or texts teach nothing.
+    """Learn from ``rows`` labelled rows of each language, up to ``chars`` letters; null labels or texts teach nothing.
 
     Repeated rows teach again, within the bound. A table without labelled rows gives a model that knows no language. Extra
     columns are ignored.
@@ -182,11 +182,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     transitions of twelve bytes for letters without a column.
     """
     known = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = bounded_sample(known, rows, F.col("doc_id"), "lang")
+    sample = bounded_sample(known, rows, F.struct("doc_id", "text"), "lang").withColumn("place", F.xxhash64("doc_id", "text"))
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         out, size = [], 0
-        for text in pdf.sort_values("doc_id")["text"]:
+        for text in pdf.sort_values(["place", "text"])["text"]:
             out.append(letters_of(text)[: chars - size])
             size += len(out[-1]) + 1
             if size >= chars:

@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import U64, chunks, keyed, map_docs, mix, prefix_hashes, span_hashes, split_by, stored, texts_of, with_decisions, words_of
+from parlance.llm.common import U64, chunks, keyed, map_docs, mix, prefix_hashes, span_hashes, split_by, stored, texts_of, with_decisions
 
-#: Rows of a block of a column, columns of a dense stripe.
-BLOCK_ROWS, STRIPE = 768, 4096
+#: Rows of a block of a column and bytes of their sets, both at most; columns of a dense stripe.
+BLOCK_ROWS, BLOCK_BYTES, STRIPE = 768, 32 << 20, 4096
+#: Words, and letters of a word, that a worker remembers the hash of.
+MEMO_WORDS, MEMO_BYTES = 200_000, 24
 #: Sides of a task: rows of one side are multiplied with those of the other, or with each other if there is but one; the
 #: hub is on the first side.
 HUB = 2
@@ -34,15 +36,27 @@ RUN_CELLS = 1 << 19
 PRUNING_ROUNDS = 3
 SIZE_BOUNDS = sorted({int(2 ** (k / 2)) for k in range(80)})
 
-_CLASS = np.zeros(256, dtype=np.uint16)
-for _b in range(256):
-    if not (_b == 0x20 or 0x09 <= _b <= 0x0D):
-        _CLASS[_b] = 1 + (_b + 32 if 0x41 <= _b <= 0x5A else _b)
+
+class _WordHashes(dict):
+    """Hash of a word by its bytes; xxh3 has no words that collide whatever the seed, as polynomials have."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_hashes = _WordHashes()
 
 
 def shingle_sets(raws: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than ``width`` make one shingle, none make none."""
-    hashes, bounds = words_of(raws, _CLASS)
+    words = [raw.lower().split() for raw in raws]  # of bytes: A-Z and the ASCII white space only
+    bounds = np.cumsum([0, *map(len, words)])
+    hashes = np.fromiter((_hashes[w] for own in words for w in own), dtype=U64, count=int(bounds[-1]))
     prefix = prefix_hashes(hashes)
     at = np.arange(max(0, len(hashes) - width + 1))
     grams = span_hashes(prefix, at, at + width)
@@ -89,15 +103,16 @@ def group_signatures(values: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _class_key(values: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(values.tobytes())
+def _class_key(values: np.ndarray) -> bytes:
+    """Name of a set of shingles, of 128 bits, so that no two sets of any corpus share one."""
+    return xxhash.xxh3_128_digest(values.tobytes())
 
 
 def _rows(width: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [s for _, _, raws in chunks(texts_of(batch)) for s in shingle_sets(raws, width)]
-            keys = np.array([_class_key(s) for s in sets], dtype=U64).view(np.int64)
+            keys = [_class_key(s) for s in sets]
             yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "n": [len(s) for s in sets], "size_class": [bisect.bisect_right(SIZE_BOUNDS, len(s)) - 1 for s in sets], "class": keys})
 
     return run
@@ -107,11 +122,11 @@ def _signature_runs(width: int, percent: int, buckets: int) -> Callable:
     """Sorted runs of (signature, class) by bucket of signatures, packed; equal rows of a task count once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[bytes, np.ndarray] = {}
         size = 0
 
         def flush() -> pd.DataFrame:
-            keys = np.fromiter(held.keys(), dtype=U64, count=len(held))
+            keys = np.frombuffer(b"".join(held), dtype=U64).reshape(-1, 2)
             cells = np.concatenate(list(held.values())) if held else np.zeros(0, dtype=U64)
             index = np.repeat(np.arange(len(keys)), [len(v) for v in held.values()]).astype(np.int64)
             order = np.argsort(cells, kind="stable")
@@ -145,14 +160,14 @@ def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def live(rows: list) -> pd.DataFrame:
         cells = np.concatenate([np.frombuffer(r[0], "<u4").astype(U64) | np.frombuffer(r[1], "<u2").astype(U64) << U64(32) for r in rows])
-        classes = np.concatenate([np.frombuffer(r[3], U64)[np.frombuffer(r[2], "<u4")] for r in rows])
-        order = np.lexsort((classes, cells))
+        classes = np.concatenate([np.frombuffer(r[3], U64).reshape(-1, 2)[np.frombuffer(r[2], "<u4")] for r in rows])
+        order = np.lexsort((classes[:, 1], classes[:, 0], cells))
         cells, classes = cells[order], classes[order]
-        new = np.concatenate([[True], (cells[1:] != cells[:-1]) | (classes[1:] != classes[:-1])])
+        new = np.concatenate([[True], (cells[1:] != cells[:-1]) | (classes[1:] != classes[:-1]).any(axis=1)])
         cells, classes = cells[new], classes[new]
         same = cells[1:] == cells[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pd.DataFrame({"h": cells[keep].view(np.int64), "class": classes[keep].view(np.int64)})
+        return pd.DataFrame({"h": cells[keep].view(np.int64), "class": [c.tobytes() for c in classes[keep]]})
 
     bucket, held = None, []
     for batch in batches:
@@ -382,14 +397,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = keyed(docs, id_col, text_col)
     if not 50 < percent <= 100:
         raise ValueError("percent has to be 51 to 100")
-    matrix = stored(map_docs(rows, _rows(width), "row_key long, n long, size_class int, class long"), "shingle-rows")
+    matrix = stored(map_docs(rows, _rows(width), "row_key long, n long, size_class int, class binary"), "shingle-rows")
     id_type = rows.schema["doc_id"].dataType
     known = matrix.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = known.groupBy("class").agg(F.min(F.struct("doc_id", "row_key", "size_class")).alias("best"))
     classes = stored(classes.select("class", F.col("best.doc_id").alias("rep"), F.col("best.row_key").alias("rep_key"), F.col("best.size_class").alias("size_class")), "shingle-classes")
     buckets = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = rows.where(F.col("doc_id").isNotNull()).select("text").mapInPandas(_signature_runs(width, percent, buckets), "bucket long, low binary, high binary, place binary, classes binary")
-    live = runs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_agreeing, "h long, class long")
+    live = runs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_agreeing, "h long, class binary")
     cells = stored(stored(live, "agreeing").join(classes, "class").select("rep", "rep_key", "h", "size_class"), "agreeing-rows")
     # A row that is linked agrees with its partner on several groups; rows short of that leave, and what only they held.
     agreeing = [agreeing_groups(k, percent) for k in range(len(SIZE_BOUNDS) - 1)]
@@ -404,12 +419,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # order for all, the rarest group that they agree on stays.
     order = Window.partitionBy("rep_key", "k").orderBy(F.desc("m"), "h")
     rarest = cells.withColumn("k", size_class).withColumn("place", F.row_number().over(order)).where(F.col("place") >= F.get(least, F.col("k")))
-    rarest = stored(rarest.select("rep", "rep_key", "h"), "rarest-groups")
+    rarest = stored(rarest.select("rep", "rep_key", "h", "size_class"), "rarest-groups")
     # Groups whose rows have the same hub (their least row by hash) become one block column: near copies share few hubs.
     hubs = stored(rarest.groupBy("h").agg(F.min(F.xxhash64("rep_key", F.lit(1))).alias("hub")), "hubs")
-    live = stored(rarest.join(hubs, "h").select("rep", "rep_key", F.col("hub").alias("h")).distinct(), "live-cells")
-    columns = live.groupBy("h").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "rep_key"), F.xxhash64("rep_key", F.lit(1))).alias("first")).where(F.col("m") > 1)
-    columns = stored(columns.withColumn("parts", F.ceil(F.col("m") / block_rows).cast("int")), "columns")
+    live = stored(rarest.join(hubs, "h").select("rep", "rep_key", "size_class", F.col("hub").alias("h")).distinct(), "live-cells")
+    most = F.get(F.array(*(F.lit(8.0 * n) for n in SIZE_BOUNDS)), F.col("size_class") + 1)  # bytes of a row's set, at most
+    columns = live.groupBy("h").agg(F.count("*").alias("m"), F.sum(most).alias("bytes"), F.min_by(F.struct("rep", "rep_key"), F.xxhash64("rep_key", F.lit(1))).alias("first")).where(F.col("m") > 1)
+    columns = stored(columns.withColumn("parts", F.ceil(F.greatest(F.col("m") / block_rows, F.col("bytes") / BLOCK_BYTES)).cast("int")), "columns")
     live = live.join(columns.select("h", "parts"), "h").withColumn("own", F.pmod(F.xxhash64("rep_key"), F.col("parts")).cast("int"))
     # The groups, far smaller than the sets, are multiplied before the sets; rows without a partner that agrees on enough leave.
     held = cells.groupBy("rep_key").agg(F.first("size_class").alias("size_class"), F.collect_list("h").alias("groups"))

@@ -158,13 +158,13 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Fit on about ``rows`` labelled rows at most, drawn over all labels; null labels or ids teach nothing.
+    """Fit on ``rows`` labelled rows at most, drawn over all labels; null labels or ids teach nothing.
 
     Of several labels of an id the largest counts; each document of that id teaches it. Labels without a document, and
     documents without a label, are left out. Without any, every score is one half. Extra columns are ignored.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    drawn = bounded_sample(known, rows, F.col("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label"))
+    drawn = bounded_sample(known, rows, F.struct("doc_id", "label")).groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = map_docs(texts.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi"), _features, "features array<double>")
     data = found.join(drawn, "doc_id").orderBy("doc_id").select("features", "label").toPandas()  # bounded by rows

@@ -123,7 +123,7 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_R
     one named first. An empty sample keeps the order given.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = stored(bounded_sample(rows, sample_rows, F.col("doc_id")), "rule-sample")
+    sample = stored(bounded_sample(rows, sample_rows, F.struct("doc_id", "text")), "rule-sample")
     flags = text_statistics(sample).select(*(F.coalesce(r.rejects(), F.lit(False)).alias(r.name) for r in rules))
     patterns = [r.asDict() for r in flags.groupBy(*(r.name for r in rules)).count().collect()]  # 2**rules rows at most
     if not patterns:
