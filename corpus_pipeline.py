@@ -23,8 +23,10 @@ def _text_id(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without any letter; ``lang`` becomes the prediction."""
+    """Reject documents without any letter; ``lang`` becomes the prediction. Documents of which none has a label are refused."""
     model = language_id.train(docs)
+    if not model.names and not docs.isEmpty():
+        raise ValueError("no document has a language to learn from")
     found = docs.withColumn("_found", language_id.language_column(spark, model)(F.col("text")))
     kept = found.where(F.col("_found.lang_pred") != "und").withColumn("lang", F.col("_found.lang_pred"))
     return kept.select(*docs.columns)
