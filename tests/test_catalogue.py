@@ -7,9 +7,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from parlance.plans.catalogue import ORACLES, QUERIES
+from parlance.plans import catalogue, pages
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalogue.QUERIES | pages.QUERIES, catalogue.ORACLES | pages.ORACLES
 
 
 def rows_of(frame):
