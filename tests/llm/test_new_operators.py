@@ -210,15 +210,13 @@ def test_alignment_of_documents(docs):
     assert collected(token_alignment.align_tokens(docs, *(tokenizer_path(p) for p in PATHS))) == alignment_twin(rows)
 
 
-def test_alignment_of_long_texts_and_a_small_memo(spark, monkeypatch):
+def test_alignment_of_long_texts_in_small_portions(spark, monkeypatch):
+    monkeypatch.setattr(token_alignment, "AT_ONCE", 1000)
     monkeypatch.setattr(token_alignment, "MEMO_PIECES", 5)
-    monkeypatch.setattr(token_alignment, "STRETCH", 40)
     monkeypatch.setattr(token_alignment, "HANDED_ON", 30)
-    aligner = token_alignment.Aligner(*(tokenizer_path(p) for p in PATHS))
-    for text in ("1 2 " * 3000, "word " * 3000, "x" * 20_000, "\n" * 5000, " ".join(map(str, range(2000)))):
-        pieces = aligner.pieces(text)
-        a, b = tokens_of(text)
-        assert (sum(p.n_a for p in pieces), sum(p.n_b for p in pieces)) == (len(a), len(b))
+    rows = list(enumerate(["1 2 " * 400, "word " * 400, "x" * 20_000, "\n" * 800, " ".join(map(str, range(400)))]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(token_alignment.align_tokens(frame, *(tokenizer_path(p) for p in PATHS))) == alignment_twin(rows)
 
 
 def test_alignment_of_nothing(spark):
