@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import data_url_bytes, image_extension, json_array, json_object, json_string
 from parlance.operators.rendering import export_json, export_markdown
+from parlance.operators.sanitising import page_snapshots
 from parlance.schema import SCHEMA_VERSION
 
 # Fixed value: the warning that goes with an unredacted page.
@@ -54,7 +55,7 @@ def evidence_files(messages: DataFrame, conversations: DataFrame, version: str,
     """``conv_id, seq, name, data, artifact_id, mime_type``: transcript, JSON, images and, where asked for, the page.
 
     ``originals`` has ``conv_id, include_original, html_snapshot, screenshot``; only rows that opt in give files, and
-    only of what they hold.
+    only of what they hold. Pages are sanitised: nothing hidden or executable is written.
     """
     shown = with_image_files(messages)
     out = image_files(messages)
@@ -62,7 +63,8 @@ def evidence_files(messages: DataFrame, conversations: DataFrame, version: str,
         out = out.unionByName(_file(render(shown, conversations, version), group, name, F.encode("content", "UTF-8")))
     if originals is not None:
         asked = originals.where(F.col("include_original"))
-        out = out.unionByName(_file(asked.where(F.col("html_snapshot") != ""), 20, "snapshot.html", F.encode("html_snapshot", "UTF-8")))
+        pages = page_snapshots(asked.where(F.col("html_snapshot") != ""), "conv_id", "html_snapshot").withColumnRenamed("page_id", "conv_id")
+        out = out.unionByName(_file(pages, 20, "snapshot.html", F.encode("html", "UTF-8")))
         out = out.unionByName(_file(asked.where(F.length("screenshot") > 0), 21, "visible-screenshot.png", F.col("screenshot")))
     return out
 

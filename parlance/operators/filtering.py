@@ -22,12 +22,12 @@ def interim_flag() -> Column:
 
 def apply_export_options(messages: DataFrame, options: ExportOptions = ExportOptions()) -> DataFrame:
     """Images, redaction, empty messages, metadata, interim replies, in this order."""
-    content = F.col("content")
+    out = messages
     if not options.images:
-        content = F.filter(content, lambda b: b["type"] != "image")
+        out = out.withColumn("content", F.filter("content", lambda b: b["type"] != "image"))
+    out = out.where(F.size("content") > 0)  # redaction drops no block, so it needn't run for this
     if options.redact_secrets:
-        content = F.transform(content, redact_block)
-    out = messages.withColumn("content", content).where(F.size("content") > 0)
+        out = out.withColumn("content", F.transform("content", redact_block))
     if not options.metadata:
         out = out.withColumn("metadata", F.lit(None).cast(messages.schema["metadata"].dataType))
     if not options.collapse_intermediate:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators import elements
+from parlance.operators import archive, elements, sanitising
 from parlance.sources.conversations import read_table
 from parlance.sources.pages import page_nodes
 
@@ -67,6 +67,21 @@ def link_tables(spark, sf_dir):
     return elements.table_markdown(_nodes(spark, sf_dir, table)).select("page_id", "n_rows", "width", "markdown")
 
 
+def page_snapshots(spark, sf_dir):
+    """All pages without scripts and what is hidden; the boxes of every second page are."""
+    hidden = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit('<div class="ad">'), F.lit('<div style="color:red; display: none">'))).otherwise(F.col("html"))
+    return sanitising.page_snapshots(_pages(spark, sf_dir).select("page_id", hidden.alias("html"))).select("page_id", F.md5("html").alias("html_md5"))
+
+
+def evidence_archives(spark, sf_dir):
+    """Archives of two files of each page, its address and its source: size, beginning and end record."""
+    pages = _pages(spark, sf_dir)
+    file = F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("url.txt").alias("name"), F.encode("url", "UTF-8").alias("data")), F.struct(F.lit(2).alias("seq"), F.lit("seite-ä.html").alias("name"), F.encode("html", "UTF-8").alias("data"))))
+    found = archive.archives(pages.select(F.col("page_id").alias("conv_id"), file.alias("f")).select("conv_id", "f.*"))
+    size = F.octet_length("archive")
+    return found.select("conv_id", "filename", size.alias("n_bytes"), F.hex(F.substring("archive", 1, 14)).alias("head"), F.hex(F.substring(F.col("archive"), size - 21, F.lit(22))).alias("tail"))
+
+
 # A stack machine over tokens: what is open by tag and position, popped by closing tags and by blocks that end a paragraph.
 _PATTERN = r"(?is)<!--.*?-->|<!\w[^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|</?[a-z][^>]*>|[^<]+"
 _BLOCK = "('article','div','footer','h1','li','nav','p','ul','body','html')"
@@ -107,7 +122,7 @@ _CELLS = """replace(replace(replace(replace(html, '<nav><ul>', '<nav><table>'),
 _LI = r"list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav><ul>(.*?)</ul></nav>', 1), '(?s)<li>(.*?)</li>', 1), lambda x: {})"
 _DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
-QUERIES = {f.__name__: f for f in (page_elements, innermost_elements, outermost_elements, chat_roots, likely_messages, document_segments, nested_list_items, link_tables)}
+QUERIES = {f.__name__: f for f in (page_elements, innermost_elements, outermost_elements, chat_roots, likely_messages, document_segments, nested_list_items, link_tables, page_snapshots, evidence_archives)}
 
 ORACLES = {
     "page_elements": rf"""{_TREE} SELECT page_id, start, stop, depth, coalesce(parent, -1) AS parent, tag, CASE WHEN tag = '#text' THEN '' ELSE regexp_extract(t, 'class="([^"]*)"', 1) END AS class,
@@ -135,4 +150,15 @@ ORACLES = {
     "link_tables": rf"""WITH l AS (SELECT page_id, {_LI.format("x")} AS l FROM pages), i AS (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS k FROM l),
         s AS (SELECT page_id, k, '| ' || replace({_DECODED.format("regexp_extract(t, '>([^<]*)<', 1)")}, '|', '\|') || ' | a \| b |' AS t FROM i)
         SELECT page_id, count(*)::INT AS n_rows, 2 AS width, string_agg(CASE WHEN k = 1 THEN t || chr(10) || '| --- | --- |' ELSE t END, chr(10) ORDER BY k) AS markdown FROM s GROUP BY 1""",
+    "page_snapshots": rf"""{_TREE}, g AS (SELECT * FROM n WHERE tag IN ('head', 'script', 'style', 'title') OR (page_id % 2 = 0 AND t LIKE '<div class="ad"%')),
+        k AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.page_id = n.page_id AND g.start <= n.start AND g.stop >= n.stop) AND EXISTS (SELECT 1 FROM n AS b WHERE b.page_id = n.page_id AND b.tag = 'body' AND b.start < n.start AND b.stop >= n.stop)),
+        e AS (SELECT page_id, start AS pos, 1 AS starts, 0 AS deep, CASE WHEN tag = '#text' THEN replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') ELSE t END AS s FROM k
+          UNION ALL SELECT page_id, stop, 0, -start, '</' || tag || '>' FROM k WHERE tag NOT IN ('#text', 'br')),
+        b AS (SELECT page_id, string_agg(s, '' ORDER BY pos, starts, deep) AS body FROM e GROUP BY 1), h AS (SELECT w.page_id, content AS title FROM w WHERE tag = 'title')
+        SELECT p.page_id, md5('<!doctype html>' || chr(10) || '<html><head><meta charset="utf-8">' || chr(10) || '<meta http-equiv="Content-Security-Policy" content="default-src ''none''; img-src data:; base-uri ''none''; form-action ''none''">' || chr(10) || '<title>' ||
+          replace(replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#039;') || '</title></head><body>' || coalesce(body, '') || '</body></html>') AS html_md5
+        FROM pages AS p LEFT JOIN b USING (page_id) LEFT JOIN h USING (page_id)""",
+    "evidence_archives": """WITH s AS (SELECT page_id, 30 + 7 + octet_length(encode(url)) + 30 + 13 + octet_length(encode(html)) AS at FROM pages), x AS (SELECT *, lpad(hex(at), 8, '0') AS h FROM s)
+        SELECT page_id AS conv_id, 'conversation-evidence.zip' AS filename, (at + 112 + 22)::INT AS n_bytes, '504B03041400000000000000' || '0000' AS head,
+          '504B0506000000000200020070000000' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '0000' AS tail FROM x""",
 }
