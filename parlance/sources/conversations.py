@@ -17,13 +17,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table, as the optimiser estimates them, up to which it is dealt over all cores.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(table: DataFrame) -> DataFrame:
-    """The table over all cores, if its files have fewer parts than that; larger tables stay as they are, unmoved.
+    """A small table over all cores; larger ones, whose files have parts enough, stay as they are, unmoved.
 
     For costly work row by row: a small table in one row group would keep one core busy and all others idle.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else table
 
 
 def _metadata(index: Column, text: Column) -> Column:
