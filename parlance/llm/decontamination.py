@@ -168,8 +168,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     found = stored(found, "extended-hits")
     hits = found.where(F.size("hits") > 0).dropDuplicates(["row_key", "doc_id"]).select("row_key", "doc_id", F.explode("hits").alias("hit"))
     hits = hits.select("row_key", "doc_id", F.col("hit.first").alias("first"), F.col("hit.width").alias("width"), F.col("hit.words").alias("words"))
-    met = hits.join(windows.select("words", "item_id").distinct(), "words")
-    per_row = met.groupBy("row_key", "doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "width"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    # Places need to know that some item has their words, items that some place has: the two are never multiplied.
+    met = hits.join(windows.select("words").distinct(), "words", "left_semi")
+    spans = met.groupBy("row_key", "doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "width"))).alias("spans"))
+    named = hits.select("row_key", "doc_id", "words").distinct().join(windows.select("words", "item_id").distinct(), "words")
+    items = named.groupBy("row_key", "doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    per_row = with_decisions(spans, items).select("row_key", "doc_id", "spans", "items")
     none = F.array().cast("array<string>")
     out = with_decisions(found.select("row_key", "doc_id", "n_words"), per_row).withColumn("items", F.coalesce("items", none))
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))

@@ -5,8 +5,9 @@ merge-anti-joined with the runs: keys that the runs know as common are dropped,
 carry the count on, unseen keys start anew. What is left becomes a sorted run of its own. Runs live in levels; when a
 level holds ``fanout`` runs they are compacted into one run of the next level.
 
-All runs, and the batches' counts, are dealt by one hash of the key into the same buckets when they are written, so
-neither anti-joins nor compactions move a row: only the first aggregation by key has an exchange, after partial sums.
+All runs are dealt by one hash of the key into the same buckets when they are written, so neither anti-joins nor
+compactions move a row: only a batch's own counts have an exchange, after partial sums. A later batch, added to the same
+runs, costs its own rows and a pass over the runs.
 """
 
 from __future__ import annotations
@@ -87,6 +88,11 @@ class LineRuns:
         """Add a batch: (key, n), no key twice."""
         self._store(self.not_common(batch), 0)
 
+    def add_lines(self, keys: DataFrame) -> None:
+        """Add the documents of a batch, as (keys): each counts once for each of its keys."""
+        each = keys.select(F.explode(F.array_distinct("keys")).alias("key")).where(F.length("key") > 0)
+        self.add(each.groupBy("key").agg(F.count("*").alias("n")))
+
     def common_keys(self) -> DataFrame:
         """The keys of ``min_docs`` documents or more; each stands in one run only, as it got no entry after that."""
         none = self.spark.createDataFrame([], "key binary")
@@ -136,37 +142,38 @@ def _kept_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def common_lines(keys: DataFrame, min_docs: int, batches: int, fanout: int = 4) -> DataFrame:
-    """The keys of at least ``min_docs`` rows of (row_key, keys), by way of the runs."""
-    spark = keys.sparkSession
-    runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), min_docs, fanout)
-    each = keys.select(F.pmod("row_key", F.lit(batches)).alias("batch"), F.explode(F.array_distinct("keys")).alias("key")).where(F.length("key") > 0)
-    # One row for each key, with its documents in every batch: dealt into buckets once, read by columns.
-    counts = each.groupBy("key").agg(*(F.count_if(F.col("batch") == b).alias(f"n{b}") for b in range(batches)))
-    counts = spark.table(runs.bucketed(counts, "line-counts"))
-    for b in range(batches):
-        runs.add(counts.where(F.col(f"n{b}") > 0).select("key", F.col(f"n{b}").alias("n")))
-    # Stored, so that both sides of the later join are plain exchanges and a very common line can be split.
-    out = stored(runs.common_keys(), "common-lines")
-    runs.forget()
-    return out
+def stored_keys(rows: DataFrame, min_chars: int, batches: int) -> DataFrame:
+    """Line keys in the shared folder, with the ``batch`` of their document; each batch is a folder of its own."""
+    path = new_path(rows.sparkSession, "line-keys")
+    keys = line_keys(rows.select("doc_id", "text", "row_key"), min_chars).withColumn("batch", F.pmod("row_key", F.lit(batches)).cast("int"))
+    keys.write.partitionBy("batch").parquet(path)
+    hold(path)
+    return rows.sparkSession.read.schema(keys.schema).parquet(path)
 
 
-def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int | None = None, carry: tuple[str, ...] = (), runs: LineRuns | None = None) -> DataFrame:
     """Drop every line whose key stands in at least ``min_docs`` documents: ``doc_id, text, n_lines, n_dropped, sha``.
 
     Keys of fewer than ``min_chars`` code points (1 at least) never count. The text of a null or empty document is one
     empty line, kept. A repeated row counts as a document of its own. Extra columns are ignored; no rows give no rows.
     The documents come in ``batches`` parts, by default as many as their number asks for; neither their number nor the
-    order of batches changes the result. Columns named in ``carry`` come along as ``_0, _1, ...``.
+    order of batches changes the result. With ``runs``, the documents are added to those that the runs have counted before,
+    and judged by all of them (``min_docs`` is that of the runs then); the runs stay for later tables. Columns named in ``carry`` come along as ``_0, _1, ...``.
     """
     if min_chars < 1 or min_docs < 1:
         raise ValueError("min_chars and min_docs are 1 at least")
     rows = keyed(docs, id_col, text_col, carry)
-    keys = stored(line_keys(rows.select("doc_id", "text", "row_key"), min_chars), "line-keys")
     if batches is None:
-        batches = min(MOST_BATCHES, max(LEAST_BATCHES, math.ceil(keys.count() / BATCH_DOCS)))
-    common = common_lines(keys, min_docs, batches)
+        batches = min(MOST_BATCHES, max(LEAST_BATCHES, math.ceil(rows.count() / BATCH_DOCS)))
+    keys = stored_keys(rows, min_chars, batches)
+    spark = docs.sparkSession
+    known = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), min_docs) if runs is None else runs
+    for b in range(batches):
+        known.add_lines(keys.where(F.col("batch") == b))
+    # Stored, so that both sides of the later join are plain exchanges and a very common line can be split.
+    common = stored(known.common_keys(), "common-lines")
+    if runs is None:
+        known.forget()
     lines = keys.select("row_key", "doc_id", F.posexplode("keys").alias("line", "key")).where(F.length("key") > 0)
     gone = stored(lines.join(common, "key", "left_semi").groupBy("row_key", "doc_id").agg(F.collect_set("line").alias("gone")), "common-places")
     # Only texts that may have a common line move; the others are judged where they lie.

@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import BLANKS, bounded_sample, stored
+from parlance.sources.conversations import spread
 
 #: Rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 2000
+#: Of these, the rows on which costs are timed.
+COST_ROWS = 400
 #: Time below which rules count as equally cheap.
 LEAST_SECONDS = 0.02
 
@@ -128,7 +131,7 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_R
     patterns = [r.asDict() for r in flags.groupBy(*(r.name for r in rules)).count().collect()]  # 2**rules rows at most
     if not patterns:
         return list(rules)
-    cost = rule_costs(sample, rules)
+    cost = rule_costs(stored(sample.limit(COST_ROWS), "cost-sample"), rules)
     left, order = list(rules), []
     while left:
         best = max(left, key=lambda r: sum(p["count"] for p in patterns if p[r.name]) / cost[r.name])
@@ -152,7 +155,7 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no words, so they fail the base rule. Repeated rows are judged each on their own; extra
     columns are ignored whatever their names; an empty table gives an empty result with the same columns.
     """
-    stats = text_statistics(docs, id_col, text_col)
+    stats = text_statistics(spread(docs.select(id_col, text_col)), id_col, text_col)
     order = plan_cascade(docs, [base_rule(), *(default_rules() if rules is None else rules)], id_col=id_col, text_col=text_col)
     return stats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -72,3 +72,32 @@ def test_blocks_are_cut_by_the_size_of_their_sets(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=80)
     assert {x["doc_id"]: x["component_id"] for x in found.collect()} == fx.components(rows, 3, 80)
+
+
+def test_later_batches_of_lines_give_what_one_run_gives(spark):
+    from parlance.llm import line_dedup
+
+    docs = fx.documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"]).cache()
+    columns = ("doc_id", "n_lines", "n_dropped", "sha")
+    whole = {r["doc_id"]: tuple(r) for r in line_dedup.drop_common_lines(docs, min_docs=10, batches=3).select(*columns).collect()}
+    runs = line_dedup.LineRuns(spark, buckets=4, min_docs=10, fanout=3)
+    parts = [docs.where(F.col("doc_id") % 3 == k) for k in range(3)]
+    for part in parts[:2]:
+        line_dedup.drop_common_lines(part, min_docs=10, batches=2, runs=runs)
+    last = line_dedup.drop_common_lines(parts[2], min_docs=10, batches=1, runs=runs).select(*columns).collect()
+    assert len(last) > 5 and any(r["n_dropped"] for r in last)
+    assert {r["doc_id"]: tuple(r) for r in last} == {i: r for i, r in whole.items() if i % 3 == 2}
+    runs.forget()
+
+
+def test_places_and_items_of_a_window_are_not_multiplied(spark):
+    from parlance.llm import decontamination
+
+    window = " ".join(f"w{i}" for i in range(10))
+    docs = spark.createDataFrame([(1, " ".join([window] * 2000)), (2, f"x {window} y"), (3, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, window) for i in range(3000)], "item_id long, text string")
+    found = decontamination.find_contamination(docs, items)
+    rows = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in found.collect()}
+    assert rows == {1: (20_000, 20_000, 3000), 2: (12, 10, 3000), 3: (1, 0, 0)}
+    # No operator of the plan makes a row for each pair of a place and an item: 2,001 places times 3,000 items.
+    assert "left_semi" in found._jdf.queryExecution().toString().lower().replace(" ", "_") or "leftsemi" in found._jdf.queryExecution().toString().lower()
