@@ -158,7 +158,7 @@ ORACLES = {
         SELECT p.page_id, md5('<!doctype html>' || chr(10) || '<html><head><meta charset="utf-8">' || chr(10) || '<meta http-equiv="Content-Security-Policy" content="default-src ''none''; img-src data:; base-uri ''none''; form-action ''none''">' || chr(10) || '<title>' ||
           replace(replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#039;') || '</title></head><body>' || coalesce(body, '') || '</body></html>') AS html_md5
         FROM pages AS p LEFT JOIN b USING (page_id) LEFT JOIN h USING (page_id)""",
-    "evidence_archives": """WITH s AS (SELECT page_id, 30 + 7 + octet_length(encode(url)) + 30 + 13 + octet_length(encode(html)) AS at FROM pages), x AS (SELECT *, lpad(hex(at), 8, '0') AS h FROM s)
-        SELECT page_id AS conv_id, 'conversation-evidence.zip' AS filename, (at + 112 + 22)::INT AS n_bytes, '504B03041400000000000000' || '0000' AS head,
+    "evidence_archives": """WITH s AS (SELECT page_id, 30 + 7 + octet_length(encode(url)) + 30 + 13 + octet_length(encode(html)) AS behind FROM pages), x AS (SELECT *, lpad(hex(behind), 8, '0') AS h FROM s)
+        SELECT page_id AS conv_id, 'conversation-evidence.zip' AS filename, (behind + 112 + 22)::INT AS n_bytes, '504B03041400000000000000' || '0000' AS head,
           '504B0506000000000200020070000000' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '0000' AS tail FROM x""",
 }
