@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import redaction, text
 from parlance.operators import activity, evidence, filtering, merging, rendering, report, routing
+from parlance.operators import markdown_blocks as markdown
 from parlance.schema import ExportOptions
 from parlance.sources.conversations import SPEAKERS, base_conversations, messages_from_clipboard, messages_from_turns, read_table, spread
 
@@ -144,6 +145,55 @@ def evidence_manifest(spark, sf_dir):
     return found.select("conv_id", F.col("hashes")["transcript.md"].alias("markdown_sha256"), F.size("hashes").alias("n_files"))
 
 
+def _by_role(turns: DataFrame) -> DataFrame:
+    """Turns numbered anew with those of a role together, so that runs of assistant turns exist."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("role", "turn")) - 1
+    return turns.withColumn("turn", place)
+
+
+def interim_runs(spark, sf_dir):
+    """Interim flags where the assistant's turns stand together."""
+    return messages_from_turns(_by_role(_turns(spark, sf_dir))).select("conv_id", "msg_idx", "role", filtering.interim_flag().alias("interim"))
+
+
+def without_interim_runs(spark, sf_dir):
+    """What is left if interim replies are dropped, where the assistant's turns stand together."""
+    kept = filtering.apply_export_options(messages_from_turns(_by_role(_turns(spark, sf_dir))), ExportOptions(collapse_intermediate=False, redact_secrets=False))
+    return kept.select("conv_id", "msg_idx", "role", F.col("content")[0]["text"].alias("text"))
+
+
+def folded_markdown(spark, sf_dir):
+    """Markdown of conversations whose assistant turns stand together: all but the last are folded."""
+    messages = messages_from_turns(_by_role(_turns(spark, sf_dir)))
+    return rendering.quick_markdown(messages, _headers(messages), VERSION)
+
+
+#: Hosts and odd addresses that the pages of ``route_pages`` get in turn.
+_ADDRESSES = (*(f"https://{h}/c/1?x=y" for h, _, _ in routing.PROVIDERS), *(f"http://a.{h}:8080/" for h, _, _ in routing.PROVIDERS), "https://notpoe.com/", "https://poe.com.example.org/", f"https://{routing.RESTRICTED_HOST}/x", "chrome://settings", "file:///tmp/x", "no address", "")
+
+
+def route_pages(spark, sf_dir):
+    """Pages whose addresses are those of each provider, of subdomains, of look-alikes, restricted, invalid or missing, in turn."""
+    place = F.pmod(F.col("page_id"), F.lit(len(_ADDRESSES) + 2)).cast("int")
+    url = F.when(place < len(_ADDRESSES), F.get(F.array(*(F.lit(x) for x in _ADDRESSES)), place)).when(place == len(_ADDRESSES), F.col("url"))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    kind = routing.page_kind(F.col("url"))
+    return pages.select("page_id", kind.alias("kind"), routing.page_state(kind).alias("state"), routing.provider(F.col("url")).alias("provider"), F.coalesce(routing.page_label(F.col("url")), F.lit("")).alias("label"))
+
+
+def markdown_blocks(spark, sf_dir):
+    """Blocks of all documents, with every second sentence made an item of a list and every fourth line a heading."""
+    made = F.regexp_replace(F.regexp_replace("text", "\\. (\\w+ \\w+)", ".\n\n$1"), "\\n\\n([^\\n]*)\\n\\n([^\\n]*)", "\n- $1\n\n## $2\n\n")
+    return markdown.markdown_blocks(spread(read_table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))))
+
+
+def evidence_manifest_json(spark, sf_dir):
+    """The manifest of every conversation as it is written."""
+    messages = filtering.apply_export_options(_messages(spark, sf_dir))
+    headers = _headers(messages)
+    return evidence.manifest(evidence.evidence_files(messages, headers, VERSION), headers, VERSION, CAPTURED_AT).select("conv_id", "manifest")
+
+
 _FLAGS = f"SELECT *, role = 'assistant' AND coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant', false) AS interim FROM conversations"
 _MARKDOWN = rf"""
 WITH f AS ({_FLAGS}), r AS (SELECT *, coalesce(sum((NOT interim)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM f),
@@ -161,6 +211,7 @@ _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([
 QUERIES = {f.__name__: f for f in (
     message_text_hash, stable_id, compact_ws, slugify_titles, anonymize_url, describe_page, redact_email, redact_keys, redact_all, interim_flags, drop_interim,
     export_markdown, export_json, clipboard_split, activity_split, capture_report, select_and_edit, merge_windows, merge_repeated_texts, evidence_manifest,
+    interim_runs, without_interim_runs, folded_markdown, route_pages, markdown_blocks, evidence_manifest_json,
 )}
 
 ORACLES = {
@@ -204,3 +255,19 @@ ORACLES = {
         '  "extension_version": "{VERSION}",', '  "message_count": ' || count(*) || ',', '  "messages": [', string_agg(j, ',' || chr(10) ORDER BY turn), '  ]', '}}') AS content FROM m GROUP BY conv_id""",
     "evidence_manifest": f"SELECT conv_id, sha256(content) AS markdown_sha256, 2 AS n_files FROM ({_MARKDOWN})",
 }
+
+_ROLES_TOGETHER = "FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY role, turn) - 1 AS turn, role, text FROM conversations)"
+_LABEL = " ".join(f"WHEN host = '{h}' OR ends_with(host, '.{h}') THEN '{n}'" for h, n, _ in routing.PROVIDERS)
+_ROUTED = f"FROM (SELECT page_id, CASE {' '.join(f'WHEN page_id % {len(_ADDRESSES) + 2} = {i} THEN {x!r}' for i, x in enumerate(_ADDRESSES))} WHEN page_id % {len(_ADDRESSES) + 2} = {len(_ADDRESSES)} THEN url END AS url FROM pages)"
+ORACLES |= {
+    "interim_runs": f"SELECT conv_id, turn::INT AS msg_idx, role, interim FROM ({_FLAGS.replace('FROM conversations', _ROLES_TOGETHER)})",
+    "without_interim_runs": f"SELECT conv_id, turn::INT AS msg_idx, role, text FROM ({_FLAGS.replace('FROM conversations', _ROLES_TOGETHER)}) WHERE NOT interim",
+    "folded_markdown": _MARKDOWN.replace("FROM conversations", _ROLES_TOGETHER),
+    "route_pages": ORACLES["describe_page"].replace("FROM pages)", f"{_ROUTED})").replace(f"CASE {_PROVIDER} END AS found", f"CASE {_PROVIDER} END AS found, CASE {_LABEL} END AS label").replace(
+        "coalesce(found, 'generic') AS provider", "coalesce(found, 'generic') AS provider, CASE WHEN kind = 'provider' THEN label ELSE '' END AS label"
+    ),
+    "evidence_manifest_json": rf"""WITH m AS (SELECT conv_id, sha256(content) AS md FROM ({_MARKDOWN})), j AS (SELECT conv_id, sha256(content) AS js FROM ({ORACLES["export_json"]}))
+        SELECT conv_id, array_to_string(['{{', '  "schema_version": "1.0",', '  "original_page_included": false,', '  "source": {{', '    "provider": "generic",', '    "url": "",', '    "title": "Conversation ' || conv_id || '",',
+          '    "captured_at": "{CAPTURED_AT}"', '  }},', '  "extension_version": "{VERSION}",', '  "artifacts": [],', '  "generated_at": "{CAPTURED_AT}",', '  "exported_formats": [', '    "transcript.md",', '    "conversation.json"', '  ],',
+          '  "hashes": {{', '    "transcript.md": "' || md || '",', '    "conversation.json": "' || js || '"', '  }}', '}}'], chr(10)) AS manifest FROM m JOIN j USING (conv_id)""",
+}

@@ -7,7 +7,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from parlance.operators import elements
 from parlance.sources import pages
 
 _TOKEN = re.compile(pages.TOKEN.replace("\\z", "\\Z"))
@@ -108,3 +110,84 @@ def test_texts_attributes_and_entities(spark):
     content = {r["tag"]: r["content"] for r in pages.with_text(frame, frame["tag"] != "#text").collect()}
     assert content == {"div": "A <b> &amp; é😀�  &copy;BC", "b": "B"}
     assert pages.page_nodes(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def frame_of(spark, *pages_, url="https://e.org/d/p?q#f"):
+    return spark.createDataFrame([(i, h, url) for i, h in enumerate(pages_)], "page_id long, html string, url string")
+
+
+def test_containment_equals_comparing_all_pairs(nodes):
+    some = nodes.where("tag in ('p', 'div', 'li', 'b', 'ul')")
+    own = collections.defaultdict(list)
+    for r in some.collect():
+        own[r["page_id"]].append((r["start"], r["stop"]))
+    inner = {(p, a) for p, x in own.items() for a, b in x if not any(a < c and d <= b for c, d in x)}
+    outer = {(p, a) for p, x in own.items() for a, b in x if not any(c < a and b <= d for c, d in x)}
+    assert {(r["page_id"], r["start"]) for r in elements.innermost(some).collect()} == inner
+    assert {(r["page_id"], r["start"]) for r in elements.outermost(some).collect()} == outer
+
+
+def test_nearest_and_counted_nodes_equal_a_walk_over_all(nodes):
+    rows = collections.defaultdict(list)
+    for r in elements.with_nearest(pages.with_sums(nodes, {"n_p": (nodes["tag"] == "p").cast("int")}), nodes["tag"].isin("div", "ul"), "near").collect():
+        rows[r["page_id"]].append(r)
+    for own in rows.values():
+        for r in own:
+            assert r["n_p"] == sum(x["tag"] == "p" and r["start"] < x["start"] < r["stop"] for x in own)
+            assert r["near"] == max((x["start"] for x in own if x["tag"] in ("div", "ul") and x["start"] <= r["start"] < x["stop"]), default=None)
+
+
+def test_chat_roots_messages_and_roles(spark):
+    chat = '<main class=conversation><article class="message user"><p>User: Please explain.</p></article><article class="message assistant"><p>Assistant: it is.</p><pre>sha</pre></article></main>'
+    short = '<article data-role="user" class="user-message">continue</article><article class="message">Copy</article><article data-role="assistant">An answer that is long enough.</article>'
+    blocks = "<div><p>" + "</p><p>".join(f"paragraph number {i} is long enough" for i in range(100)) + "</p></div>"
+    plain = "<p>" + "<p>".join(f"paragraph number {i} is long enough" for i in range(100))
+    frame = pages.page_nodes(frame_of(spark, f"<body>{chat}</body>", short, blocks, plain, "<body><main class=CHAT>you</main></body>")).cache()
+    roots = {r["page_id"]: (r["tag"], r["score"]) for r in elements.chat_roots(frame).collect()}
+    assert roots == {0: ("body", 14.041), 4: ("body", 1.003)}
+    found = collections.defaultdict(list)
+    for r in elements.likely_messages(frame).orderBy("page_id", "start").collect():
+        found[r["page_id"]].append((r["tag"], r["role"], r["content"]))
+    assert found[0] == [("article", "user", "User: Please explain."), ("article", "assistant", "Assistant: it is.sha")]
+    assert found[1] == [("article", "user", "continue"), ("article", "assistant", "An answer that is long enough.")]
+    assert [x[0] for x in found[2]] == ["div"] and len(found[3]) == 80
+    assert {r["page_id"]: r["chat"] for r in elements.is_chat(elements.likely_messages(frame)).collect()} == {0: True, 1: True, 2: False, 3: False}
+
+
+def test_sections_lists_tables_and_lines(spark):
+    frame = frame_of(
+        spark,
+        "<nav>N<p>n</p></nav><article><h1>Eine Meldung</h1><p>Der erste Absatz.</p><h6> Details </h6><p>Ein <code> a  <b>b</b> </code><br> x</p><ul><li>Erster</li><li>Zweiter</li></ul><pre><code> x\n y </code></pre>"
+        "<blockquote>q</blockquote><hr><p> </p><table><tr><th>a|b<th>c</tr><tr></tr><tr><td>1</table></article><footer>F</footer>",
+        "<ol><li>One<ol><li>Nested</li></ol></li><li>Two</li><li></li><li> <b> x </b>y</li></ol><ol start=0><li>a<li>b</ol><ol start=7><li>a<li>b</ol>",
+        "<ul><li><p>First</p></li><li>Second <a href='/q?a=1'>  </a><a href=z>l <i>k</i></a><a href='javascript:x()'>j s</a><div><ul><li>w</li></ul></div></li></ul>",
+    )
+    nodes = pages.page_nodes(frame).cache()
+    found = collections.defaultdict(list)
+    for r in elements.document_segments(nodes, frame).orderBy("page_id", "segment").collect():
+        found[r["page_id"]].append((r["tag"], r["type"], r["content"]))
+    assert found[0] == [
+        ("h1", "text", "## Eine Meldung"), ("p", "text", "Der erste Absatz."), ("h6", "text", "###### Details"), ("p", "text", "Ein `a b`\nx"), ("ul", "text", "- Erster\n- Zweiter"), ("pre", "code", "x\n y"),
+        ("blockquote", "quote", "q"), ("hr", "text", "---"), ("table", "table", "| a\\|b | c |\n| --- | --- |\n| 1 |  |"),
+    ]
+    assert [x[2] for x in found[1]] == ["1. One\n  1. Nested\n2. Two\n4. **x**y", "1. a\n2. b", "7. a\n8. b"]
+    assert [x[2] for x in found[2]] == ["- First\n- Second [https://e.org/q?a=1](https://e.org/q?a=1)[l _k_](https://e.org/d/z)j sw"]
+    items = [(r["depth"], r["ordinal"], r["number"], r["text"]) for r in elements.list_items(nodes).where("page_id = 1 and root = 0").orderBy("start").collect()]
+    assert items == [(0, 1, 1, "One"), (1, 1, 1, "Nested"), (0, 2, 2, "Two"), (0, 3, 3, ""), (0, 4, 4, "**x**y")]
+    messages = elements.document_messages(elements.document_segments(nodes, frame)).where("conv_id = 0").orderBy("msg_idx").collect()
+    assert [(m["role"], m["kind"]) for m in messages] == [("assistant", "document")] * 9 and messages[0]["id"].startswith("document-")
+
+
+def test_lines_of_a_million_characters(spark):
+    html = "<p>" + "a <b> b </b><i>c</i><a href=x>d</a> " * 30_000
+    frame = pages.page_nodes(frame_of(spark, html)).withColumn("root", F.lit(0))
+    text = elements.inline_markdown(frame, "root").first()["markdown"]
+    assert text.startswith("a **b**_c_[d](x) a **b**") and len(text) > 450_000
+
+
+def test_links_from_where_a_page_is(spark):
+    links = {"": "https://e.org/d/p?q#f", "x/y": "https://e.org/d/x/y", "/z": "https://e.org/z", "//o.org/a": "https://o.org/a", "#k": "https://e.org/d/p?q#k", "?n": "https://e.org/d/p?n", "mailto:a": "mailto:a"}
+    frame = spark.createDataFrame([(k,) for k in links], "link string")
+    found = frame.select("link", elements.absolute_url(F.lit("https://e.org/d/p?q#f"), F.col("link")).alias("url")).collect()
+    assert {r["link"]: r["url"] for r in found} == links
+    assert frame.select(elements.absolute_url(F.lit("https://e.org"), F.lit("x")).alias("u")).first()["u"] == "https://e.org/x"
