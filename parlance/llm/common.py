@@ -63,25 +63,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _run_of(pipeline: str) -> str:
+    """Runs in different threads have tables of their own, even over one input."""
+    return f"{threading.get_ident()} {pipeline}"
+
+
 def release(spark: SparkSession, pipeline: str) -> None:
-    """Delete what operators stored for the last stage of a pipeline; its result has to be written by then."""
-    for path in _built.pop(pipeline, []):
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Delete what operators stored for the last stage of a pipeline of this thread; its result has to be written by then."""
+    for path in _built.pop(_run_of(pipeline), []):
+        delete(spark, path)
 
 
 @contextmanager
 def stage_tables(spark: SparkSession, pipeline: str) -> Iterator[None]:
     """What operators store inside is deleted when the pipeline's next stage enters, as its input has been written by then.
 
-    ``pipeline`` names the pipeline by its input; pipelines over different inputs don't touch each other's tables.
+    ``pipeline`` names the pipeline by its input; pipelines over different inputs, or of different threads, don't touch each
+    other's tables. Around a single operator, whose result is written inside, it leaves nothing behind after ``release``.
     """
     release(spark, pipeline)
     _building.paths = []
     try:
         yield
     finally:
-        _built.setdefault(pipeline, []).extend(_building.paths)
+        _built.setdefault(_run_of(pipeline), []).extend(_building.paths)
         _building.paths = None
 
 

@@ -58,3 +58,24 @@ def test_decontamination_drops_contaminated_rows_only(spark, docs, tmp_path):
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = collections.Counter((r[0], r[1], r[4]) for r in rows() if ITEM not in (r[1] or ""))
     assert stage(spark, docs, "decontamination", str(tmp_path)) == want
+
+
+def test_the_whole_pipeline_packs_what_its_stages_keep(spark):
+    data = "/root/testdata/sf0.001"
+    found = corpus_pipeline.run(spark, data).collect()
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, spark.createDataFrame(rows, docs.schema).repartition(3), data)
+        rows = [tuple(r) for r in docs.collect()]
+    assert {r["doc_id"] for r in found} == {r[0] for r in rows} and len(rows) < spark.read.parquet(f"{data}/documents.parquet").count()
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in found:
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in pieces.values():
+        own.sort()
+        assert [p[0] for p in own] == [sum(p[1] for p in own[:i]) for i in range(len(own))] and sum(p[1] for p in own) == own[0][2]
+    for own in sequences.values():
+        own.sort()
+        assert [p[0] for p in own] == [sum(p[1] for p in own[:i]) for i in range(len(own))] and sum(p[1] for p in own) <= 2048
