@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import decontamination, language_id, line_dedup, ngram_join, packing
-from parlance.llm.common import new_path, release, stage_tables, stored, without
+from parlance.llm.common import delete, new_path, release, stage_tables, stored, without
 from parlance.llm.queries import table, tokenizer_path
 
 
@@ -23,7 +23,10 @@ def _text_id(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without any letter; ``lang`` becomes the prediction. Documents of which none has a label are refused."""
+    """Reject documents without any letter; ``lang`` becomes the prediction. Documents of which none has a label are refused.
+
+    Null and empty texts have no letter; repeated rows are judged each; an empty table gives none.
+    """
     model = language_id.train(docs)
     if not model.names and not docs.isEmpty():
         raise ValueError("no document has a language to learn from")
@@ -33,7 +36,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of ten documents or more go from all of them; documents of which nothing is left go too."""
+    """Lines of ten documents or more go from all of them; documents of which nothing is left go too.
+
+    A repeated row counts as a document. Null and empty texts, which lose no line, stay; an empty table gives none.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     found = line_dedup.drop_common_lines(docs, min_docs=10, carry=others)
     kept = found.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
@@ -55,7 +61,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
+    """Rows that hold ten consecutive words of a benchmark item (or a whole shorter item) go.
+
+    Texts decide, so rows without an id and repeated rows go together; null and empty texts stay; an empty table gives none.
+    """
     rows = _text_id(docs)
     found = decontamination.find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_text")
     gone = stored(found.where("contaminated").select(F.col("doc_id").alias("_text")).distinct(), "contaminated-texts")
@@ -63,7 +72,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens; null and empty texts have the one id that ends a document, an empty table gives no pieces."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -91,10 +100,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what the stages before it wrote is deleted once the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         release(spark, sf_dir)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
