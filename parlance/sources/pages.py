@@ -151,7 +151,8 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     has no nodes. Ids of pages have to be distinct.
     """
     # One exchange by page serves all windows that follow.
-    found = _matched(page_tokens(pages, id_col, html_col).repartition("page_id"))
+    source = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).repartition("page_id")
+    found = _matched(page_tokens(source))
     found = found.withColumn("_has", F.col("stop").isNotNull()).withColumn("stop", F.coalesce("stop", "start"))
     mark = F.xxhash64("start").bitwiseAND(F.lit(_MARK))
     # What starts inside a sound element stops inside it: the marks of what is open are the same at both its ends.
