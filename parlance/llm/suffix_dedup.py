@@ -37,6 +37,8 @@ STRETCH, RUN_BYTES = 1 << 20, 24 << 20
 #: Anchors of a k-gram beyond which its contexts are split by window: as many contexts, of 336 bytes at most, take about
 #: 22 MB, which a task can hold, and ten more for comparing them.
 HOT_ANCHORS = 1 << 16
+#: Anchors of a bucket of runs, on average at most.
+BUCKET_ANCHORS = 200_000
 #: Rows of a frame that a task sends on.
 FRAME_ROWS = 4096
 
@@ -400,9 +402,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     hashes = stored(map_docs(rows, _anchor_hashes(length), "row_key long, hashes array<long>"), "anchors")
     each = hashes.select("row_key", "doc_id", F.explode("hashes").alias("h"))
-    twice = stored(each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h", (F.col("n") > hot_anchors).alias("is_hot")), "repeated-grams")
-    wanted = each.join(twice, "h").groupBy("row_key", "doc_id").agg(F.collect_set("h").alias("wanted"), F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("hot"))
-    buckets = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    twice = stored(each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h", "n", (F.col("n") > hot_anchors).alias("is_hot")), "repeated-grams")
+    wanted = each.join(twice.drop("n"), "h").groupBy("row_key", "doc_id").agg(F.collect_set("h").alias("wanted"), F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("hot"))
+    anchors = twice.where(~F.col("is_hot")).agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-anchors // BUCKET_ANCHORS))
     candidates = with_decisions(rows, wanted, "inner")
     columns = "row_key long, run string, bucket long, payload binary, entry long, anchor long, windows array<binary>"
     both = stored(map_docs(candidates, _runs(length, buckets), columns), "suffix-runs")

@@ -183,3 +183,26 @@ def test_stages_of_an_empty_table(spark, tmp_path, name):
     none = spark.createDataFrame([], SCHEMA)
     found = dict(corpus_pipeline.STAGES)[name](spark, none, str(tmp_path))
     assert found.count() == 0 and (name == "packing" or found.columns == none.columns)
+
+
+def test_long_texts_pass_the_models(spark, long, docs):
+    from parlance.llm import url_reputation
+
+    model = language_id.train(docs)
+    found = {r["doc_id"]: r for r in language_id.identify_languages(long, model).collect()}
+    assert len(found) == len(LONG) and all((found[i]["lang_pred"] == "und") == (not any(c.isalpha() for c in t)) for i, t in enumerate(LONG))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    scores = quality_model.score_quality(long, quality_model.train(docs, labels)).collect()
+    assert len(scores) == len(LONG) and all(0 <= r["score"] <= 1 for r in scores)
+    urls = ["http://" + "a." * (N // 2) + "com/" + "x" * N, "http://" + "b" * N, "x://" + "/" * N, "://" * (N // 3), "http://[" + "1:" * N]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    judged = {r["page_id"]: r for r in url_reputation.judge_urls(pages, labels).collect()}
+    assert len(judged) == len(urls) and judged[0]["host"] == "a." * (N // 2) + "com" and judged[0]["path"] == "/" + "x" * N and judged[2]["host"] == ""
+
+
+def test_stretches_of_phrases_are_those_of_a_walk(spark, docs):
+    """Long texts are parsed in parts side by side; each part gives the phrases that a walk over it gives."""
+    model = language_id.train(docs)
+    text = (fx.texts()[-2] + " ") * 2
+    short, whole = model.predict([text[:900]])[0], model.predict([text])[0]
+    assert short[0] == whole[0] and 0 <= whole[1] <= 1
