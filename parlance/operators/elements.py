@@ -19,6 +19,8 @@ NO_MESSAGE = (*PRUNED, "input", "textarea", "button")
 INTERACTIVE = ("button", "input", "textarea", "select")
 ROLE_WORDS = "user|assistant|you|human|ai|chatgpt|claude"
 MOST_BLOCKS = 80
+# What the elements of a provider's transcript are called.
+TRANSCRIPT_IDS, TRANSCRIPT_CLASS, TRANSCRIPT_CLASS_PART = ("transcript-row", "user-message", "assistant-message"), "font-claude-response", "font-claude-message"
 
 
 def attribute(name: str) -> Column:
@@ -61,6 +63,15 @@ def chat_roots(nodes: DataFrame) -> DataFrame:
     return best.select("page_id", "b.*")
 
 
+def page_marks(nodes: DataFrame) -> DataFrame:
+    """``page_id, chatgpt_marks, claude_marks``: whether a page of an unknown host looks like one of the two providers, for ``routing.provider``."""
+    has = lambda name: F.coalesce(F.map_contains_key("attributes", F.lit(name)), F.lit(False))
+    title = F.coalesce(F.max(F.when(F.col("parent_tag") == "title", F.contains(F.lower("text"), F.lit("claude")))), F.lit(False))
+    named = F.array_contains(F.split(attribute("class"), "\\s+"), TRANSCRIPT_CLASS) | F.contains(attribute("class"), F.lit(TRANSCRIPT_CLASS_PART))
+    transcript = F.bool_or(attribute("data-testid").isin(*TRANSCRIPT_IDS) | named)
+    return nodes.groupBy("page_id").agg(F.bool_or(has("data-message-author-role")).alias("chatgpt_marks"), (title & transcript).alias("claude_marks"))
+
+
 def explicit_role(marks: Column) -> Column:
     """user or assistant, if a word of the marks (attributes, joined by spaces, in lower case) says so."""
     word = lambda words: marks.rlike(f"(^|[\\s_-])({words})([\\s_-]|$)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators import archive, elements, sanitising
+from parlance.operators import archive, elements, routing, sanitising
 from parlance.sources.conversations import read_table
 from parlance.sources.pages import page_nodes
 
@@ -40,6 +40,16 @@ def chat_roots(spark, sf_dir):
     return elements.chat_roots(_nodes(spark, sf_dir, F.replace("html", F.lit('class="ad"'), F.lit('class="Conversation"')))).select("page_id", "start", "tag", "score")
 
 
+def route_marked_pages(spark, sf_dir):
+    """Providers of pages whose hosts say nothing, by their marks: in turn none, those of one, the title of the other alone, its transcript alone, both."""
+    turn = F.pmod(F.col("page_id"), F.lit(5))
+    mark = F.when(turn == 1, '<p data-message-author-role="user">').when(turn.isin(3, 4), '<p class="a font-claude-response">').otherwise("<p>")
+    title = F.when(turn.isin(2, 4), "<title>About CLAUDE ").otherwise("<title>")
+    pages = _pages(spark, sf_dir).select("page_id", "url", F.replace(F.replace("html", F.lit("<p>"), mark), F.lit("<title>"), title).alias("html"))
+    marks = elements.page_marks(page_nodes(pages))
+    return pages.join(marks, "page_id").select("page_id", routing.provider(F.col("url"), F.col("chatgpt_marks"), F.col("claude_marks")).alias("provider"))
+
+
 def likely_messages(spark, sf_dir):
     """Messages of pages whose boxes and headings are marked as such; pages with one mark give their blocks."""
     marked = F.when(F.col("page_id") % 2 == 0, F.replace(F.replace("html", F.lit('class="ad"'), F.lit('class="user-message"')), F.lit("<h1>"), F.lit('<h1 class="message bot">'))).otherwise(F.col("html"))
@@ -122,7 +132,7 @@ _CELLS = """replace(replace(replace(replace(html, '<nav><ul>', '<nav><table>'),
 _LI = r"list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav><ul>(.*?)</ul></nav>', 1), '(?s)<li>(.*?)</li>', 1), lambda x: {})"
 _DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
-QUERIES = {f.__name__: f for f in (page_elements, innermost_elements, outermost_elements, chat_roots, likely_messages, document_segments, nested_list_items, link_tables, page_snapshots, evidence_archives)}
+QUERIES = {f.__name__: f for f in (page_elements, innermost_elements, outermost_elements, route_marked_pages, chat_roots, likely_messages, document_segments, nested_list_items, link_tables, page_snapshots, evidence_archives)}
 
 ORACLES = {
     "page_elements": rf"""{_TREE} SELECT page_id, start, stop, depth, coalesce(parent, -1) AS parent, tag, CASE WHEN tag = '#text' THEN '' ELSE regexp_extract(t, 'class="([^"]*)"', 1) END AS class,
@@ -161,4 +171,5 @@ ORACLES = {
     "evidence_archives": """WITH s AS (SELECT page_id, 30 + 7 + octet_length(encode(url)) + 30 + 13 + octet_length(encode(html)) AS behind FROM pages), x AS (SELECT *, lpad(hex(behind), 8, '0') AS h FROM s)
         SELECT page_id AS conv_id, 'conversation-evidence.zip' AS filename, (behind + 112 + 22)::INT AS n_bytes, '504B03041400000000000000' || '0000' AS head,
           '504B0506000000000200020070000000' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '0000' AS tail FROM x""",
+    "route_marked_pages": "SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'chatgpt' WHEN 4 THEN 'claude' ELSE 'generic' END AS provider FROM pages WHERE html LIKE '%<p>%'",
 }
