@@ -27,7 +27,7 @@ from parlance.llm.common import U64, chunks, keyed, map_docs, mix, prefix_hashes
 #: Rows of a block of a column and bytes of their sets, both at most; columns of a dense stripe.
 BLOCK_ROWS, BLOCK_BYTES, STRIPE = 768, 32 << 20, 4096
 #: Words, and letters of a word, that a worker remembers the hash of.
-MEMO_WORDS, MEMO_BYTES = 200_000, 24
+MEMO_WORDS, MEMO_BYTES = 20_000, 24
 #: Sides of a task: rows of one side are multiplied with those of the other, or with each other if there is but one; the
 #: hub is on the first side.
 HUB = 2
@@ -111,9 +111,12 @@ def _class_key(values: np.ndarray) -> bytes:
 def _rows(width: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [s for _, _, raws in chunks(texts_of(batch)) for s in shingle_sets(raws, width)]
-            keys = [_class_key(s) for s in sets]
-            yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "n": [len(s) for s in sets], "size_class": [bisect.bisect_right(SIZE_BOUNDS, len(s)) - 1 for s in sets], "class": keys})
+            sizes, keys = [], []
+            for _, _, raws in chunks(texts_of(batch)):  # the sets of a batch are never held together
+                for s in shingle_sets(raws, width):
+                    sizes.append(len(s))
+                    keys.append(_class_key(s))
+            yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "n": sizes, "size_class": [bisect.bisect_right(SIZE_BOUNDS, n) - 1 for n in sizes], "class": keys})
 
     return run
 
