@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -250,6 +251,11 @@ def map_docs(rows: DataFrame, function, columns: str) -> DataFrame:
 
     ``columns`` is the schema of what ``function`` returns beside ``doc_id``.
     """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # workers live on; what a task's batches took goes back
+
     id_type = rows.schema["doc_id"].dataType
-    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(function, f"doc_id string, {columns}")
+    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, f"doc_id string, {columns}")
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
