@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -246,16 +247,24 @@ def words_of(raws: list[bytes], word_class: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.concatenate([[0], np.searchsorted(starts, ends_of_text)])
 
 
-def map_docs(rows: DataFrame, function, columns: str) -> DataFrame:
+def giving_back(function: Callable) -> Callable:
+    """A function of batches whose task returns the memory it took: workers live on and run the tasks of later stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
+def map_docs(rows: DataFrame, function: Callable, columns: str) -> DataFrame:
     """``mapInPandas`` that carries ``doc_id`` as text, so that null ids don't turn into floating-point numbers.
 
     ``columns`` is the schema of what ``function`` returns beside ``doc_id``.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from function(batches)
-        pa.default_memory_pool().release_unused()  # workers live on; what a task's batches took goes back
-
     id_type = rows.schema["doc_id"].dataType
-    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, f"doc_id string, {columns}")
+    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(giving_back(function), f"doc_id string, {columns}")
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))

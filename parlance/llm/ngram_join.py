@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import U64, chunks, keyed, map_docs, mix, prefix_hashes, span_hashes, split_by, stored, texts_of, with_decisions
+from parlance.llm.common import U64, chunks, giving_back, keyed, map_docs, mix, prefix_hashes, span_hashes, split_by, stored, texts_of, with_decisions
 
 #: Rows of a block of a column and bytes of their sets, both at most; columns of a dense stripe.
 BLOCK_ROWS, BLOCK_BYTES, STRIPE = 768, 32 << 20, 4096
@@ -406,8 +406,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = known.groupBy("class").agg(F.min(F.struct("doc_id", "row_key", "size_class")).alias("best"))
     classes = stored(classes.select("class", F.col("best.doc_id").alias("rep"), F.col("best.row_key").alias("rep_key"), F.col("best.size_class").alias("size_class")), "shingle-classes")
     buckets = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = rows.where(F.col("doc_id").isNotNull()).select("text").mapInPandas(_signature_runs(width, percent, buckets), "bucket long, low binary, high binary, place binary, classes binary")
-    live = runs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_agreeing, "h long, class binary")
+    runs = rows.where(F.col("doc_id").isNotNull()).select("text").mapInPandas(giving_back(_signature_runs(width, percent, buckets)), "bucket long, low binary, high binary, place binary, classes binary")
+    live = runs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(giving_back(_agreeing), "h long, class binary")
     cells = stored(stored(live, "agreeing").join(classes, "class").select("rep", "rep_key", "h", "size_class"), "agreeing-rows")
     # A row that is linked agrees with its partner on several groups; rows short of that leave, and what only they held.
     agreeing = [agreeing_groups(k, percent) for k in range(len(SIZE_BOUNDS) - 1)]
@@ -442,7 +442,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         wanted = with_decisions(split_by(rows, kept)[0], kept, "inner").select("doc_id", "row_key", "text", "tasks")
         sets = map_docs(wanted, _full_sets(width), "row_key long, shingles binary, h long, a int, b int, side int")
         sets = sets.withColumn("doc_id", F.col("doc_id").cast("string")).repartition("h", "a", "b").sortWithinPartitions("h", "a", "b", "doc_id", "row_key", "side")
-        return stored(sets.mapInPandas(_products(percent), "u string, v string, h long, row_key long"), "links-of-tasks")
+        return stored(sets.mapInPandas(giving_back(_products(percent)), "u string, v string, h long, row_key long"), "links-of-tasks")
 
     def links_of(found: DataFrame) -> DataFrame:
         return found.where(F.col("u").isNotNull()).select(F.col("u").cast(id_type).alias("u"), F.col("v").cast(id_type).alias("v"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import U64, keyed, map_docs, mix, powers, stored, texts_of, with_decisions
+from parlance.llm.common import U64, giving_back, keyed, map_docs, mix, powers, stored, texts_of, with_decisions
 
 #: Bytes of a k-gram.
 GRAM = 64
@@ -411,7 +411,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = stored(map_docs(candidates, _runs(length, buckets), columns), "suffix-runs")
     runs = both.where(F.col("bucket") >= 0).select("bucket", "run", "payload")
     runs = runs.repartition("bucket").sortWithinPartitions("bucket", "run")
-    verdicts = stored(runs.mapInPandas(_merged(length), "run string, entry long, offsets array<int>"), "verdicts")
+    verdicts = stored(runs.mapInPandas(giving_back(_merged(length)), "run string, entry long, offsets array<int>"), "verdicts")
     windows = both.where(F.col("bucket") < 0).select("run", "entry", F.when(F.col("bucket") == -1, 2).otherwise(1).alias("copies"), "anchor", F.posexplode("windows").alias("nth", "window"))
     repeated = windows.groupBy("window").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("window")
     offset = (F.col("anchor") + F.col("nth")).cast("int")
