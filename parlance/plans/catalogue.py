@@ -181,6 +181,16 @@ def route_pages(spark, sf_dir):
     return pages.select("page_id", kind.alias("kind"), routing.page_state(kind).alias("state"), routing.provider(F.col("url")).alias("provider"), F.coalesce(routing.page_label(F.col("url")), F.lit("")).alias("label"))
 
 
+def route_by_rules(spark, sf_dir):
+    """Pages routed by rules that their own hosts give: hosts of several pages, and domains of several hosts."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    named = pages.select(host.alias("host"), F.regexp_extract(host, "[^.]+\\.[^.]+$", 0).alias("domain")).where(F.col("host") != "")
+    often = named.groupBy("host").count().where(F.col("count") > 1).select(F.col("host").alias("suffix"), F.lit("host").alias("provider"))
+    wide = named.distinct().where(F.col("domain") != "").groupBy("domain").count().where(F.col("count") > 1).select(F.col("domain").alias("suffix"), F.lit("domain").alias("provider"))
+    return routing.with_rules(pages, often.unionByName(wide)).select("page_id", F.coalesce("rule", F.lit("")).alias("rule"), "provider")
+
+
 def markdown_blocks(spark, sf_dir):
     """Blocks of all documents, with every second sentence made an item of a list and every fourth line a heading."""
     made = F.regexp_replace(F.regexp_replace("text", "\\. (\\w+ \\w+)", ".\n\n$1"), "\\n\\n([^\\n]*)\\n\\n([^\\n]*)", "\n- $1\n\n## $2\n\n")
@@ -211,7 +221,7 @@ _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([
 QUERIES = {f.__name__: f for f in (
     message_text_hash, stable_id, compact_ws, slugify_titles, anonymize_url, describe_page, redact_email, redact_keys, redact_all, interim_flags, drop_interim,
     export_markdown, export_json, clipboard_split, activity_split, capture_report, select_and_edit, merge_windows, merge_repeated_texts, evidence_manifest,
-    interim_runs, without_interim_runs, folded_markdown, route_pages, markdown_blocks, evidence_manifest_json,
+    interim_runs, without_interim_runs, folded_markdown, route_pages, route_by_rules, markdown_blocks, evidence_manifest_json,
 )}
 
 ORACLES = {
@@ -266,6 +276,12 @@ ORACLES |= {
     "route_pages": ORACLES["describe_page"].replace("FROM pages)", f"{_ROUTED})").replace(f"CASE {_PROVIDER} END AS found", f"CASE {_PROVIDER} END AS found, CASE {_LABEL} END AS label").replace(
         "coalesce(found, 'generic') AS provider", "coalesce(found, 'generic') AS provider, CASE WHEN kind = 'provider' THEN label ELSE '' END AS label"
     ),
+    "route_by_rules": rf"""WITH p AS (SELECT page_id, coalesce({_HOST}, '') AS host FROM pages),
+        d AS (SELECT host, regexp_extract(host, '[^.]+\.[^.]+$') AS domain FROM p WHERE host <> ''),
+        r AS (SELECT host AS suffix, 'host' AS named FROM d GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT domain, 'domain' FROM d WHERE domain <> '' GROUP BY 1 HAVING count(DISTINCT host) > 1),
+        u AS (SELECT suffix, min(named) AS named FROM r GROUP BY 1),
+        m AS (SELECT host, arg_max(suffix, length(suffix)) AS rule, arg_max(named, length(suffix)) AS named FROM (SELECT DISTINCT host FROM d) JOIN u ON host = suffix OR ends_with(host, '.' || suffix) GROUP BY 1)
+        SELECT page_id, coalesce(rule, '') AS rule, coalesce(named, CASE {_PROVIDER} END, 'generic') AS provider FROM p LEFT JOIN m USING (host)""",
     "evidence_manifest_json": rf"""WITH m AS (SELECT conv_id, sha256(content) AS md FROM ({_MARKDOWN})), j AS (SELECT conv_id, sha256(content) AS js FROM ({ORACLES["export_json"]}))
         SELECT conv_id, array_to_string(['{{', '  "schema_version": "1.0",', '  "original_page_included": false,', '  "source": {{', '    "provider": "generic",', '    "url": "",', '    "title": "Conversation ' || conv_id || '",',
           '    "captured_at": "{CAPTURED_AT}"', '  }},', '  "extension_version": "{VERSION}",', '  "artifacts": [],', '  "generated_at": "{CAPTURED_AT}",', '  "exported_formats": [', '    "transcript.md",', '    "conversation.json"', '  ],',
