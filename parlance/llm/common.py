@@ -62,7 +62,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     hold(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; what was made from them has to be stored by then."""
+    for table in tables:
+        delete(table.sparkSession, table.stored_at)
 
 
 def delete(spark: SparkSession, path: str) -> None:

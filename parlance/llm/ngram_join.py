@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import U64, chunks, giving_back, keyed, map_docs, mix, prefix_hashes, span_hashes, split_by, stored, texts_of, with_decisions
+from parlance.llm.common import U64, chunks, giving_back, keyed, map_docs, mix, prefix_hashes, span_hashes, spent, split_by, stored, texts_of, with_decisions
 
 #: Rows of a block of a column and bytes of their sets, both at most; columns of a dense stripe.
 BLOCK_ROWS, BLOCK_BYTES, STRIPE = 768, 32 << 20, 4096
@@ -33,7 +33,10 @@ MEMO_WORDS, MEMO_BYTES = 20_000, 24
 HUB = 2
 #: Group signatures that a task gathers before it sends them on, and documents' classes of size (powers of 1.414).
 RUN_CELLS = 1 << 19
-PRUNING_ROUNDS = 3
+#: Rounds of pruning at most, and the share of the cells that a round has to take off for another one to follow.
+PRUNING_ROUNDS, WORTH_A_ROUND = 3, 0.1
+#: Bits of a group signature, its class among them, by which rows of a task are told to agree on groups.
+GROUP_BITS = 31
 SIZE_BOUNDS = sorted({int(2 ** (k / 2)) for k in range(80)})
 
 
@@ -108,6 +111,11 @@ def _class_key(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
+def _brief(key: bytes) -> int:
+    """Half of a class's name, as a signed number; it picks candidates. Linked sets share it with a probability of 2**-64."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def _rows(width: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -116,32 +124,33 @@ def _rows(width: int) -> Callable:
                 for s in shingle_sets(raws, width):
                     sizes.append(len(s))
                     keys.append(_class_key(s))
-            yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "n": sizes, "size_class": [bisect.bisect_right(SIZE_BOUNDS, n) - 1 for n in sizes], "class": keys})
+            yield pd.DataFrame({"row_key": batch["row_key"], "doc_id": batch["doc_id"], "n": sizes, "size_class": [bisect.bisect_right(SIZE_BOUNDS, n) - 1 for n in sizes], "class": keys, "brief": [_brief(k) for k in keys]})
 
     return run
 
 
 def _signature_runs(width: int, percent: int, buckets: int) -> Callable:
-    """Sorted runs of (signature, class) by bucket of signatures, packed; equal rows of a task count once."""
+    """Sorted runs of (signature, brief class) by bucket of signatures, packed; equal rows of a task count once.
+
+    A signature takes 14 bytes, however many buckets there are.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[bytes, np.ndarray] = {}
         size = 0
 
         def flush() -> pd.DataFrame:
-            keys = np.frombuffer(b"".join(held), dtype=U64).reshape(-1, 2)
             cells = np.concatenate(list(held.values())) if held else np.zeros(0, dtype=U64)
-            index = np.repeat(np.arange(len(keys)), [len(v) for v in held.values()]).astype(np.int64)
+            classes = np.repeat(np.fromiter(map(_brief, held), dtype="<i8", count=len(held)), [len(v) for v in held.values()])
             order = np.argsort(cells, kind="stable")
-            cells, index = cells[order], index[order]
+            cells, classes = cells[order], classes[order]
             bucket = (cells * U64(buckets) >> U64(48)).astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             rows = []
             for b in np.flatnonzero(np.diff(cuts)).tolist():
-                own, at = cells[cuts[b] : cuts[b + 1]], index[cuts[b] : cuts[b + 1]]
-                used, place = np.unique(at, return_inverse=True)
-                rows.append((b, (own & U64(0xFFFFFFFF)).astype("<u4").tobytes(), (own >> U64(32)).astype("<u2").tobytes(), place.astype("<u4").tobytes(), keys[used].tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "low", "high", "place", "classes"])
+                own = cells[cuts[b] : cuts[b + 1]]
+                rows.append((b, (own & U64(0xFFFFFFFF)).astype("<u4").tobytes(), (own >> U64(32)).astype("<u2").tobytes(), classes[cuts[b] : cuts[b + 1]].tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "low", "high", "classes"])
 
         for batch in batches:
             for _, _, raws in chunks(texts_of(batch)):
@@ -163,18 +172,18 @@ def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def live(rows: list) -> pd.DataFrame:
         cells = np.concatenate([np.frombuffer(r[0], "<u4").astype(U64) | np.frombuffer(r[1], "<u2").astype(U64) << U64(32) for r in rows])
-        classes = np.concatenate([np.frombuffer(r[3], U64).reshape(-1, 2)[np.frombuffer(r[2], "<u4")] for r in rows])
-        order = np.lexsort((classes[:, 1], classes[:, 0], cells))
+        classes = np.concatenate([np.frombuffer(r[2], "<i8") for r in rows])
+        order = np.lexsort((classes, cells))
         cells, classes = cells[order], classes[order]
-        new = np.concatenate([[True], (cells[1:] != cells[:-1]) | (classes[1:] != classes[:-1]).any(axis=1)])
+        new = np.concatenate([[True], (cells[1:] != cells[:-1]) | (classes[1:] != classes[:-1])])
         cells, classes = cells[new], classes[new]
         same = cells[1:] == cells[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pd.DataFrame({"h": cells[keep].view(np.int64), "class": [c.tobytes() for c in classes[keep]]})
+        return pd.DataFrame({"h": cells[keep].view(np.int64), "brief": classes[keep]})
 
     bucket, held = None, []
     for batch in batches:
-        for b, *row in zip(batch["bucket"], batch["low"], batch["high"], batch["place"], batch["classes"], strict=True):
+        for b, *row in zip(batch["bucket"], batch["low"], batch["high"], batch["classes"], strict=True):
             if b != bucket and held:
                 yield live(held)
                 held = []
@@ -215,7 +224,10 @@ def overlaps(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
 
 
 def rows_in_agreement(groups: list[np.ndarray], classes: list[np.ndarray], sides: list[int], least: list[int]) -> np.ndarray:
-    """Which rows agree with another one (of the other side, if there are two) on ``least`` groups of a class or more."""
+    """Which rows may agree with another one (of the other side, if there are two) on ``least`` groups of a class or more.
+
+    Groups of a row that look alike are seen once, so as many more are granted to it: no row that agrees is missed.
+    """
     flat, kinds, side = np.concatenate(groups), np.concatenate(classes), np.array(sides)
     owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
     found = np.zeros(len(groups), dtype=bool)
@@ -228,10 +240,12 @@ def rows_in_agreement(groups: list[np.ndarray], classes: list[np.ndarray], sides
             continue
         order = np.argsort(at, kind="stable")
         common = overlaps(place[order], at[order], len(rows))
+        alike = np.bincount(place, minlength=len(rows)) - np.diagonal(common)
         np.fill_diagonal(common, 0)
         if side.min() != side.max():
             common[side[rows][:, None] == side[rows][None, :]] = 0
-        found[rows[common.max(axis=1) >= least[k]]] = True
+        best = common.max(axis=1)
+        found[rows[(best > 0) & (best + alike >= least[k])]] = True
     return found
 
 
@@ -400,24 +414,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = keyed(docs, id_col, text_col)
     if not 50 < percent <= 100:
         raise ValueError("percent has to be 51 to 100")
-    matrix = stored(map_docs(rows, _rows(width), "row_key long, n long, size_class int, class binary"), "shingle-rows")
+    matrix = stored(map_docs(rows, _rows(width), "row_key long, n long, size_class int, class binary, brief long"), "shingle-rows")
     id_type = rows.schema["doc_id"].dataType
     known = matrix.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = known.groupBy("class").agg(F.min(F.struct("doc_id", "row_key", "size_class")).alias("best"))
-    classes = stored(classes.select("class", F.col("best.doc_id").alias("rep"), F.col("best.row_key").alias("rep_key"), F.col("best.size_class").alias("size_class")), "shingle-classes")
+    classes = known.groupBy("class").agg(F.min(F.struct("doc_id", "row_key", "size_class", "brief")).alias("best"))
+    classes = stored(classes.select("class", "best.brief", F.col("best.doc_id").alias("rep"), F.col("best.row_key").alias("rep_key"), F.col("best.size_class").alias("size_class")), "shingle-classes")
     buckets = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = rows.where(F.col("doc_id").isNotNull()).select("text").mapInPandas(giving_back(_signature_runs(width, percent, buckets)), "bucket long, low binary, high binary, place binary, classes binary")
-    live = runs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(giving_back(_agreeing), "h long, class binary")
-    cells = stored(stored(live, "agreeing").join(classes, "class").select("rep", "rep_key", "h", "size_class"), "agreeing-rows")
+    runs = rows.where(F.col("doc_id").isNotNull()).select("text").mapInPandas(giving_back(_signature_runs(width, percent, buckets)), "bucket long, low binary, high binary, classes binary")
+    live = runs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(giving_back(_agreeing), "h long, brief long")
+    agreed = stored(live, "agreeing")
+    cells = stored(agreed.join(classes, "brief").select("rep", "rep_key", "h", "size_class"), "agreeing-rows")
+    spent(agreed)
     # A row that is linked agrees with its partner on several groups; rows short of that leave, and what only they held.
     agreeing = [agreeing_groups(k, percent) for k in range(len(SIZE_BOUNDS) - 1)]
     least = F.array(*(F.lit(n) for n in agreeing))
     size_class = F.col("size_class") + F.pmod(F.col("h") - F.col("size_class"), F.lit(4)).cast("int")
+    left = cells.count()
     for _ in range(PRUNING_ROUNDS):
         enough = cells.withColumn("k", size_class).groupBy("rep_key", "k").agg(F.count("*").alias("held")).where(F.col("held") >= F.get(least, F.col("k")))
-        cells = stored(cells.withColumn("k", size_class).join(enough.select("rep_key", "k"), ["rep_key", "k"], "left_semi").drop("k"), "pruned")
-        shared = stored(cells.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > 1), "shared-groups")
-        cells = stored(cells.drop("m").join(shared, "h"), "pruned")
+        strong = stored(cells.withColumn("k", size_class).join(enough.select("rep_key", "k"), ["rep_key", "k"], "left_semi").drop("k"), "pruned")
+        shared = stored(strong.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > 1), "shared-groups")
+        pruned = stored(strong.drop("m").join(shared, "h"), "pruned")
+        spent(cells, strong, shared)
+        before, cells, left = left, pruned, pruned.count()
+        if before - left <= WORTH_A_ROUND * before:
+            break
     # Two linked rows agree on ``least`` groups or more. If each leaves out one fewer of its most common ones, in one
     # order for all, the rarest group that they agree on stays.
     order = Window.partitionBy("rep_key", "k").orderBy(F.desc("m"), "h")
@@ -426,12 +447,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Groups whose rows have the same hub (their least row by hash) become one block column: near copies share few hubs.
     hubs = stored(rarest.groupBy("h").agg(F.min(F.xxhash64("rep_key", F.lit(1))).alias("hub")), "hubs")
     live = stored(rarest.join(hubs, "h").select("rep", "rep_key", "size_class", F.col("hub").alias("h")).distinct(), "live-cells")
+    spent(rarest, hubs)
     most = F.get(F.array(*(F.lit(8.0 * n) for n in SIZE_BOUNDS)), F.col("size_class") + 1)  # bytes of a row's set, at most
     columns = live.groupBy("h").agg(F.count("*").alias("m"), F.sum(most).alias("bytes"), F.min_by(F.struct("rep", "rep_key"), F.xxhash64("rep_key", F.lit(1))).alias("first")).where(F.col("m") > 1)
     columns = stored(columns.withColumn("parts", F.ceil(F.greatest(F.col("m") / block_rows, F.col("bytes") / BLOCK_BYTES)).cast("int")), "columns")
     live = live.join(columns.select("h", "parts"), "h").withColumn("own", F.pmod(F.xxhash64("rep_key"), F.col("parts")).cast("int"))
     # The groups, far smaller than the sets, are multiplied before the sets; rows without a partner that agrees on enough leave.
-    held = cells.groupBy("rep_key").agg(F.first("size_class").alias("size_class"), F.collect_list("h").alias("groups"))
+    group = F.col("h").bitwiseAND(F.lit((1 << GROUP_BITS) - 1)).cast("int")
+    held = stored(cells.groupBy("rep_key").agg(F.first("size_class").alias("size_class"), F.collect_list(group).alias("groups")), "groups-of-rows")
+    spent(cells)
 
     def products(tasks: DataFrame) -> DataFrame:
         """Links of tasks (rep, rep_key, h, a, b, side)."""
@@ -442,7 +466,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         wanted = with_decisions(split_by(rows, kept)[0], kept, "inner").select("doc_id", "row_key", "text", "tasks")
         sets = map_docs(wanted, _full_sets(width), "row_key long, shingles binary, h long, a int, b int, side int")
         sets = sets.withColumn("doc_id", F.col("doc_id").cast("string")).repartition("h", "a", "b").sortWithinPartitions("h", "a", "b", "doc_id", "row_key", "side")
-        return stored(sets.mapInPandas(giving_back(_products(percent)), "u string, v string, h long, row_key long"), "links-of-tasks")
+        found = stored(sets.mapInPandas(giving_back(_products(percent)), "u string, v string, h long, row_key long"), "links-of-tasks")
+        spent(kept)
+        return found
 
     def links_of(found: DataFrame) -> DataFrame:
         return found.where(F.col("u").isNotNull()).select(F.col("u").cast(id_type).alias("u"), F.col("v").cast(id_type).alias("v"))
