@@ -10,76 +10,120 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import map_docs, stored, texts_of
 
-#: Words of each of the two generations of a worker's memo of tokenised words, and characters of a word in it at most.
-MEMO_WORDS, MEMO_CHARS = 100_000, 40
-#: Words of a text that are tokenised at once, so that the memo stays near its bound whatever a text's length.
-STRETCH_WORDS = 50_000
+#: Entries of each of the two generations of a worker's memo of tokenised letters, and characters of an entry at most.
+MEMO_WORDS, MEMO_CHARS = 120_000, 40
+#: Characters of texts that are tokenised at once, each distinct word of them once.
+STRETCH_CHARS = 4 << 20
 
 
 def _bytes_of(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Memo(dict):
+    """What ``make`` gives for a text, remembered in two generations of ``bound`` texts at most."""
+
+    def __init__(self, make: Callable[[str], bytes], bound: int):
+        super().__init__()
+        self.make, self.bound, self.older = make, bound, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.older.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= MEMO_CHARS:
+            if len(self) >= self.bound:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
+        return found
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose pre-tokenizer never joins across spaces, word by word with a memo.
+    """Ids of texts by a tokenizer whose pre-tokenizer never joins across spaces, by the distinct words of many texts.
 
-    Words of plain Latin letters, with one full stop or comma at most, go straight to the vocabulary model; all other
-    words go through the whole tokenizer.
+    Words of plain Latin letters, which ASCII punctuation may follow, are lowered letters and a run of marks: the letters go
+    straight to the vocabulary model, and what comes out is remembered for all words that hold them. All other words go
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model, self.memo, self.older, self.bound = self.tok.model, {}, {}, memo_words
         letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if c != 0xF7]
         self.table = {ord(c): "".join(x for x, _ in self.tok.pre_tokenizer.pre_tokenize_str(c)) for c in letters}
-        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-        self.marks = {m: self._slow(m) for m in (".", ",")}
+        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+        self.stems, self.marks = _Memo(self._stem, memo_words), _Memo(self._slow, memo_words)
 
     def _slow(self, word: str) -> bytes:
         return _bytes_of(self.tok.encode(word, add_special_tokens=False).ids)
 
+    def _stem(self, letters: str) -> bytes:
+        return _bytes_of([t.id for t in self.tok.model.tokenize(letters.translate(self.table))])
+
     def _word(self, word: str) -> bytes:
-        end = self.marks.get(word[-1:], None)
-        stem = word[:-1] if end else word
-        if not self.plain.fullmatch(stem):
+        found = self.plain.fullmatch(word)
+        if not found:
             return self._slow(word)
-        ids = self.memo.get(stem) if end else None
-        if ids is None:
-            ids = _bytes_of([t.id for t in self.model.tokenize(stem.lower().translate(self.table))])
-        return ids + (end or b"")
+        letters, marks = found.groups()
+        ids = self.stems[letters.lower()]
+        return ids + self.marks[marks] if marks else ids
+
+    def _stretch(self, texts: list[str]) -> list[bytes]:
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        ids = [self._word(w) for w in words.dictionary.to_pylist()]
+        index, sizes = words.indices.to_numpy(), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
+        n = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def batch_ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        held, size = [], 0
+        for text in texts:
+            if held and size + len(text) > STRETCH_CHARS:
+                yield from self._stretch(held)
+                held, size = [], 0
+            if len(text) > STRETCH_CHARS:  # cut where words end
+                yield b"".join(self._stretch([part])[0] for part in _parts(text))
+            else:
+                held.append(text)
+                size += len(text)
+        if held:
+            yield from self._stretch(held)
 
     def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").split(" ")
-        out, at = [], 0
-        while at < len(words):
-            out.append(self._joined(words[at : at + STRETCH_WORDS]))
-            at += STRETCH_WORDS
-        return b"".join(out)
-
-    def _joined(self, words: list[str]) -> bytes:
-        if len(self.memo) > self.bound:
-            self.older, self.memo = self.memo, {}
-        memo, older, long = self.memo, self.older, {}
-        for w in set(words).difference(memo):
-            known = older.get(w)
-            (memo if len(w) <= MEMO_CHARS else long)[w] = self._word(w) if known is None else known
-        if not long:
-            return b"".join([memo[w] for w in words])
-        return b"".join([memo[w] if w in memo else long[w] for w in words])
+        """Ids of one text."""
+        return next(self.batch_ids([text]))
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text cut at white space into parts of ``STRETCH_CHARS`` characters or a word more."""
+    text, at = text.replace("\n", " "), 0
+    while at < len(text):
+        end = text.find(" ", at + STRETCH_CHARS)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end + 1
 
 
 @functools.lru_cache(maxsize=1)
@@ -129,8 +173,8 @@ def _pieces(path: str, max_length: int, end_id: int, separator: bytes = b"") ->
         step = max_length * 4
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], texts_of(batch), strict=True):
-                raw = tok.ids(text or "") + end
+            for doc_id, ids in zip(batch["doc_id"], tok.batch_ids([t or "" for t in texts_of(batch)]), strict=True):
+                raw = ids + end
                 total = len(raw) // 4
                 rows += [(doc_id, at // 4, min(step, len(raw) - at) // 4, zlib.crc32(raw[at : at + step]), total) for at in range(0, len(raw), step)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
