@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import map_docs, stored, texts_of
+from parlance.llm.common import giving_back, map_docs, stored
 
 #: Entries of each of the two generations of a worker's memo of tokenised letters, and characters of an entry at most.
 MEMO_WORDS, MEMO_CHARS = 120_000, 40
@@ -84,32 +84,32 @@ class WordTokenizer:
         ids = self.stems[letters.lower()]
         return ids + self.marks[marks] if marks else ids
 
-    def _stretch(self, texts: list[str]) -> list[bytes]:
-        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
-        words = split.flatten().dictionary_encode()
-        ids = [self._word(w) for w in words.dictionary.to_pylist()]
-        index, sizes = words.indices.to_numpy(), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
-        n = sizes[index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])]
-        cuts = ends[split.offsets.to_numpy()].tolist()
-        return [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def batch_ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        held, size = [], 0
-        for text in texts:
-            if held and size + len(text) > STRETCH_CHARS:
-                yield from self._stretch(held)
-                held, size = [], 0
-            if len(text) > STRETCH_CHARS:  # cut where words end
-                yield b"".join(self._stretch([part])[0] for part in _parts(text))
-            else:
-                held.append(text)
-                size += len(text)
-        if held:
-            yield from self._stretch(held)
+    def _stretch(self, texts: pa.Array) -> Iterator[bytes]:
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words, cuts = split.flatten().dictionary_encode(), split.offsets.to_pylist()
+        del split  # the words of all texts; each distinct one is in the dictionary
+        pa.default_memory_pool().release_unused()
+        ids, index = [self._word(w) for w in words.dictionary.to_pylist()], words.indices.to_numpy()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield b"".join(map(ids.__getitem__, index[a:b].tolist()))
+
+    def batch_ids(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers; a null text has none.
+
+        Of an Arrow array only stretches are copied, and only texts longer than a stretch become Python's.
+        """
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        first, held = 0, 0
+        for i, size in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+            if held + size > STRETCH_CHARS and first < i:
+                yield from self._stretch(texts[first:i])
+                first, held = i, 0
+            held += size
+            if size > STRETCH_CHARS:  # cut where words end
+                yield b"".join(ids for part in _parts(texts[i].as_py()) for ids in self._stretch(pa.array([part], pa.large_string())))
+                first, held = i + 1, 0
+        if first < len(texts):
+            yield from self._stretch(texts[first:])
 
     def ids(self, text: str) -> bytes:
         """Ids of one text."""
@@ -166,18 +166,22 @@ def slots_of(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, np.ndarra
     return {k: np.array(v, dtype=np.int64) for k, v in slots.items()}
 
 
-def _pieces(path: str, max_length: int, end_id: int, separator: bytes = b"") -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pieces(path: str, max_length: int, end_id: int) -> Callable:
+    """The pieces of each text, from Arrow batches: a worker never holds the texts of a batch a second time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         step = max_length * 4
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], tok.batch_ids([t or "" for t in texts_of(batch)]), strict=True):
+            for row, ids in enumerate(tok.batch_ids(batch.column("text"))):
                 raw = ids + end
                 total = len(raw) // 4
-                rows += [(doc_id, at // 4, min(step, len(raw) - at) // 4, zlib.crc32(raw[at : at + step]), total) for at in range(0, len(raw), step)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                rows += [(row, at // 4, min(step, len(raw) - at) // 4, zlib.crc32(raw[at : at + step]), total) for at in range(0, len(raw), step)]
+            own, *numbers = np.array(rows, dtype=np.int64).reshape(-1, 5).T
+            doc_ids = batch.column("doc_id").take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([doc_ids, *map(pa.array, numbers)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
@@ -206,10 +210,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     A null or empty text is the end id alone. Repeated rows are packed each on their own. Extra columns are ignored;
     no rows give no rows. ``tokenizer_path`` has to be readable on the executors.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = docs.select(id_col).schema[0].dataType
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     base = "start long, length long, ids_crc32 long, doc_tokens long"
+    cut = rows.mapInArrow(giving_back(_pieces(tokenizer_path, max_length, end_id)), f"doc_id string, {base}").withColumn("doc_id", F.col("doc_id").cast(id_type))
     # A number of its own for each piece, stored, spreads pieces of one length however many share an id.
-    pieces = stored(map_docs(rows, _pieces(tokenizer_path, max_length, end_id), base).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    pieces = stored(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # max_length rows at most
     slots = slots_of(spfhp(histogram, max_length))
     order = ["length", "piece"]
