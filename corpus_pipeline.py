@@ -76,11 +76,21 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path())
 
 
+#: Spark's bound on the bytes of a batch that a task hands its Python worker, and ours: whole texts are wide, and 10,000
+#: of them are held several times over on the way.
+BATCH_BOUND, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def _stage(function: Callable) -> Callable:
-    """The stage, with the tables its operators store held until the next stage begins."""
+    """The stage, with the tables its operators store held until the next stage begins.
+
+    Batches are of ``BATCH_BYTES``, unless the session has a bound of its own; results are lazy, so the session keeps it.
+    """
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH_BOUND, "1") == "1":
+            spark.conf.set(BATCH_BOUND, str(BATCH_BYTES))
         with stage_tables(spark, sf_dir):
             return function(spark, docs, sf_dir)
 

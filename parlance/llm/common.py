@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import gc
 import re
 import tempfile
 import threading
@@ -255,15 +257,42 @@ def words_of(raws: list[bytes], word_class: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.concatenate([[0], np.searchsorted(starts, ends_of_text)])
 
 
+#: How a worker forgets what it keeps from task to task, by the module that keeps it.
+_forget: dict[str, Callable] = {}
+
+
+def kept_by_workers(function: Callable) -> Callable:
+    """A function whose last result a worker keeps for the tasks to come, until one of another module begins."""
+    cached = functools.lru_cache(maxsize=1)(function)
+    _forget[function.__module__] = cached
+    return cached
+
+
+def turn_to(module: str) -> None:
+    """A task of ``module`` begins: what this worker kept for tasks of other modules goes."""
+    others = [cached for name, cached in _forget.items() if name != module and cached.cache_info().currsize]
+    for cached in others:
+        cached.cache_clear()
+    if others:
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def giving_back(function: Callable) -> Callable:
     """A function of batches whose task returns the memory it took: workers live on and run the tasks of later stages."""
 
     def run(batches: Iterator) -> Iterator:
+        turn_to(function.__module__)
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 

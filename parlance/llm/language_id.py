@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import bounded_sample, chunks
+from parlance.llm.common import bounded_sample, chunks, turn_to
 
 #: Labelled rows drawn for each language, and characters of them that go into its automaton.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 40_000
@@ -214,6 +214,7 @@ def language_column(spark: SparkSession, model: LanguageModel) -> Callable[[Colu
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        turn_to(__name__)
         plain = [t if isinstance(t, str) else "" for t in texts]
         found = [x for first, last, _ in chunks(plain, 4 << 20) for x in shared.value.predict(plain[first:last])]
         return pd.DataFrame(found, columns=["lang_pred", "score"])

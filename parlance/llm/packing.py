@@ -8,7 +8,6 @@ length, so pieces find their sequence by their rank, which comes from one range
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 import zlib
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import giving_back, map_docs, stored
+from parlance.llm.common import giving_back, kept_by_workers, map_docs, stored
 
 #: Entries of each of the two generations of a worker's memo of tokenised letters, and characters of an entry at most.
 MEMO_WORDS, MEMO_CHARS = 120_000, 40
@@ -126,9 +125,9 @@ def _parts(text: str) -> Iterator[str]:
         at = end + 1
 
 
-@functools.lru_cache(maxsize=1)
+@kept_by_workers
 def worker_tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of a Python worker, with its memo, for all tasks that the worker runs."""
+    """The tokenizer of a Python worker, with its memo, for all tasks of a stage that the worker runs."""
     return WordTokenizer(path)
 
 

@@ -8,8 +8,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from parlance.llm import packing
+import corpus_pipeline
+from parlance.llm import common, decontamination, packing
 from parlance.llm.queries import tokenizer_path
 from tests.llm import fixtures as fx
 
@@ -41,3 +43,30 @@ def test_pieces_of_arrow_batches(monkeypatch, kind, stretch):
         own = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
         want += [(i, at, len(own[at : at + 64]), zlib.crc32(own[at : at + 64].tobytes()), len(own)) for at in range(0, len(own), 64)]
     assert found == want
+
+
+def test_a_worker_forgets_its_tokenizer_when_another_operator_begins():
+    tok = packing.worker_tokenizer(tokenizer_path())
+    assert list(common.giving_back(packing._numbered)(iter([]))) == []
+    assert packing.worker_tokenizer(tokenizer_path()) is tok
+    assert list(common.giving_back(decontamination._windows(10))(iter([]))) == []
+    assert packing.worker_tokenizer.cache_info().currsize == 0
+
+
+def test_batches_of_a_stage_are_bounded_by_bytes(spark):
+    had = spark.conf.get(corpus_pipeline.BATCH_BOUND)
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 10_000).alias("text")).coalesce(1)
+
+    def bytes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    stage = corpus_pipeline._stage(lambda spark, docs, sf_dir: docs.mapInArrow(bytes_of, "n long"))
+    try:
+        spark.conf.unset(corpus_pipeline.BATCH_BOUND)
+        found = [r["n"] for r in stage(spark, docs, "").collect()]
+        assert sum(found) >= 600 * 50_000 and max(found) <= corpus_pipeline.BATCH_BYTES + 100_000
+        spark.conf.set(corpus_pipeline.BATCH_BOUND, "1m")  # the session's own
+        assert max(r["n"] for r in stage(spark, docs, "").collect()) <= (1 << 20) + 100_000
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_BOUND, had)
