@@ -81,15 +81,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 BATCH_BOUND, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
+def _has_own_bound(spark: SparkSession) -> bool:
+    return spark.conf.get(BATCH_BOUND, "1") != "1"  # what is given is returned if the session has none
+
+
 def _stage(function: Callable) -> Callable:
     """The stage, with the tables its operators store held until the next stage begins.
 
-    Batches are of ``BATCH_BYTES``, unless the session has a bound of its own; results are lazy, so the session keeps it.
+    Batches are of ``BATCH_BYTES``, unless the session has a bound of its own; results are lazy, so the session
+    keeps it; ``run``, which writes them, takes it back.
     """
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if spark.conf.get(BATCH_BOUND, "1") == "1":
+        if not _has_own_bound(spark):
             spark.conf.set(BATCH_BOUND, str(BATCH_BYTES))
         with stage_tables(spark, sf_dir):
             return function(spark, docs, sf_dir)
@@ -112,11 +117,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; what the stages before it wrote is deleted once the next one has read it."""
     docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
-        path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        release(spark, sf_dir)
-        if before:
-            delete(spark, before)
-        docs, before = spark.read.parquet(path), path
+    bounded = _has_own_bound(spark)
+    try:
+        for name, stage in STAGES:
+            path = new_path(spark, name)
+            stage(spark, docs, sf_dir).write.parquet(path)
+            release(spark, sf_dir)
+            if before:
+                delete(spark, before)
+            docs, before = spark.read.parquet(path), path
+    finally:
+        if not bounded:
+            spark.conf.unset(BATCH_BOUND)
     return docs

@@ -70,3 +70,22 @@ def test_batches_of_a_stage_are_bounded_by_bytes(spark):
         assert max(r["n"] for r in stage(spark, docs, "").collect()) <= (1 << 20) + 100_000
     finally:
         spark.conf.set(corpus_pipeline.BATCH_BOUND, had)
+
+
+def test_a_run_takes_its_bound_back(spark, monkeypatch):
+    had, seen = spark.conf.get(corpus_pipeline.BATCH_BOUND), []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(spark.conf.get(corpus_pipeline.BATCH_BOUND))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", corpus_pipeline._stage(stage))])
+    try:
+        for own in ("1048576", None):
+            spark.conf.set(corpus_pipeline.BATCH_BOUND, own) if own else spark.conf.unset(corpus_pipeline.BATCH_BOUND)
+            before = spark.conf.get(corpus_pipeline.BATCH_BOUND)
+            corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+            assert seen.pop() == (own or str(corpus_pipeline.BATCH_BYTES))
+            assert spark.conf.get(corpus_pipeline.BATCH_BOUND) == before
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_BOUND, had)
